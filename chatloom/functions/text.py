@@ -20,7 +20,8 @@ PUNCTUATION = rf"[^\p{{L}}\p{{N}}_{SPACE}]"
 DIGITS = r"\p{Nd}+"
 NOISE = rf"{PUNCTUATION}|\p{{Nd}}"
 NOT_WORD = r"[^\p{L}\p{N}_']+"
-ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+PUNCTUATION_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]+"  # the same marks as a class, for SQL
 EDGE_PUNCTUATION = f"^{ASCII_PUNCTUATION}|{ASCII_PUNCTUATION}$"
 CASED_UPPER = r"\p{Lu}"
 CASED_LOWER = r"\p{Ll}"
@@ -92,7 +93,7 @@ def raw_words(col: Column) -> Column:
     words = F.filter(F.split(F.coalesce(col, F.lit("")), SPACES), lambda w: w != "")
 
     def strip_mark(word: Column) -> Column:
-        bare = F.regexp_replace(word, EDGE_PUNCTUATION, "")
+        bare = F.btrim(word, F.lit(PUNCTUATION_MARKS))
         return F.when(F.length(bare) <= 2, word).otherwise(bare)
 
     return F.transform(words, strip_mark)

@@ -72,25 +72,28 @@ def with_valence(
     Every word carries its three predecessors, so boosters, negations and capitals are
     resolved inside the row: no window and no shuffle.
     """
-    words = df.withColumn("_words", text.raw_words(F.col(text_col)))
-    weighed = lookup.attach_values(words, key, "_words", "_weights", lexicon, "double", fold=F.lower)
+    words = df.withColumn("_words", text.raw_words(F.col(text_col))).withColumn("_low", F.transform("_words", F.lower))
+    weighed = lookup.attach_values(words, key, "_low", "_weights", lexicon, "double")
     facts = F.transform(
-        F.arrays_zip(F.col("_words").alias("word"), F.col("_weights").alias("weight")),
-        lambda z: F.struct(
-            F.lower(z["word"]).alias("word"),
+        F.arrays_zip(F.col("_words").alias("word"), F.col("_low").alias("low"), F.col("_weights").alias("weight")),
+        lambda z, i: F.struct(
+            z["low"].alias("word"),
             z["weight"].alias("weight"),
-            text.is_upper(z["word"]).alias("caps"),
-            _boost(F.lower(z["word"]), rules).alias("boost"),
-            _negates(F.lower(z["word"]), rules).alias("negates"),
+            ((z["word"] != z["low"]) & text.is_upper(z["word"])).alias("caps"),
+            _boost(z["low"], rules).alias("boost"),
+            _negates(z["low"], rules).alias("negates"),
+            (i + 1).alias("at"),
         ),
     )
-    total = _emphasised(_valence_sum(F.col("_facts"), rules), F.coalesce(F.col(text_col), F.lit("")))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    # One column per step: each is read several times by the next one and must not be worked out again.
     return (
         weighed.withColumn("_facts", facts)
-        .withColumn("_total", total)
+        .withColumn("_sum", _valence_sum(F.col("_facts"), rules))
+        .withColumn("_total", _emphasised(F.col("_sum"), raw))
         .withColumn("sentiment_score", F.round(F.col("_total") / F.sqrt(F.col("_total") ** 2 + fixed.NORMALISER), 4))
         .withColumn("sentiment", label_of(F.col("sentiment_score"), threshold, inclusive=True))
-        .drop("_words", "_weights", "_facts", "_total")
+        .drop("_words", "_low", "_weights", "_facts", "_sum", "_total")
     )
 
 
@@ -107,27 +110,18 @@ def _negates(word: Column, rules: ValenceWords) -> Column:
 
 
 def _valence_sum(facts: Column, rules: ValenceWords) -> Column:
-    fact_type = "struct<word:string,weight:double,caps:boolean,boost:double,negates:boolean>"
+    fact_type = "struct<word:string,weight:double,caps:boolean,boost:double,negates:boolean,at:int>"
     none = F.array(F.lit(None).cast(fact_type))
     shouted = F.exists(facts, lambda f: f["caps"]) & ~F.forall(facts, lambda f: f["caps"])
     but_at = F.array_position(F.transform(facts, lambda f: f["word"]), rules.contrast)
-
     zipped = F.arrays_zip(
         facts.alias("here"),
         F.concat(none, facts).alias("back1"),
         F.concat(none, none, facts).alias("back2"),
         F.concat(none, none, none, facts).alias("back3"),
     )
-    numbered = F.transform(
-        zipped,
-        lambda z, i: F.struct(
-            z["here"].alias("here"), F.array(z["back1"], z["back2"], z["back3"]).alias("back"), (i + 1).alias("at")
-        ),
-    )
     # Only words that carry a weight and are not boosters themselves can add to the sum.
-    carriers = F.filter(
-        numbered, lambda z: z["here"].isNotNull() & z["here"]["weight"].isNotNull() & (z["here"]["boost"] == 0.0)
-    )
+    carriers = F.filter(zipped, lambda z: z["here"]["weight"].isNotNull() & (z["here"]["boost"] == 0.0))
 
     # The facts about the whole message ride in the state: named inside the lambda they would
     # be worked out again for every word.
@@ -147,8 +141,9 @@ def _word_valence(z: Column, shouted: Column, but_at: Column) -> Column:
     start = weight + F.when(
         z["here"]["caps"] & shouted, F.when(weight > 0, fixed.CAPS_EMPHASIS).otherwise(-fixed.CAPS_EMPHASIS)
     ).otherwise(0.0)
-    damping = F.array(*[F.lit(d) for d in fixed.BOOST_DAMPING])
-    steps = F.transform(z["back"], lambda b, i: F.struct(b.alias("b"), F.get(damping, i).alias("damp")))
+    steps = F.array(
+        *[F.struct(z[f"back{i + 1}"].alias("b"), F.lit(d).alias("damp")) for i, d in enumerate(fixed.BOOST_DAMPING)]
+    )
 
     def step(valence: Column, s: Column) -> Column:
         b = s["b"]
@@ -164,8 +159,8 @@ def _word_valence(z: Column, shouted: Column, but_at: Column) -> Column:
 
     side = (
         F.when(but_at == 0, 1.0)
-        .when(z["at"] < but_at, fixed.BEFORE_BUT)
-        .when(z["at"] > but_at, fixed.AFTER_BUT)
+        .when(z["here"]["at"] < but_at, fixed.BEFORE_BUT)
+        .when(z["here"]["at"] > but_at, fixed.AFTER_BUT)
         .otherwise(1.0)
     )
     return F.aggregate(steps, start, step) * side
