@@ -26,60 +26,70 @@ def json_members(body: Column) -> Column:
     return members(F.try_parse_json(body))
 
 
-def is_text(variant: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(variant) == "STRING", F.lit(False))
+def member(fields: Column, name: str) -> Column:
+    return F.try_element_at(fields, F.lit(name))
 
 
-def truthy_text(variant: Column) -> Column:
-    """Text of a JSON value; null for a missing, null, empty or zero-like value."""
-    text = F.try_variant_get(variant, "$", "string")
-    empty = F.when(is_text(variant), text == "").otherwise(text.isin(*FALSY_TEXTS))
-    return F.when(~empty, text)
+def value_facts(fields: Column) -> Column:
+    """Per member `(text, kind)`: its text, null when falsy, and `text`, `box` or `other`.
 
+    Falsy is a missing, null, empty or zero-like value. The map is read by every rule below,
+    so each value is turned into text once.
+    """
+
+    def facts(_: Column, value: Column) -> Column:
+        schema = F.coalesce(F.schema_of_variant(value), F.lit(""))
+        kind = F.when(schema == "STRING", "text").when(schema.rlike("^(OBJECT|ARRAY)"), "box").otherwise("other")
+        return F.struct(F.try_variant_get(value, "$", "string").alias("text"), kind.alias("kind"))
+
+    def drop_falsy(_: Column, f: Column) -> Column:
+        empty = (f["text"] == "") | ((f["kind"] != "text") & f["text"].isin(*FALSY_TEXTS))
+        return F.struct(F.when(~empty, f["text"]).alias("text"), f["kind"].alias("kind"))
+
+    return F.transform_values(F.transform_values(fields, facts), drop_falsy)
 
-def member(fields: Column, name: str) -> Column:
-    return F.try_element_at(fields, F.lit(name))
 
+def _text(facts: Column, name: str) -> Column:
+    return member(facts, name)["text"]
 
-def first_present(fields: Column, *names: str) -> Column:
+
+def first_present(facts: Column, *names: str) -> Column:
     """Truthy text of the first *present* key; a present but null key stops the search."""
     chain = None
     for name in names:
-        present, value = F.map_contains_key(fields, name), truthy_text(member(fields, name))
-        chain = F.when(present, value) if chain is None else chain.when(present, value)
+        present = member(facts, name).isNotNull()
+        chain = F.when(present, _text(facts, name)) if chain is None else chain.when(present, _text(facts, name))
     return chain
 
 
-def body_text(fields: Column) -> Column:
+def body_text(facts: Column) -> Column:
     """`content`, else the first present of `message`, `text`, `msg`."""
-    return F.coalesce(truthy_text(member(fields, "content")), first_present(fields, "message", "text", "msg"))
+    return F.coalesce(_text(facts, "content"), first_present(facts, "message", "text", "msg"))
+
 
+def nested_name(fields: Column, name: str) -> Column:
+    """`<name>.username` when it is truthy text."""
+    text = F.try_variant_get(member(fields, name), "$.username", "string")
+    return F.when(text != "", text)
 
-def body_sender(fields: Column) -> Column:
+
+def body_sender(fields: Column, facts: Column) -> Column:
     """`sender.username`, else the first present of `username`, `user`, `sender`, else `broadcaster.username`.
 
-    A `sender` or `user` that is itself an object or array is not a name and is skipped.
+    A `sender` that is itself an object or array is not a name and is skipped.
     """
-    nested = truthy_text(F.try_variant_get(member(fields, "sender"), "$.username", "variant"))
-    plain_sender = F.when(~is_container(member(fields, "sender")), truthy_text(member(fields, "sender")))
+    sender = member(facts, "sender")
     plain = (
-        F.when(F.map_contains_key(fields, "username"), truthy_text(member(fields, "username")))
-        .when(F.map_contains_key(fields, "user"), truthy_text(member(fields, "user")))
-        .otherwise(plain_sender)
+        F.when(member(facts, "username").isNotNull(), _text(facts, "username"))
+        .when(member(facts, "user").isNotNull(), _text(facts, "user"))
+        .when(sender["kind"] != "box", sender["text"])
     )
-    caster = truthy_text(F.try_variant_get(member(fields, "broadcaster"), "$.username", "variant"))
-    return F.coalesce(nested, plain, caster)
-
+    return F.coalesce(nested_name(fields, "sender"), plain, nested_name(fields, "broadcaster"))
 
-def is_container(variant: Column) -> Column:
-    kind = F.schema_of_variant(variant)
-    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
 
-
-def body_id(fields: Column, body: Column) -> Column:
+def body_id(facts: Column, body: Column) -> Column:
     """`message_id`, else a stable id of the body so that a retried event keeps its id."""
-    given = F.try_variant_get(member(fields, "message_id"), "$", "string")
-    return F.coalesce(given, F.concat(F.lit("msg_"), F.sha2(body, 256)))
+    return F.coalesce(_text(facts, "message_id"), F.concat(F.lit("msg_"), F.sha2(body, 256)))
 
 
 def mentions(text: Column, indicators: Iterable[str]) -> Column:
@@ -97,18 +107,19 @@ def _minimal(indicators: Iterable[str]) -> list[str]:
     return [w for w in words if not any(o != w and o in w for o in words)]
 
 
-def is_test_body(fields: Column, indicators: Iterable[str] = fixed.TEST_INDICATORS) -> Column:
+def is_test_body(fields: Column, facts: Column, indicators: Iterable[str] = fixed.TEST_INDICATORS) -> Column:
     """Any text value at depth 1 or 2 (objects only) contains an indicator."""
     words = list(indicators)
 
-    def text_hit(value: Column) -> Column:
-        return is_text(value) & mentions(F.try_variant_get(value, "$", "string"), words)
-
-    def hit(value: Column) -> Column:
-        inner = F.exists(F.map_values(members(value)), text_hit)
-        return text_hit(value) | F.coalesce(inner, F.lit(False))
+    def inner_hit(value: Column) -> Column:
+        is_text = F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+        return is_text & mentions(F.try_variant_get(value, "$", "string"), words)
 
-    return F.coalesce(F.exists(F.map_values(fields), hit), F.lit(False))
+    top = F.exists(F.map_values(facts), lambda f: (f["kind"] == "text") & mentions(f["text"], words))
+    nested = F.exists(
+        F.map_values(fields), lambda v: F.coalesce(F.exists(F.map_values(members(v)), inner_hit), F.lit(False))
+    )
+    return F.coalesce(top | nested, F.lit(False))
 
 
 def form_items(body: Column) -> Column:

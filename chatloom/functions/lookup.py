@@ -81,7 +81,7 @@ def _attach_by_join(
     entries = table.toDF("_word", "_value").select(
         "_word", "_value", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("_salt")
     )
-    tokens = df.select(key, F.posexplode(words).alias("_pos", "_token")).select(
+    tokens = df.select(key, F.posexplode_outer(words).alias("_pos", "_token")).select(
         key,
         "_pos",
         fold(F.col("_token")).alias("_word"),

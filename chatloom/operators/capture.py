@@ -21,7 +21,7 @@ def page_entries(pages: DataFrame, page_key: str = "page_id", html: str = "html"
     """
     readable = page_states(pages, html, marks).filter(F.col("page_state") == "entries")
     entries = readable.select(
-        page_key, F.posexplode(captured.entry_parts(F.col(html), marks)).alias("entry_pos", "entry")
+        page_key, F.posexplode_outer(captured.entry_parts(F.col(html), marks)).alias("entry_pos", "entry")
     ).filter(~F.contains("entry", F.lit(marks.breaker)))
     entry = F.col("entry")
     return entries.withColumn("user_id", captured.entry_user_id(entry, marks)).select(

@@ -68,9 +68,19 @@ def _with_lemmas(df: DataFrame, key: str, out: str, lemmas: Mapping[str, str] |
     )
 
 
+def exploded(df: DataFrame, tokens: str = "tokens", *keep: str) -> DataFrame:
+    """`(keep…, token)`, one row per token.
+
+    The outer form on purpose: for the inner one Spark infers a filter `size(tokens) > 0` and
+    pushes it to the scan, where the whole cleaning would run a second time.
+    """
+    rows = df.select(*keep, F.explode_outer(tokens).alias("token"))
+    return rows.filter(F.col("token").isNotNull())
+
+
 def bag_of_words(df: DataFrame, key: str = "msg_key", tokens: str = "tokens") -> DataFrame:
     """`(key, token, n)`; the partial aggregate already folds a message, as its tokens lie together."""
-    return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return exploded(df, tokens, key).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
 def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -80,11 +90,11 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     so both counts need one shuffle, by token, after partial aggregation.
     """
     ordered = F.array_sort(tokens)
-    previous = F.concat(F.array(F.lit(None).cast("string")), F.slice(ordered, F.lit(1), F.size(ordered) - 1))
+    previous = F.concat(F.array(F.lit(None).cast("string")), F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))))
     pairs = F.arrays_zip(ordered.alias("token"), previous.alias("previous"))
     return (
-        df.filter(F.size(tokens) > 0)
-        .select(F.inline(pairs))
+        df.select(F.inline_outer(pairs))
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(
             F.count_if(~F.col("token").eqNullSafe(F.col("previous"))).alias("doc_freq"),

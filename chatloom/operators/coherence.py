@@ -37,9 +37,9 @@ def window_counts(
         F.transform(tokens, lambda t, i: F.struct(t.alias("word"), i.alias("at"))),
         lambda h: h["word"].isin(sorted(partners)) if partners else F.lit(False),
     )
-    located = docs.filter(n_tokens > 0).select(
-        F.greatest(n_tokens - window + 1, F.lit(1)).alias("n_windows"), hits.alias("hits")
-    )
+    # A message without tokens has no window; filtering it out would clean every text twice.
+    n_windows = F.when(n_tokens > 0, F.greatest(n_tokens - window + 1, F.lit(1))).otherwise(0)
+    located = docs.select(n_windows.alias("n_windows"), hits.alias("hits"))
     words = F.array_distinct(F.transform("hits", lambda h: h["word"]))
     occurrences = F.transform(
         words,
@@ -50,12 +50,12 @@ def window_counts(
     )
     everything = F.array(F.struct(F.lit(TOTAL).alias("word"), F.array().cast("array<int>").alias("at")))
     found = located.select("n_windows", occurrences.alias("found"))
-    first = found.select("n_windows", "found", F.explode(F.concat(everything, "found")).alias("a"))
+    first = found.select("n_windows", "found", F.explode_outer(F.concat(everything, "found")).alias("a"))
     of = literal_lookup({w: sorted(p) for w, p in partners.items()}, "array<string>")
     second = first.withColumn("_with", of(F.col("a.word"))).select(
         "n_windows",
         "a",
-        F.explode(
+        F.explode_outer(
             F.concat(F.array("a"), F.filter("found", lambda o: F.coalesce(F.array_contains("_with", o["word"]), F.lit(False))))
         ).alias("b"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed
+from chatloom.operators.cleaning import exploded
 
 
 def preview(df: DataFrame, order: Sequence[str] = ("timestamp",), rows: int = fixed.PREVIEW_ROWS) -> DataFrame:
@@ -78,7 +79,7 @@ def negative_messages(df: DataFrame, label: str = "sentiment") -> DataFrame:
 def top_words(df: DataFrame, tokens: str = "tokens", n: int = 3) -> DataFrame:
     """Most frequent tokens; ties alphabetically. A hot token is folded before the shuffle."""
     return (
-        df.select(F.explode(tokens).alias("token"))
+        exploded(df, tokens)
         .groupBy("token")
         .agg(F.count("*").alias("n"))
         .orderBy(F.col("n").desc(), "token")

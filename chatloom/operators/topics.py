@@ -60,14 +60,14 @@ def model_topics(
 
     Every update reads the corpus again, so the tokens are written once (shared folder) and
     the iterations scan that table, never the cleaning. Results repeat for the same seed and
-    the same layout; `layout_partitions` pins it by a range layout of the key.
+    the same layout; `layout_partitions` pins it by the hash and order of the key.
     """
     start = monotonic()
     spark = df.sparkSession
-    docs = df.filter(F.size(tokens) > 0).select(key, tokens)
+    docs = df.select(key, tokens)
     if layout_partitions:
-        docs = docs.repartitionByRange(layout_partitions, key).sortWithinPartitions(key)
-    docs = materialise(docs, "topic-tokens")
+        docs = docs.repartition(layout_partitions, key).sortWithinPartitions(key)
+    docs = materialise(docs, "topic-tokens").filter(F.size(tokens) > 0)
     n_docs = docs.count()
     if n_docs == 0:
         empty = spark.createDataFrame([], TOPICS_SCHEMA)

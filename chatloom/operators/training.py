@@ -17,7 +17,7 @@ from chatloom.functions.text import NOT_WORD
 
 # One candidate per training pass, each with a stronger penalty.
 PENALTIES = (0.001, 0.01, 0.1)
-HASH_FEATURES = 1 << 17
+HASH_FEATURES = 1 << 16
 
 
 @dataclass
@@ -75,6 +75,7 @@ def fit_classifier(
     label: str = "label",
     penalties: Sequence[float] = PENALTIES,
     max_iter: int = 10 * fixed.TRAIN_PASSES,
+    features: int = HASH_FEATURES,
 ) -> TrainedClassifier:
     """Fit on the train side, keep the candidate with the best accuracy on the test side.
 
@@ -83,18 +84,18 @@ def fit_classifier(
     """
     encoded, indexer = encode_labels(df.select(text, label))
     train, test = split_examples(encoded, text)
-    features = Pipeline(stages=feature_stages(text)).fit(train)
+    prepared = Pipeline(stages=feature_stages(text, features)).fit(train)
     wanted = (text, label, "label_id", "features")
     # Three fits read the train side; a lost block is recomputed from its source.
-    train_set = features.transform(train).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
-    test_set = features.transform(test).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    train_set = prepared.transform(train).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    test_set = prepared.transform(test).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = MulticlassClassificationEvaluator(labelCol="label_id", predictionCol="prediction", metricName="accuracy")
     learner = LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=max_iter)
     fitted = [(p, learner.copy({learner.regParam: p}).fit(train_set)) for p in penalties]
     scored = [(p, model, evaluator.evaluate(model.transform(test_set))) for p, model in fitted]
     _, best, _ = max(scored, key=lambda s: s[2])
     namer = IndexToString(inputCol="prediction", outputCol="predicted_name", labels=list(indexer.labels))
-    pipeline = PipelineModel(stages=[*features.stages, best, namer])
+    pipeline = PipelineModel(stages=[*prepared.stages, best, namer])
     predictions = pipeline.transform(test).select(text, label, "predicted_name")
     train_set.unpersist()
     test_set.unpersist()

@@ -86,22 +86,22 @@ def rejected(events: DataFrame) -> DataFrame:
 def normalise_envelopes(envelopes: DataFrame, indicators: Iterable[str] = fixed.TEST_INDICATORS) -> DataFrame:
     """Add `body_kind`, `event_class`, `is_test`, `id`, `username`, `message`, `sentiment`, `reason`.
 
-    The body is parsed once; every later rule reads the same map of members.
+    The body is parsed once; every later rule reads the same two maps of members.
     """
     words = list(indicators)
     parsed = envelopes.withColumn("_json", F.try_parse_json("body")).withColumn(
         "_fields",
         F.when(F.col("_json").isNotNull(), bodies.members(F.col("_json"))).otherwise(bodies.form_members(F.col("body"))),
-    )
-    fields = F.col("_fields")
+    ).withColumn("_facts", bodies.value_facts(F.col("_fields")))
+    fields, facts = F.col("_fields"), F.col("_facts")
     kind = F.when(F.col("_json").isNotNull(), "json").when(fields.isNotNull(), "form").otherwise("invalid")
     rows = parsed.select(
         *envelopes.columns,
         kind.alias("body_kind"),
-        bodies.is_test_body(fields, words).alias("is_test"),
-        bodies.body_id(fields, F.col("body")).alias("id"),
-        bodies.body_sender(fields).alias("username"),
-        bodies.body_text(fields).alias("message"),
+        bodies.is_test_body(fields, facts, words).alias("is_test"),
+        bodies.body_id(facts, F.col("body")).alias("id"),
+        bodies.body_sender(fields, facts).alias("username"),
+        bodies.body_text(facts).alias("message"),
         bodies.header(F.col("headers"), fixed.H_EVENT_TYPE).alias("event_type"),
     )
     event_class = (

@@ -13,7 +13,7 @@ from chatloom.operators import (
     capture, cleaning, coherence, compare, dedupe, report, retain, sentiment, topics, training, webhook,
 )
 from chatloom.plans import given, sql
-from chatloom.session import scratch_dir
+from chatloom.session import scratch_dir, spread
 from chatloom.sources import live as live_sources, sinks
 from chatloom.streaming import live
 
@@ -52,7 +52,7 @@ def clean_tokens(spark, d):
     SELECT coalesce(lemma, word) AS token, count(*)::BIGINT AS n FROM words LEFT JOIN lemmas ON word = surface GROUP BY 1""")
 def lemma_tokens(spark, d):
     docs = cleaning.with_tokens(given.documents_chat(spark, d), key="doc_id", lemmas=given.SAMPLE_LEMMAS)
-    return docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return cleaning.exploded(docs).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("text_steps", f"""SELECT doc_id,
@@ -102,7 +102,7 @@ def sentiment_polarity(spark, d):
 @query("sentiment_valence", sql.valence_sql("documents", "doc_id", "text"))
 def sentiment_valence(spark, d):
     scored = sentiment.with_valence(
-        given.documents_chat(spark, d), given.SAMPLE_VALENCE, key="doc_id", rules=given.SAMPLE_RULES
+        spread(given.documents_chat(spark, d)), given.SAMPLE_VALENCE, key="doc_id", rules=given.SAMPLE_RULES
     )
     return scored.select("doc_id", "sentiment_score", "sentiment")
 
@@ -470,7 +470,9 @@ def real_messages(spark, d):
 def test_flag(spark, d):
     docs = given.documents_chat(spark, d)
     body = F.to_json(F.struct(F.struct(F.col("message").alias("text")).alias("data"), "doc_id"))
-    return docs.select("doc_id", bodies.is_test_body(bodies.json_members(body)).alias("is_test"))
+    fields = docs.select("doc_id", bodies.json_members(body).alias("fields"))
+    facts = fields.withColumn("facts", bodies.value_facts(F.col("fields")))
+    return facts.select("doc_id", bodies.is_test_body(F.col("fields"), F.col("facts")).alias("is_test"))
 
 
 @query("form_body_parse", """WITH q AS (SELECT page_id, split_part(url, '?', 2) AS body FROM pages WHERE contains(url, '?')),
@@ -481,7 +483,8 @@ def test_flag(spark, d):
 def form_body_parse(spark, d):
     urls = given.table(spark, d, "pages").filter(F.contains("url", F.lit("?")))
     body = F.split_part(F.col("url"), F.lit("?"), F.lit(2))
-    return urls.select("page_id", F.inline(bodies.form_items(body)))
+    items = urls.select("page_id", F.inline_outer(bodies.form_items(body)))
+    return items.filter(F.col("name").isNotNull())
 
 
 # --- bot, typed events, log sink --------------------------------------------------
@@ -703,15 +706,18 @@ def labelled_union(spark, d):
     return union_labelled(parts).groupBy("label").agg(F.count("*").alias("n"))
 
 
+SMALL_FEATURES = 1 << 14
+
+
 @query("classifier_eval")
 def classifier_eval(spark, d):
-    trained = training.fit_classifier(given.labelled_documents(spark, d))
+    trained = training.fit_classifier(given.labelled_documents(spark, d), features=SMALL_FEATURES)
     return training.evaluate_predictions(trained.test_predictions)
 
 
 @query("model_labels")
 def model_labels(spark, d):
-    trained = training.fit_classifier(given.labelled_documents(spark, d), penalties=(0.01,))
+    trained = training.fit_classifier(given.labelled_documents(spark, d), penalties=(0.01,), features=SMALL_FEATURES)
     scored = sentiment.run_sentiment(given.documents_chat(spark, d), "custom_kick_bert", model=trained.model)
     return scored.groupBy("sentiment").agg(F.count("*").alias("n"))
 

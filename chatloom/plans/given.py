@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatloom.functions import fixed
-from chatloom.operators.cleaning import with_tokens
+from chatloom.operators.cleaning import exploded, with_tokens
 from chatloom.operators.sentiment import ValenceWords, with_polarity
+from chatloom.session import spread
 
 # Sample word tables: frequent words of the given texts stand in for a user's lexicon.
 # Weights are multiples of 1/8, so that sums are exact in any order.
@@ -41,11 +42,11 @@ def documents_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_tokens(documents_chat(spark, sf_dir), key="doc_id")
+    return with_tokens(spread(documents_chat(spark, sf_dir)), key="doc_id")
 
 
 def documents_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_polarity(documents_chat(spark, sf_dir), SAMPLE_POLARITY, key="doc_id")
+    return with_polarity(spread(documents_chat(spark, sf_dir)), SAMPLE_POLARITY, key="doc_id")
 
 
 # --- conversations as a chat log --------------------------------------------------
@@ -73,7 +74,7 @@ def conversations_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a webhook envelope; role, turn and conversation decide the body shape."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     name = F.when(F.col("conv_id") % 10 == 0, F.concat(F.lit("test_"), "role")).otherwise(F.col("role"))
     text = F.col("text")
     full = F.to_json(
@@ -159,7 +160,7 @@ def truth_name() -> Column:
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(doc_id, lang, text, label)`."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     labels = table(spark, sf_dir, "labels").select("doc_id", truth_name().alias("label"))
     return docs.join(labels, "doc_id")
 
@@ -181,7 +182,7 @@ def language_topics(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """`(topic, rank, word, weight, mass)`: the `n` most frequent tokens of every language."""
     from pyspark.sql import Window
 
-    words = documents_tokens(spark, sf_dir).select("lang", F.explode("tokens").alias("word"))
+    words = exploded(documents_tokens(spark, sf_dir), "tokens", "lang").withColumnRenamed("token", "word")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # The limit keeps n words per language in every task; the sums are one row per language.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))

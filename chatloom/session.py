@@ -34,3 +34,12 @@ def materialise(df, name: str):
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df):
+    """Give a scan with fewer pieces than cores its share of every core.
+
+    A table of at least as many pieces as cores, so any big one, is left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
