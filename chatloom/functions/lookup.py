@@ -86,7 +86,7 @@ def _attach_by_join(
         "_pos",
         fold(F.col("_token")).alias("_word"),
         F.pmod(F.xxhash64(key, "_pos"), F.lit(JOIN_SALTS)).cast("int").alias("_salt"),
-    )
+    ).filter(F.col("_pos").isNotNull())
     # One message is one group, so no group is unbounded.
     values = (
         tokens.join(entries, ["_word", "_salt"], "left")

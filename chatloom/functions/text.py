@@ -18,7 +18,9 @@ EDGE_SPACES = f"^[{SPACE}]+|[{SPACE}]+$"
 URL = f"http[^{SPACE}]+"
 PUNCTUATION = rf"[^\p{{L}}\p{{N}}_{SPACE}]"
 DIGITS = r"\p{Nd}+"
-NOISE = rf"{PUNCTUATION}|\p{{Nd}}"
+# Punctuation and digits in one class: what is no letter, no other number, no `_`, no space.
+NOISE = rf"[^\p{{L}}\p{{Nl}}\p{{No}}_{SPACE}]+"
+COMMAND = rf"(?s)\A[{SPACE}]*!.*"
 NOT_WORD = r"[^\p{L}\p{N}_']+"
 PUNCTUATION_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]+"  # the same marks as a class, for SQL
@@ -51,36 +53,39 @@ def remove_digits(col: Column) -> Column:
 
 def is_command(col: Column) -> Column:
     """A bot command: the first non-blank character after URL removal is `!`."""
-    return strip(remove_urls(F.lower(F.coalesce(col, F.lit(""))))).startswith("!")
+    return remove_urls(F.lower(F.coalesce(col, F.lit("")))).rlike(COMMAND)
 
 
 def plain_text(col: Column) -> Column:
     """Lower-case text without URLs, punctuation and digits; a command becomes empty."""
     bare = remove_urls(F.lower(F.coalesce(col, F.lit(""))))
-    return F.when(strip(bare).startswith("!"), "").otherwise(F.regexp_replace(bare, NOISE, ""))
+    # The command rule is a replacement, not a branch, so that `bare` is worked out once.
+    return F.regexp_replace(F.regexp_replace(bare, COMMAND, ""), NOISE, "")
 
 
 def split_words(col: Column) -> Column:
-    """White-space words of a plain text, contractions split, no empty words."""
+    """White-space words of a plain text, contractions split; may hold empty words at the ends."""
     # Two blanks between words so that neighbouring contractions do not share one.
     spaced = F.concat(F.lit(" "), F.regexp_replace(col, SPACES, "  "), F.lit(" "))
+    suspect = F.lit(False)
     for word, parts in fixed.CONTRACTIONS:
         spaced = F.replace(spaced, F.lit(f" {word} "), F.lit(f" {parts} "))
-    return F.filter(F.split(spaced, " +"), lambda w: w != "")
+        suspect = suspect | F.contains(col, F.lit(word))
+    return F.when(suspect, F.split(spaced, " +")).otherwise(F.split(col, SPACES))
 
 
 def keep_words(words: Column, stop_words: Iterable[str], min_length: int = fixed.MIN_WORD_LENGTH) -> Column:
     """Drop stop words and short words; repeated words stay, unlike `array_except`."""
     stops = sorted(set(stop_words))
-    long_enough = lambda w: F.length(w) >= min_length
+    long_enough = lambda w: F.length(w) >= max(min_length, 1)
     if not stops:
         return F.filter(words, long_enough)
     return F.filter(words, lambda w: long_enough(w) & ~w.isin(stops))
 
 
 def clean_words(col: Column, stop_words: Iterable[str], min_length: int = fixed.MIN_WORD_LENGTH) -> Column:
-    """The whole cleaning pipeline up to (not including) the lemma lookup."""
-    return keep_words(split_words(plain_text(col)), stop_words, min_length)
+    """Words of a plain text without stop words and short words, before the lemma lookup."""
+    return keep_words(split_words(col), stop_words, min_length)
 
 
 def lower_words(col: Column) -> Column:

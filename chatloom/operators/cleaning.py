@@ -34,21 +34,23 @@ def with_tokens(
     Row-local: no shuffle unless a word table is too big for a literal. The lemma
     lookup comes last and its results are not checked again.
     """
+    # A column of its own: the split reads it more than once.
+    plain = df.withColumn("_plain", text.plain_text(F.col(text_col)))
     if isinstance(stop_words, DataFrame):
         words = lookup.bounded_entries(stop_words.select("word", F.lit(True).alias("stop")))
         if words is None:
-            found = df.withColumn(out, text.split_words(text.plain_text(F.col(text_col))))
+            found = plain.withColumn(out, text.split_words(F.col("_plain"))).drop("_plain")
             stops = stop_words.select("word", F.lit(True).alias("stop")).distinct()
             found = lookup.attach_values(found, key, out, "_stop", stops, "boolean")
             kept = F.filter(
                 F.arrays_zip(F.col(out).alias("word"), F.col("_stop").alias("stop")),
-                lambda z: z["stop"].isNull() & (F.length(z["word"]) >= min_length),
+                lambda z: z["stop"].isNull() & (F.length(z["word"]) >= max(min_length, 1)),
             )
             found = found.withColumn(out, F.transform(kept, lambda z: z["word"])).drop("_stop")
             return _with_lemmas(found, key, out, lemmas)
         stop_words = words
     stop_words = combined_stop_words() if stop_words is None else stop_words
-    cleaned = df.withColumn(out, text.clean_words(F.col(text_col), stop_words, min_length))
+    cleaned = plain.withColumn(out, text.clean_words(F.col("_plain"), stop_words, min_length)).drop("_plain")
     return _with_lemmas(cleaned, key, out, lemmas)
 
 

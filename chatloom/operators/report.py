@@ -88,7 +88,13 @@ def top_words(df: DataFrame, tokens: str = "tokens", n: int = 3) -> DataFrame:
 
 
 def negative_top_words(df: DataFrame, label: str = "sentiment", tokens: str = "tokens", n: int = 3) -> DataFrame:
-    return top_words(negative_messages(df, label), tokens, n)
+    """Top words of the messages labelled negative.
+
+    The label decides inside the projection: as a row filter its whole scoring expression
+    would be pushed to the scan and worked out there a second time.
+    """
+    words = F.when(F.col(label) == "negative", F.col(tokens))
+    return top_words(df.select(words.alias(tokens)), tokens, n)
 
 
 def suggestions(df: DataFrame, topics: DataFrame | None = None, label: str = "sentiment", tokens: str = "tokens") -> DataFrame:

@@ -76,20 +76,15 @@ def with_valence(
     weighed = lookup.attach_values(words, key, "_low", "_weights", lexicon, "double")
     facts = F.transform(
         F.arrays_zip(F.col("_words").alias("word"), F.col("_low").alias("low"), F.col("_weights").alias("weight")),
-        lambda z, i: F.struct(
-            z["low"].alias("word"),
-            z["weight"].alias("weight"),
-            ((z["word"] != z["low"]) & text.is_upper(z["word"])).alias("caps"),
-            _boost(z["low"], rules).alias("boost"),
-            _negates(z["low"], rules).alias("negates"),
-            (i + 1).alias("at"),
-        ),
+        lambda z, i: F.struct(z["word"], z["low"], z["weight"], (i + 1).alias("at")),
     )
+    shouted = F.exists("_facts", _is_caps) & ~F.forall("_facts", _is_caps)
+    contrast_at = F.array_position("_low", rules.contrast)
     raw = F.coalesce(F.col(text_col), F.lit(""))
     # One column per step: each is read several times by the next one and must not be worked out again.
     return (
         weighed.withColumn("_facts", facts)
-        .withColumn("_sum", _valence_sum(F.col("_facts"), rules))
+        .withColumn("_sum", _valence_sum(F.col("_facts"), shouted, contrast_at, rules))
         .withColumn("_total", _emphasised(F.col("_sum"), raw))
         .withColumn("sentiment_score", F.round(F.col("_total") / F.sqrt(F.col("_total") ** 2 + fixed.NORMALISER), 4))
         .withColumn("sentiment", label_of(F.col("sentiment_score"), threshold, inclusive=True))
@@ -97,6 +92,10 @@ def with_valence(
     )
 
 
+def _is_caps(fact: Column) -> Column:
+    return (fact["word"] != fact["low"]) & text.is_upper(fact["word"])
+
+
 def _boost(word: Column, rules: ValenceWords) -> Column:
     return (
         F.when(word.isin(*rules.boosters_up), fixed.BOOST)
@@ -109,58 +108,64 @@ def _negates(word: Column, rules: ValenceWords) -> Column:
     return F.replace(word, F.lit("'"), F.lit("")).isin(*rules.negations) | F.contains(word, F.lit("n't"))
 
 
-def _valence_sum(facts: Column, rules: ValenceWords) -> Column:
-    fact_type = "struct<word:string,weight:double,caps:boolean,boost:double,negates:boolean,at:int>"
-    none = F.array(F.lit(None).cast(fact_type))
-    shouted = F.exists(facts, lambda f: f["caps"]) & ~F.forall(facts, lambda f: f["caps"])
-    but_at = F.array_position(F.transform(facts, lambda f: f["word"]), rules.contrast)
+def _valence_sum(facts: Column, shouted: Column, contrast_at: Column, rules: ValenceWords) -> Column:
+    none = F.array(F.lit(None).cast("struct<word:string,low:string,weight:double,at:int>"))
     zipped = F.arrays_zip(
         facts.alias("here"),
         F.concat(none, facts).alias("back1"),
         F.concat(none, none, facts).alias("back2"),
         F.concat(none, none, none, facts).alias("back3"),
     )
-    # Only words that carry a weight and are not boosters themselves can add to the sum.
-    carriers = F.filter(zipped, lambda z: z["here"]["weight"].isNotNull() & (z["here"]["boost"] == 0.0))
+    # Only words that carry a weight and are not boosters themselves can add to the sum; the
+    # rules about the words in front are worked out for these alone.
+    boosters = sorted({*rules.boosters_up, *rules.boosters_down})
+    carriers = F.filter(zipped, lambda z: z["here"]["weight"].isNotNull() & ~z["here"]["low"].isin(boosters))
 
     # The facts about the whole message ride in the state: named inside the lambda they would
     # be worked out again for every word.
-    def state(total: Column, shouted: Column, but_at: Column) -> Column:
-        return F.struct(total.alias("total"), shouted.alias("shouted"), but_at.alias("but_at"))
+    def state(total: Column, caps: Column, at: Column) -> Column:
+        return F.struct(total.alias("total"), caps.alias("shouted"), at.alias("contrast_at"))
 
     return F.aggregate(
         carriers,
-        state(F.lit(0.0), shouted, but_at),
-        lambda s, z: state(s["total"] + _word_valence(z, s["shouted"], s["but_at"]), s["shouted"], s["but_at"]),
+        state(F.lit(0.0), shouted, contrast_at),
+        lambda s, z: state(
+            s["total"] + _word_valence(z, s["shouted"], s["contrast_at"], rules), s["shouted"], s["contrast_at"]
+        ),
         lambda s: s["total"],
     )
 
 
-def _word_valence(z: Column, shouted: Column, but_at: Column) -> Column:
-    weight = z["here"]["weight"]
-    start = weight + F.when(
-        z["here"]["caps"] & shouted, F.when(weight > 0, fixed.CAPS_EMPHASIS).otherwise(-fixed.CAPS_EMPHASIS)
-    ).otherwise(0.0)
+def _word_valence(z: Column, shouted: Column, contrast_at: Column, rules: ValenceWords) -> Column:
+    here = z["here"]
+    emphasis = F.when(here["weight"] > 0, fixed.CAPS_EMPHASIS).otherwise(-fixed.CAPS_EMPHASIS)
+    start = here["weight"] + F.when(shouted & _is_caps(here), emphasis).otherwise(0.0)
     steps = F.array(
-        *[F.struct(z[f"back{i + 1}"].alias("b"), F.lit(d).alias("damp")) for i, d in enumerate(fixed.BOOST_DAMPING)]
+        *[
+            F.struct(
+                z[f"back{i + 1}"].alias("b"),
+                _boost(z[f"back{i + 1}"]["low"], rules).alias("boost"),
+                F.lit(damp).alias("damp"),
+            )
+            for i, damp in enumerate(fixed.BOOST_DAMPING)
+        ]
     )
 
     def step(valence: Column, s: Column) -> Column:
-        b = s["b"]
-        signed = F.when(valence < 0, -b["boost"]).otherwise(b["boost"])
+        signed = F.when(valence < 0, -s["boost"]).otherwise(s["boost"])
         caps = F.when(
-            b["caps"] & shouted & (b["boost"] != 0.0),
+            shouted & (s["boost"] != 0.0) & _is_caps(s["b"]),
             F.when(valence > 0, fixed.CAPS_EMPHASIS).otherwise(-fixed.CAPS_EMPHASIS),
         ).otherwise(0.0)
         moved = valence + (signed + caps) * s["damp"]
-        factor = F.when(b["negates"], fixed.NEGATION_FACTOR).otherwise(1.0)
+        factor = F.when(_negates(s["b"]["low"], rules), fixed.NEGATION_FACTOR).otherwise(1.0)
         # A known word in front is scored on its own and does not change this one.
-        return F.when(b.isNotNull() & b["weight"].isNull(), moved * factor).otherwise(valence)
+        return F.when(s["b"].isNotNull() & s["b"]["weight"].isNull(), moved * factor).otherwise(valence)
 
     side = (
-        F.when(but_at == 0, 1.0)
-        .when(z["here"]["at"] < but_at, fixed.BEFORE_BUT)
-        .when(z["here"]["at"] > but_at, fixed.AFTER_BUT)
+        F.when(contrast_at == 0, 1.0)
+        .when(here["at"] < contrast_at, fixed.BEFORE_BUT)
+        .when(here["at"] > contrast_at, fixed.AFTER_BUT)
         .otherwise(1.0)
     )
     return F.aggregate(steps, start, step) * side

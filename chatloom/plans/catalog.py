@@ -189,8 +189,7 @@ def event_trend_long(spark, d):
       SELECT unnest(tokens) AS token FROM cleaned JOIN scored USING (doc_id) WHERE sentiment = 'negative')
     GROUP BY token ORDER BY n DESC, token LIMIT 3""")
 def negative_top_words(spark, d):
-    negative = report.negative_messages(given.documents_scored(spark, d))
-    return report.top_words(cleaning.with_tokens(negative, key="doc_id"))
+    return report.negative_top_words(cleaning.with_tokens(given.documents_scored(spark, d), key="doc_id"))
 
 
 @query("suggestions", f"""WITH {sql.DOC_TOKENS}, {sql.DOC_POLARITY}, {sql.language_topics_cte(5)},
@@ -217,6 +216,13 @@ def preview(spark, d):
     return report.preview(given.conversations_chat(spark, d), ("timestamp", "msg_key"))
 
 
+@query("negative_messages", f"""WITH {sql.TURNS}, {sql.polarity_cte('turns', 'msg_key', 'text')}
+    SELECT msg_key, sentiment FROM scored WHERE sentiment = 'negative'""")
+def negative_messages(spark, d):
+    scored = sentiment.with_polarity(given.conversations_chat(spark, d), given.SAMPLE_POLARITY)
+    return report.negative_messages(scored).select("msg_key", "sentiment")
+
+
 @query("result_rows", f"""WITH {sql.TURNS}, {sql.polarity_cte('turns', 'msg_key', 'text')}
     SELECT {sql.TURN_TIME} AS timestamp, role AS username, text AS message, sentiment FROM turns JOIN scored USING (msg_key)""")
 def result_rows(spark, d):
@@ -269,14 +275,14 @@ def topic_coherence(spark, d):
 @query("topics_lda")
 def topics_lda(spark, d):
     result = topics.model_topics(
-        given.documents_tokens(spark, d), key="doc_id", num_topics=4, layout_partitions=4, with_coherence=False
+        given.documents_tokens(spark, d), key="doc_id", num_topics=4, layout_partitions=8, with_coherence=False
     )
     return topics.topic_table(result.topics)
 
 
 @query("topics_lda_coherence")
 def topics_lda_coherence(spark, d):
-    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4, layout_partitions=4)
+    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4, layout_partitions=8)
     return result.coherence
 
 
