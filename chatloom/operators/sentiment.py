@@ -6,7 +6,9 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from chatloom.functions import fixed, lookup, text
 
@@ -217,9 +219,7 @@ def with_batch_model_label(df: DataFrame, make_predict_fn: Callable, text_col: s
 
     `make_predict_fn()` returns a function from an array of texts to an array of labels.
     """
-    from pyspark.ml.functions import predict_batch_udf
-
-    predict = predict_batch_udf(make_predict_fn, return_type="string", batch_size=batch_size)
+    predict = predict_batch_udf(make_predict_fn, return_type=StringType(), batch_size=batch_size)
     # Blank rows never reach the model: the two sides are separate branches of a union.
     blank = text.is_blank(F.col(text_col))
     scored = df.filter(~blank).withColumn("sentiment", model_label_name(predict(F.col(text_col))))
