@@ -146,4 +146,3 @@ NEGATIVE_TEXT = (
 
 # --- training ---
 TEST_PERCENT = 20
-TRAIN_PASSES = 3

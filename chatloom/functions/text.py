@@ -97,11 +97,10 @@ def raw_words(col: Column) -> Column:
     """Words with their case, outer punctuation stripped unless that leaves 2 characters or less."""
     words = F.filter(F.split(F.coalesce(col, F.lit("")), SPACES), lambda w: w != "")
 
-    def strip_mark(word: Column) -> Column:
-        bare = F.btrim(word, F.lit(PUNCTUATION_MARKS))
-        return F.when(F.length(bare) <= 2, word).otherwise(bare)
-
-    return F.transform(words, strip_mark)
+    pairs = F.transform(
+        words, lambda w: F.struct(w.alias("word"), F.btrim(w, F.lit(PUNCTUATION_MARKS)).alias("bare"))
+    )
+    return F.transform(pairs, lambda p: F.when(F.length(p["bare"]) <= 2, p["word"]).otherwise(p["bare"]))
 
 
 def is_upper(word: Column) -> Column:

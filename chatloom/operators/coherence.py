@@ -41,15 +41,26 @@ def window_counts(
     n_windows = F.when(n_tokens > 0, F.greatest(n_tokens - window + 1, F.lit(1))).otherwise(0)
     located = docs.select(n_windows.alias("n_windows"), hits.alias("hits"))
     words = F.array_distinct(F.transform("hits", lambda h: h["word"]))
-    occurrences = F.transform(
+    places = F.transform(
         words,
         lambda w: F.struct(
             w.alias("word"),
             F.transform(F.filter("hits", lambda h: h["word"] == w), lambda h: h["at"]).alias("at"),
         ),
     )
-    everything = F.array(F.struct(F.lit(TOTAL).alias("word"), F.array().cast("array<int>").alias("at")))
-    found = located.select("n_windows", occurrences.alias("found"))
+    placed = located.select("n_windows", places.alias("places"))
+    occurrences = F.transform(
+        "places",
+        lambda o: F.struct(o["word"], o["at"], _covered(o["at"], F.col("n_windows"), window).alias("n")),
+    )
+    everything = F.array(
+        F.struct(
+            F.lit(TOTAL).alias("word"),
+            F.array().cast("array<int>").alias("at"),
+            F.col("n_windows").cast("bigint").alias("n"),
+        )
+    )
+    found = placed.select("n_windows", occurrences.alias("found"))
     first = found.select("n_windows", "found", F.explode_outer(F.concat(everything, "found")).alias("a"))
     of = literal_lookup({w: sorted(p) for w, p in partners.items()}, "array<string>")
     second = first.withColumn("_with", of(F.col("a.word"))).select(
@@ -59,17 +70,8 @@ def window_counts(
             F.concat(F.array("a"), F.filter("found", lambda o: F.coalesce(F.array_contains("_with", o["word"]), F.lit(False))))
         ).alias("b"),
     )
-    single = _covered(F.col("a.at"), F.col("n_windows"), window)
-    both = (
-        single
-        + _covered(F.col("b.at"), F.col("n_windows"), window)
-        - _covered(F.array_sort(F.concat("a.at", "b.at")), F.col("n_windows"), window)
-    )
-    n = (
-        F.when(F.col("a.word") == TOTAL, F.col("n_windows").cast("bigint"))
-        .when(F.col("a.word") == F.col("b.word"), single)
-        .otherwise(both)
-    )
+    either = _covered(F.array_sort(F.concat("a.at", "b.at")), F.col("n_windows"), window)
+    n = F.when(F.col("a.word") == F.col("b.word"), F.col("a.n")).otherwise(F.col("a.n") + F.col("b.n") - either)
     return (
         second.select(F.col("a.word").alias("word_a"), F.col("b.word").alias("word_b"), n.alias("n"))
         .filter(F.col("n") > 0)

@@ -81,12 +81,13 @@ def model_topics(
     )
     model = lda.fit(vectors)
     mass = topic_mass(model, vectors, num_topics)
-    words = topic_words(model, vectoriser.vocabulary, num_words)
+    ranked = topic_words(model, vectoriser.vocabulary, max(num_words, fixed.COHERENCE_WORDS))
+    words = [w for w in ranked if w[1] < num_words]
     topics = spark.createDataFrame([(*w, mass[w[0]]) for w in words], TOPICS_SCHEMA)
     coherence = None
     if with_coherence:
-        top = topic_words(model, vectoriser.vocabulary, fixed.COHERENCE_WORDS)
-        coherence = topic_coherence(docs, [(t, w) for t, _, w, _ in top], tokens)
+        top = [(topic, word) for topic, rank, word, _ in ranked if rank < fixed.COHERENCE_WORDS]
+        coherence = topic_coherence(docs, top, tokens)
     return TopicResult(model, vectoriser, topics, coherence, monotonic() - start)
 
 

@@ -18,6 +18,7 @@ from chatloom.functions.text import NOT_WORD
 # One candidate per training pass, each with a stronger penalty.
 PENALTIES = (0.001, 0.01, 0.1)
 HASH_FEATURES = 1 << 16
+MAX_ITERATIONS = 10
 
 
 @dataclass
@@ -74,7 +75,7 @@ def fit_classifier(
     text: str = "text",
     label: str = "label",
     penalties: Sequence[float] = PENALTIES,
-    max_iter: int = 10 * fixed.TRAIN_PASSES,
+    max_iter: int = MAX_ITERATIONS,
     features: int = HASH_FEATURES,
 ) -> TrainedClassifier:
     """Fit on the train side, keep the candidate with the best accuracy on the test side.

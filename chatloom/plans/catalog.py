@@ -13,9 +13,11 @@ from chatloom.operators import (
     capture, cleaning, coherence, compare, dedupe, report, retain, sentiment, topics, training, webhook,
 )
 from chatloom.plans import given, sql
-from chatloom.session import scratch_dir, spread
+from chatloom.session import materialise, scratch_dir, spread
 from chatloom.sources import live as live_sources, sinks
+from chatloom.sources.chat_csv import union_labelled
 from chatloom.streaming import live
+from chatloom.streaming.retained import read_retained
 
 
 @dataclass(frozen=True)
@@ -207,7 +209,9 @@ def negative_top_words(spark, d):
       FROM neg HAVING count(*) > 0""")
 def suggestions(spark, d):
     scored = cleaning.with_tokens(given.documents_scored(spark, d), key="doc_id")
-    return report.suggestions(scored, given.language_topics(spark, d, 5))
+    # Three readers, as in the whole analysis: scored and cleaned once.
+    scored = materialise(scored.select("lang", "sentiment", "tokens"), "scored-documents")
+    return report.suggestions(scored, given.language_topics(scored, 5))
 
 
 @query("preview", f"""WITH {sql.TURNS}
@@ -236,20 +240,20 @@ def result_rows(spark, d):
 @query("language_topics", f"""WITH {sql.DOC_TOKENS}, {sql.language_topics_cte(5)}
     SELECT topic, rank::BIGINT AS rank, word, printf('%.3f', weight) AS weight FROM topics""")
 def language_topics(spark, d):
-    return topics.topic_table(given.language_topics(spark, d, 5)).withColumn("rank", F.col("rank").cast("bigint"))
+    return topics.topic_table(given.language_topics(given.documents_tokens(spark, d), 5)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("topic_cloud", f"""WITH {sql.DOC_TOKENS}, {sql.language_topics_cte(40)}
     SELECT word, round(sum(round(weight, 3)), 3) AS weight FROM topics GROUP BY word ORDER BY weight DESC, word LIMIT 100""")
 def topic_cloud(spark, d):
-    return topics.cloud_weights(given.language_topics(spark, d, 40))
+    return topics.cloud_weights(given.language_topics(given.documents_tokens(spark, d), 40))
 
 
 @query("coherence_window_counts", f"""WITH {sql.DOC_TOKENS}, {sql.language_topics_cte(20)}, {sql.window_counts_cte()}
     SELECT word_a, word_b, n FROM counts""")
 def coherence_window_counts(spark, d):
-    wanted = given.language_topic_words(spark, d, fixed.COHERENCE_WORDS)
-    return coherence.window_counts(given.documents_tokens(spark, d), wanted)
+    tokens = materialise(given.documents_tokens(spark, d).select("lang", "tokens"), "document-tokens")
+    return coherence.window_counts(tokens, given.language_topic_words(tokens, fixed.COHERENCE_WORDS))
 
 
 _NPMI = f"""
@@ -267,8 +271,8 @@ _NPMI = f"""
 @query("topic_coherence", f"""WITH {sql.DOC_TOKENS}, {sql.language_topics_cte(20)}, {sql.window_counts_cte()}, {_NPMI}
     SELECT topic, round(avg(c), 6) AS coherence FROM cosines GROUP BY topic""")
 def topic_coherence(spark, d):
-    wanted = given.language_topic_words(spark, d, fixed.COHERENCE_WORDS)
-    per_topic = coherence.topic_coherence(given.documents_tokens(spark, d), wanted)
+    tokens = materialise(given.documents_tokens(spark, d).select("lang", "tokens"), "document-tokens")
+    per_topic = coherence.topic_coherence(tokens, given.language_topic_words(tokens, fixed.COHERENCE_WORDS))
     return per_topic.select("topic", F.round("coherence", 6).alias("coherence"))
 
 
@@ -703,8 +707,6 @@ def split_sizes(spark, d):
       SELECT text, {sql.TRUTH} AS label FROM documents JOIN labels USING (doc_id)
       UNION ALL SELECT text, role FROM conversations) GROUP BY label""")
 def labelled_union(spark, d):
-    from chatloom.sources.chat_csv import union_labelled
-
     parts = [
         given.labelled_documents(spark, d).select("text", "label"),
         given.table(spark, d, "conversations").select("text", F.col("role").alias("label")),
@@ -741,8 +743,6 @@ def _event_stream(spark, d):
 def stream_retained(spark, d):
     out, checkpoint = scratch_dir(spark, "retained"), scratch_dir(spark, "retained-checkpoint")
     live.start_retained(given.events_feed(_event_stream(spark, d)), out, checkpoint, n=20).awaitTermination()
-    from chatloom.streaming.retained import read_retained
-
     return read_retained(spark, out, "channel", 20).select("channel", "msg_key", "sentiment")
 
 

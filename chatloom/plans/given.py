@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chatloom.functions import fixed
 from chatloom.operators.cleaning import exploded, with_tokens
 from chatloom.operators.sentiment import ValenceWords, with_polarity
-from chatloom.session import spread
+from chatloom.session import materialise, spread
 
 # Sample word tables: frequent words of the given texts stand in for a user's lexicon.
 # Weights are multiples of 1/8, so that sums are exact in any order.
@@ -178,12 +178,11 @@ def actual_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- language keywords as topics --------------------------------------------------
 
 
-def language_topics(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def language_topics(tokens: DataFrame, n: int) -> DataFrame:
     """`(topic, rank, word, weight, mass)`: the `n` most frequent tokens of every language."""
-    from pyspark.sql import Window
-
-    words = exploded(documents_tokens(spark, sf_dir), "tokens", "lang").withColumnRenamed("token", "word")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = exploded(tokens, "tokens", "lang").withColumnRenamed("token", "word")
+    # Two readers: the counts, one row per language and word, are written once.
+    counts = materialise(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
     # The limit keeps n words per language in every task; the sums are one row per language.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
     top = counts.withColumn("rank", rank - 1).filter(F.col("rank") < n)
@@ -198,6 +197,6 @@ def language_topics(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     )
 
 
-def language_topic_words(spark: SparkSession, sf_dir: str, n: int) -> list[tuple[int, str]]:
+def language_topic_words(tokens: DataFrame, n: int) -> list[tuple[int, str]]:
     """Languages x n words: bounded by the parameters."""
-    return [(r.topic, r.word) for r in language_topics(spark, sf_dir, n).collect()]
+    return [(r.topic, r.word) for r in language_topics(tokens, n).collect()]
