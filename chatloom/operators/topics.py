@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from time import monotonic
 
@@ -16,6 +17,7 @@ from chatloom.operators.cleaning import VOCABULARY_SIZE, fit_vocabulary
 from chatloom.operators.coherence import topic_coherence, total_coherence
 from chatloom.session import materialise
 
+MAX_UPDATES = 200
 TOPICS_SCHEMA = "topic int, rank int, word string, weight double, mass double"
 
 
@@ -28,9 +30,17 @@ class TopicResult:
     seconds: float
 
 
-def mini_batch_rate(n_docs: int, chunk: int = fixed.TOPIC_CHUNK) -> float:
-    """Share of documents per update: `chunk` documents, between 1% and all of them."""
-    return min(1.0, max(0.01, chunk / max(n_docs, 1)))
+def update_plan(n_docs: int, passes: int, chunk: int | None, max_updates: int = MAX_UPDATES) -> tuple[float, int]:
+    """`(share of documents per update, number of updates)` for `passes` passes over the corpus.
+
+    Every update scans the whole token table, however few documents it samples. Without a
+    `chunk` an update takes them all, so `passes` scans are `passes` passes. With one, an update
+    takes about `chunk` documents (1% at least) and the number of updates grows, up to a limit.
+    """
+    if chunk is None:
+        return 1.0, passes
+    rate = min(1.0, max(0.01, chunk / max(n_docs, 1)))
+    return rate, min(max_updates, math.ceil(passes / rate))
 
 
 def topic_words(model: LDAModel, vocabulary: list[str], n: int) -> list[tuple[int, int, str, float]]:
@@ -51,7 +61,7 @@ def model_topics(
     num_words: int = fixed.TOPIC_WORDS,
     passes: int = fixed.TOPIC_PASSES,
     seed: int = fixed.TOPIC_SEED,
-    chunk: int = fixed.TOPIC_CHUNK,
+    chunk: int | None = None,
     vocabulary_size: int = VOCABULARY_SIZE,
     layout_partitions: int | None = None,
     with_coherence: bool = True,
@@ -75,9 +85,10 @@ def model_topics(
 
     vectoriser = fit_vocabulary(docs, tokens, "features", vocabulary_size)
     vectors = vectoriser.transform(docs).select(key, "features")
+    rate, updates = update_plan(n_docs, passes, chunk)
     lda = LDA(
-        featuresCol="features", k=num_topics, optimizer="online", seed=seed, maxIter=passes,
-        learningOffset=1.0, subsamplingRate=mini_batch_rate(n_docs, chunk), optimizeDocConcentration=True,
+        featuresCol="features", k=num_topics, optimizer="online", seed=seed, maxIter=updates,
+        learningOffset=1.0, subsamplingRate=rate, optimizeDocConcentration=True,
     )
     model = lda.fit(vectors)
     mass = topic_mass(model, vectors, num_topics)

@@ -79,7 +79,10 @@ def test_topic_model_repeats_and_survives_empty_input(spark):
     assert sum({r.topic: r.mass for r in first.topics.collect()}.values()) == pytest.approx(30, abs=1e-3)
     none = topics.model_topics(df.filter("msg_key = 99"))
     assert none.model is None and none.topics.count() == 0
-    assert topics.mini_batch_rate(50) == 1.0 and topics.mini_batch_rate(10**9) == 0.01 and topics.mini_batch_rate(1000) == 0.1
+    assert topics.update_plan(10**9, 10, None) == (1.0, 10)
+    assert topics.update_plan(50, 10, 100) == (1.0, 10)
+    assert topics.update_plan(1000, 10, 100) == (0.1, 100)
+    assert topics.update_plan(10**9, 10, 100) == (0.01, 200)
 
 
 def test_cloud_sums_rounded_weights(spark):
