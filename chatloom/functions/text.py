@@ -14,7 +14,12 @@ from chatloom.functions import fixed
 
 SPACE = r"\t\n\x0B\f\r\x1C-\x1F\x20\x85\p{Z}"
 SPACES = f"[{SPACE}]+"
-EDGE_SPACES = f"^[{SPACE}]+|[{SPACE}]+$"
+EDGE_SPACES = f"^[{SPACE}]+|[{SPACE}]+$"  # as a pattern, for SQL
+# Every character of the class above, for trimming without a pattern.
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 URL = f"http[^{SPACE}]+"
 PUNCTUATION = rf"[^\p{{L}}\p{{N}}_{SPACE}]"
 DIGITS = r"\p{Nd}+"
@@ -31,7 +36,7 @@ CASED_LOWER = r"\p{Ll}"
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space on both ends, not only blanks."""
-    return F.regexp_replace(col, EDGE_SPACES, "")
+    return F.btrim(col, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(col: Column) -> Column:

@@ -18,17 +18,13 @@ def trimmed_keys(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def matched_pairs(predicted: DataFrame, actual: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Inner equi-join on trimmed keys; null keys match each other, duplicate keys multiply.
 
-    `keys` may be `("msg_id",)` when both sides have a unique id. The null-safe condition is
-    still hashable, so this plans as a broadcast or sort-merge join and AQE splits skewed keys.
+    `keys` may be `("msg_id",)` when both sides have a unique id. The sides meet on a digest of
+    the keys, so only one of them carries its text through the shuffle; AQE splits skewed keys.
     The multiplied rows are the contract here; the counts below never build them.
     """
-    p, a = trimmed_keys(predicted, keys).alias("p"), trimmed_keys(actual, keys).alias("a")
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(f"p.{k}").eqNullSafe(F.col(f"a.{k}"))
-    return p.join(a, condition, "inner").select(
-        *[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.predicted_label"), F.col("a.actual_label")
-    )
+    p = trimmed_keys(predicted, keys).select(key_digest(keys).alias("_key"), *keys, "predicted_label")
+    a = actual.select(key_digest(keys).alias("_key"), "actual_label")
+    return p.join(a, "_key").drop("_key")
 
 
 def differs() -> Column:
@@ -58,10 +54,14 @@ def pair_counts(predicted: DataFrame, actual: DataFrame, keys: Sequence[str] = K
     )
 
 
+def key_digest(keys: Sequence[str]) -> Column:
+    """Sha-256 of all trimmed keys; the JSON form keeps null apart from empty text."""
+    trimmed = F.struct(*[strip(F.col(k)).alias(k) for k in keys])
+    return F.sha2(F.to_json(trimmed, {"ignoreNullFields": "false"}), 256)
+
+
 def _folded(df: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
-    # The struct keeps nulls apart from empty text; sha-256 keeps different keys apart.
-    digest = F.sha2(F.to_json(F.struct(*[strip(F.col(k)).alias(k) for k in keys]), {"ignoreNullFields": "false"}), 256)
-    return df.select(digest.alias("_key"), label).groupBy("_key", label).agg(F.count("*").alias("n"))
+    return df.select(key_digest(keys).alias("_key"), label).groupBy("_key", label).agg(F.count("*").alias("n"))
 
 
 def confusion_counts(counts: DataFrame) -> DataFrame:
@@ -103,8 +103,7 @@ def overlap_report(predicted: DataFrame, actual: DataFrame, counts: DataFrame) -
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """`(keys, rows)` with repeated join keys: how far the key is from unique."""
-    digest = F.sha2(F.to_json(F.struct(*[strip(F.col(k)).alias(k) for k in keys]), {"ignoreNullFields": "false"}), 256)
-    repeated = df.groupBy(digest.alias("_key")).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    repeated = df.groupBy(key_digest(keys).alias("_key")).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     return repeated.agg(F.count("*").alias("repeated_keys"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"))
 
 

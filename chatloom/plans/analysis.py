@@ -68,7 +68,8 @@ def compare_labels(predicted: DataFrame, actual: DataFrame, keys: tuple[str, ...
     if keys is None:
         both_have_id = "msg_id" in predicted.columns and "msg_id" in actual.columns
         keys = ("msg_id",) if both_have_id else compare.KEYS
-    counts = compare.pair_counts(predicted, actual, keys)
+    # Four readers of a table of labels x labels rows.
+    counts = materialise(compare.pair_counts(predicted, actual, keys), "pair-counts")
     return Comparison(
         label_counts=compare.all_label_counts(predicted, actual, counts),
         overlap=compare.overlap_report(predicted, actual, counts),

@@ -329,7 +329,7 @@ def confusion_counts(spark, d):
     UNION ALL SELECT 'matched_actual', actual_label, count(*)::BIGINT FROM matched GROUP BY 2""")
 def label_counts(spark, d):
     predicted, actual = _pairs(spark, d)
-    return compare.all_label_counts(predicted, actual, compare.pair_counts(predicted, actual))
+    return compare.all_label_counts(predicted, actual, materialise(compare.pair_counts(predicted, actual), "pair-counts"))
 
 
 @query("overlap_report", f"""WITH {sql.MATCHED}
