@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed, lookup, text
@@ -108,5 +108,15 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 def fit_vocabulary(
     df: DataFrame, tokens: str = "tokens", out: str = "features", size: int = VOCABULARY_SIZE
 ) -> CountVectorizerModel:
-    """Dictionary and bag-of-words vectors for the topic model."""
-    return CountVectorizer(inputCol=tokens, outputCol=out, vocabSize=size, minDF=1.0).fit(df)
+    """Dictionary and bag-of-words vectors for the topic model: the `size` most frequent tokens.
+
+    `CountVectorizer.fit` leaves tokens of equal count in arrival order, which changes from run
+    to run. Here ties go by name and the dictionary is alphabetical, so the vectors repeat.
+    """
+    top = vocabulary(df, tokens).orderBy(F.col("term_freq").desc(), "token").limit(size).select("token")
+    listed = StringIndexer(inputCol="token", outputCol="index", stringOrderType="alphabetAsc").fit(top)
+    # The word list stays a Java array: handing it over word by word would take a call per word.
+    model = CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", listed._java_obj.labels()
+    )
+    return model._set(inputCol=tokens, outputCol=out)
