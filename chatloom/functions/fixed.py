@@ -5,22 +5,36 @@ names, indicators, delimiters, thresholds). The values decide results, so they a
 kept together and in plain form; every operator takes them as default parameters.
 """
 
-# --- chat stop words (added to the English and Turkish lists of Spark ML) ---
+# --- stop words: the public default lists of Spark ML (`StopWordsRemover`), as fixed values ---
+ENGLISH_STOP_WORDS = tuple("""
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is are
+    was were be been being have has had having do does did doing a an the and but if or because as until while
+    of at by for with about against between into through during before after above below to from up down in out
+    on off over under again further then once here there when where why how all any both each few more most
+    other some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll
+    she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've
+    you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
+    shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's
+    who's why's would
+""".split())
+TURKISH_STOP_WORDS = tuple("""
+    acaba ama aslında az bazı belki biri birkaç birşey biz bu çok çünkü da daha de defa diye eğer en gibi hem
+    hep hepsi her hiç için ile ise kez ki kim mı mu mü nasıl ne neden nerde nerede nereye niçin niye o sanki şey
+    siz şu tüm ve veya ya yani
+""".split())
+# --- chat stop words, added to both lists ---
 CHAT_STOP_WORDS = (
-    # Turkish, informal and common
     "abi", "kanka", "aga", "knk", "reyiz", "reis", "hocam", "orda", "burda", "şurda",
     "yani", "şey", "ben", "sen", "biz", "siz", "onlar", "bu", "şu", "o",
     "ama", "veya", "yada", "gibi", "ile", "için", "mi", "mı", "mu", "mü",
     "bi", "bir", "be", "de", "da", "ki", "ne", "ya", "hee", "yaw", "yav",
     "çok", "az", "var", "yok", "evet", "hayır",
-    # English, informal and common
     "bro", "bruh", "dude", "pls", "plz", "ffs", "gg", "wp", "ez", "ngl", "smh", "tbh",
     "btw", "aka", "afk", "rn", "imo", "imho",
-    # emote names and reactions
     "lul", "lol", "kekw", "omegalul", "pog", "poggers", "pogchamp", "kappa", "pepega",
     "residentsleeper", "sadge", "copium", "monkas", "feelsbadman", "feelsgoodman",
     "haha", "hehe", "hihi",
-    # expletives and noise
     "wtf", "lmao", "amk", "aq", "zort", "oe", "oç", "oc",
 )
 MIN_WORD_LENGTH = 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed, lookup, text
@@ -15,9 +15,7 @@ VOCABULARY_SIZE = 1 << 18
 
 def combined_stop_words(extra: Iterable[str] = fixed.CHAT_STOP_WORDS) -> frozenset[str]:
     """English and Turkish lists of Spark ML plus the chat words (a set union)."""
-    english = StopWordsRemover.loadDefaultStopWords("english")
-    turkish = StopWordsRemover.loadDefaultStopWords("turkish")
-    return frozenset(english) | frozenset(turkish) | frozenset(extra)
+    return frozenset(fixed.ENGLISH_STOP_WORDS) | frozenset(fixed.TURKISH_STOP_WORDS) | frozenset(extra)
 
 
 def with_tokens(

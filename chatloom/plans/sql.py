@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import pathlib
-import zipfile
-
-import pyspark
-
 from chatloom.functions import fixed, text
+from chatloom.operators.cleaning import combined_stop_words
 from chatloom.plans import given
 
 
@@ -23,17 +19,6 @@ def values(entries: dict[str, float]) -> str:
     return ", ".join(f"({quote(w)}, {v}::DOUBLE)" for w, v in sorted(entries.items()))
 
 
-def stop_words() -> set[str]:
-    """The lists Spark ML ships, read from its jar so that no session is needed."""
-    jars = sorted((pathlib.Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    found = set(fixed.CHAT_STOP_WORDS)
-    with zipfile.ZipFile(jars[0]) as jar:
-        for language in ("english", "turkish"):
-            listed = jar.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode()
-            found.update(w for w in listed.split("\n") if w)
-    return found
-
-
 def strip(expr: str) -> str:
     return f"regexp_replace({expr}, {quote(text.EDGE_SPACES)}, '', 'g')"
 
@@ -52,7 +37,7 @@ def tokens_cte(source: str, key: str, column: str, extra: str = "") -> str:
         ELSE regexp_replace(u, {quote(text.NOISE)}, '', 'g') END AS x FROM bare),
     cleaned AS (
       SELECT {key}{more}, list_filter(string_split_regex({spaced}, ' +'),
-        lambda w: length(w) >= {fixed.MIN_WORD_LENGTH} AND w NOT IN ({words(stop_words())})) AS tokens FROM plain)"""
+        lambda w: length(w) >= {fixed.MIN_WORD_LENGTH} AND w NOT IN ({words(combined_stop_words())})) AS tokens FROM plain)"""
 
 
 DOC_TOKENS = tokens_cte("documents", "doc_id", "text", "lang")

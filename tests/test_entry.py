@@ -43,3 +43,35 @@ def _compare(spark, name):
 def test_results_match_sql(spark, name):
     pytest.importorskip("duckdb")
     _compare(spark, name)
+
+
+def test_stop_words_equal_the_lists_of_spark_ml(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from chatloom.functions import fixed
+
+    assert list(fixed.ENGLISH_STOP_WORDS) == list(StopWordsRemover.loadDefaultStopWords("english"))
+    assert list(fixed.TURKISH_STOP_WORDS) == list(StopWordsRemover.loadDefaultStopWords("turkish"))
+
+
+def test_entry_imports_without_any_jar_or_session(tmp_path):
+    import os
+    import pathlib
+    import subprocess
+    import sys
+
+    code = (
+        "import pathlib\n"
+        "old = pathlib.Path.glob\n"
+        "pathlib.Path.glob = lambda self, pattern, *a, **k: iter(()) if 'jar' in str(pattern) else old(self, pattern, *a, **k)\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "assert SparkSession.getActiveSession() is None\n"
+        "print(len(e.queries()), len(e.oracle_sql()))\n"
+    )
+    repo = pathlib.Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(repo)},
+                          capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    queries, sqls = map(int, done.stdout.split())
+    assert 0 < sqls <= queries
