@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chatloom.llm import decontaminate
+from chatloom.llm import decontaminate, urls
 
 _ALL = {}
-for _module in (decontaminate,):
+for _module in (decontaminate, urls):
     _ALL |= _module.QUERIES
 
 QUERIES = {name: q.build for name, q in _ALL.items()}
