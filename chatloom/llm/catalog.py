@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chatloom.llm import decontaminate, urls
+from chatloom.llm import decontaminate, licenses, urls
 
 _ALL = {}
-for _module in (decontaminate, urls):
+for _module in (decontaminate, licenses, urls):
     _ALL |= _module.QUERIES
 
 QUERIES = {name: q.build for name, q in _ALL.items()}
