@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chatloom.llm import decontaminate, licenses, quality, urls
+from chatloom.llm import decontaminate, langid, licenses, quality, urls
 
 _ALL = {}
-for _module in (quality, decontaminate, licenses, urls):
+for _module in (quality, langid, decontaminate, licenses, urls):
     _ALL |= _module.QUERIES
 
 QUERIES = {name: q.build for name, q in _ALL.items()}
