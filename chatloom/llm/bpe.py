@@ -125,10 +125,14 @@ class BytePairs:
             self.known.clear()
         if not self.known:
             self.known.update((t, i.to_bytes(4, "little")) for t, i in self.special.items())
-        fresh = list(set().union(*split).difference(self.known))
+        found = [list(map(self.known.get, parts)) for parts in split]
+        open_rows = [i for i, ids in enumerate(found) if None in ids]
+        fresh = list({w for i in open_rows for w, ids in zip(split[i], found[i]) if ids is None})
         if fresh:
             self.known.update(zip(fresh, self.merge([w.encode() for w in fresh])))
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        for i in open_rows:
+            found[i] = map(self.known.__getitem__, split[i])
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: bytes | None) -> str:
         """Text of ids; what isn't UTF-8 becomes U+FFFD."""
