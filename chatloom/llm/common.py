@@ -77,3 +77,16 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[st
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def quoted(names: Sequence[str]) -> list[Column]:
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chatloom.llm.common import KEY, UPPER, Query, ascii_lower, pinned, table, text_key
+from chatloom.llm.common import KEY, UPPER, Query, ascii_lower, pinned, quoted, table, text_key, unused
 from chatloom.session import materialise
 
 WINDOW = 13
@@ -71,6 +71,15 @@ def contaminated_keys(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     return found.where("contaminated").select(*KEY).distinct()
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their columns."""
+    bad = contaminated_keys(docs, benchmark, text_col, **options)
+    own = [unused(docs, n) for n in ("text_1", "text_2")]
+    keyed = docs.withColumns(dict(zip(own, text_key(F.col(text_col)))))
+    # the text key of a null is a number as well
+    return keyed.join(bad, (keyed[own[0]] == bad[KEY[0]]) & (keyed[own[1]] == bad[KEY[1]]), "left_anti").select(*quoted(docs.columns))
+
+
 def _verdicts(docs, benchmark, id_col, text_col, item_col="item_id", item_text_col="text", window=WINDOW, gram=GRAM):
     items = _worded(
         benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("_item"), F.col(item_text_col).alias("_text")),

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chatloom.llm.common import Query, table, with_columns
+from chatloom.llm.common import Query, quoted, table, unused, with_columns
 from chatloom.session import materialise
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -200,9 +200,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose language is known with at least `min_score`, with their columns."""
     model = fit_languages(docs.where(~held_out(id_col)), text_col, lang_col)
-    found = with_language(docs, model, text_col, ("_lang_pred", "_lang_score"))
-    names = docs.columns
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(*(f"`{n}`" for n in names))
+    pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    found = with_language(docs, model, text_col, (pred, score))
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).select(*quoted(docs.columns))
 
 
 def op2_words(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from chatloom.llm.common import KEY, Query, table, text_key, with_columns
+from chatloom.llm.common import KEY, Query, quoted, table, text_key, unused, with_columns
 from chatloom.session import materialise
 
 SHINGLE = 5
@@ -401,16 +401,16 @@ def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL
 ) -> DataFrame:
     """The rows of `docs` with one row of each class: the one of the least id (null ids last), of equal ids the least text key."""
-    names = docs.columns
     found = _classes(docs, id_col, text_col, similarity, recall).where("_class is not null")
     stays = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", *KEY)).alias("_stay")
     stays = found.groupBy("_class").agg(stays).select("_stay.*")
-    keyed = docs.withColumns({"_near_id": F.col(id_col)} | dict(zip(("_near_1", "_near_2"), text_key(F.col(text_col)))))
-    same = (keyed["_near_1"] == stays["_k1"]) & (keyed["_near_2"] == stays["_k2"]) & keyed["_near_id"].eqNullSafe(stays["_id"])
+    own = [unused(docs, n) for n in ("near_id", "near_1", "near_2")]
+    keyed = docs.withColumns(dict(zip(own, (F.col(id_col), *text_key(F.col(text_col))))))
+    same = (keyed[own[1]] == stays["_k1"]) & (keyed[own[2]] == stays["_k2"]) & keyed[own[0]].eqNullSafe(stays["_id"])
     # rows that agree in id and text are one row
-    kept = keyed.join(stays, same, "left_semi").dropDuplicates(["_near_id", "_near_1", "_near_2"])
+    kept = keyed.join(stays, same, "left_semi").dropDuplicates(own)
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    return kept.select(*(f"`{n}`" for n in names)).unionByName(docs.where(wordless))
+    return kept.select(*quoted(docs.columns)).unionByName(docs.where(wordless))
 
 
 def op10_chosen_path(spark, sf_dir: str) -> DataFrame:

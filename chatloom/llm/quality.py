@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chatloom.llm.common import KEY, Query, table, text_key, with_columns
+from chatloom.llm.common import KEY, Query, quoted, table, text_key, unused, with_columns
 from chatloom.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -230,7 +230,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, with their columns. The texts are read twice and never shuffled."""
-    names = docs.columns
     texts = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
     stats = materialise(rule_statistics(texts, "_text").drop("_text"), "quality-statistics")
     model = fit_quality(stats, labels, "_id")
@@ -244,8 +243,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
         return work
 
-    flagged = with_columns(docs, [text_col], [("_quality_kept", "boolean")], make)
-    return flagged.where("_quality_kept").select(*(f"`{n}`" for n in names))
+    flag = unused(docs, "quality_kept")
+    return with_columns(docs, [text_col], [(flag, "boolean")], make).where(F.col(flag)).select(*quoted(docs.columns))
 
 
 def op1_forest(spark, sf_dir: str) -> DataFrame:
