@@ -17,9 +17,11 @@ WINDOW = 16
 TRAIN_LANES = 128
 SCORE_LANES = 256
 SCORE_WINDOW = 16
+# A small corpus is dealt to fewer lanes, so that it gives about this many gradients.
+LEAST_UPDATES, LEAST_LANES = 200, 8
 # The state runs through every window; every fourth of them gives a gradient.
 GRADIENT_EVERY = 4
-RATE = 0.015
+RATE = 0.01
 CLIP = 5.0
 # Scores of the output are bounded so that their exponentials fit.
 LARGEST = 60.0
@@ -191,7 +193,8 @@ class Trainer:
     def learn(self, texts: list[np.ndarray]) -> None:
         if not texts:
             return
-        inputs, targets, begins, used, _ = lanes_of(texts, TRAIN_LANES, self.layout)
+        lanes = sum(map(len, texts)) // (WINDOW * GRADIENT_EVERY * LEAST_UPDATES)
+        inputs, targets, begins, used, _ = lanes_of(texts, min(max(lanes, LEAST_LANES), TRAIN_LANES), self.layout)
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for k, a in enumerate(range(0, len(inputs), WINDOW)):
             part = slice(a, a + WINDOW), slice(0, int((used > a).sum()))  # lanes that go on
