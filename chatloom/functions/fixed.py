@@ -57,7 +57,6 @@ MODEL_LABEL_NAMES = {
     "LABEL_0": "negative", "LABEL_1": "neutral", "LABEL_2": "positive",
     "0": "negative", "1": "neutral", "2": "positive",
 }
-MAX_MODEL_TOKENS = 512
 
 # --- valence rules (Hutto and Gilbert, 2014) ---
 BOOST = 0.293

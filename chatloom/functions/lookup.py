@@ -13,13 +13,21 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chatloom.session import materialise
+
 LITERAL_ENTRIES = 50_000
 JOIN_SALTS = 32
 
 
+def single_entries(table: DataFrame) -> DataFrame:
+    """`(_word, _value)`, each word once: of a word listed several times the greatest value counts, null words never match."""
+    entries = table.toDF("_word", "_value").filter(F.col("_word").isNotNull())
+    return entries.groupBy("_word").agg(F.max("_value").alias("_value"))
+
+
 def bounded_entries(table: DataFrame, limit: int = LITERAL_ENTRIES) -> dict | None:
-    """The two-column `table` as a dict, or None when it has more than `limit` rows."""
-    rows = table.limit(limit + 1).collect()
+    """The two-column `table` as a dict, or None when it has more than `limit` words."""
+    rows = single_entries(table).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     return {row[0]: row[1] for row in rows}
@@ -57,8 +65,8 @@ def attach_values(
 ) -> DataFrame:
     """Add array column `out`: for each word of `words` its value in `table`, else null.
 
-    `table` is a dict or a frame `(word, value)`; `key` must be unique per row and is
-    only used when the table is too big for a literal.
+    `table` is a dict or a frame `(word, value)`. Both routes give the same values in the same
+    places: rows are told apart by a row id of their own, so a repeated or null `key` does no harm.
     """
     entries = table if isinstance(table, Mapping) else bounded_entries(table, limit)
     if entries is not None and len(entries) <= limit:
@@ -78,23 +86,25 @@ def _attach_by_join(
     value_type: str,
     fold: Callable[[Column], Column],
 ) -> DataFrame:
-    entries = table.toDF("_word", "_value").select(
+    entries = single_entries(table).select(
         "_word", "_value", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("_salt")
     )
-    tokens = df.select(key, F.posexplode_outer(words).alias("_pos", "_token")).select(
-        key,
+    # Written once, so that both readers see the same row ids.
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "lookup-rows")
+    tokens = rows.select("_row", F.posexplode_outer(words).alias("_pos", "_token")).select(
+        "_row",
         "_pos",
         fold(F.col("_token")).alias("_word"),
-        F.pmod(F.xxhash64(key, "_pos"), F.lit(JOIN_SALTS)).cast("int").alias("_salt"),
-    ).filter(F.col("_pos").isNotNull())
-    # One message is one group, so no group is unbounded.
-    values = (
-        tokens.join(entries, ["_word", "_salt"], "left")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_values"))
+        F.pmod(F.xxhash64("_row", "_pos"), F.lit(JOIN_SALTS)).cast("int").alias("_salt"),
+    ).filter(F.col("_word").isNotNull())
+    # Known words alone cross the join; one message is one group, so no group is unbounded.
+    hits = tokens.join(entries, ["_word", "_salt"]).groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("_pos", "_value"))).alias("_hits")
     )
+    found = F.transform(words, lambda w, i: F.try_element_at("_hits", i))
+    none = F.transform(words, lambda w: F.lit(None).cast(value_type))
     return (
-        df.join(values, key, "left")
-        .withColumn(out, F.coalesce(F.col("_values._value"), F.array().cast(f"array<{value_type}>")))
-        .drop("_values")
+        rows.join(hits, "_row", "left")
+        .withColumn(out, F.when(F.col("_hits").isNull(), none).otherwise(found))
+        .drop("_hits", "_row")
     )

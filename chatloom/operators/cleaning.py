@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed, lookup, text
 
-# Public Spark ML default (2^18); the topic model holds topics x vocabulary on the driver.
-VOCABULARY_SIZE = 1 << 18
-
-
 def combined_stop_words(extra: Iterable[str] = fixed.CHAT_STOP_WORDS) -> frozenset[str]:
     """English and Turkish lists of Spark ML plus the chat words (a set union)."""
     return frozenset(fixed.ENGLISH_STOP_WORDS) | frozenset(fixed.TURKISH_STOP_WORDS) | frozenset(extra)
@@ -103,16 +99,16 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
-def fit_vocabulary(
-    df: DataFrame, tokens: str = "tokens", out: str = "features", size: int = VOCABULARY_SIZE
-) -> CountVectorizerModel:
-    """Dictionary and bag-of-words vectors for the topic model: the `size` most frequent tokens.
+def fit_vocabulary(df: DataFrame, tokens: str = "tokens", out: str = "features", limit: int | None = None) -> CountVectorizerModel:
+    """Dictionary and bag-of-words vectors for the topic model: every token, in alphabetical order.
 
-    `CountVectorizer.fit` leaves tokens of equal count in arrival order, which changes from run
-    to run. Here ties go by name and the dictionary is alphabetical, so the vectors repeat.
+    The topic model holds topics x words on the driver (Spark ML's design). A caller who must bound that gives a
+    `limit`, and a bigger dictionary is then an error: no word is ever left out silently.
     """
-    top = vocabulary(df, tokens).orderBy(F.col("term_freq").desc(), "token").limit(size).select("token")
-    listed = StringIndexer(inputCol="token", outputCol="index", stringOrderType="alphabetAsc").fit(top)
+    listed = vocabulary(df, tokens).select("token")
+    if limit is not None and (n := listed.count()) > limit:
+        raise ValueError(f"the dictionary has {n} words, more than the limit of {limit}")
+    listed = StringIndexer(inputCol="token", outputCol="index", stringOrderType="alphabetAsc").fit(listed)
     # The word list stays a Java array: handing it over word by word would take a call per word.
     model = CountVectorizerModel._create_from_java_class(
         "org.apache.spark.ml.feature.CountVectorizerModel", listed._java_obj.labels()

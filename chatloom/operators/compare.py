@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chatloom.functions.text import strip
 
 KEYS = ("timestamp", "username", "message_text")
+PAIR_SALTS = 8
 
 
 def trimmed_keys(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -19,12 +20,16 @@ def matched_pairs(predicted: DataFrame, actual: DataFrame, keys: Sequence[str] =
     """Inner equi-join on trimmed keys; null keys match each other, duplicate keys multiply.
 
     `keys` may be `("msg_id",)` when both sides have a unique id. The sides meet on a digest of
-    the keys, so only one of them carries its text through the shuffle; AQE splits skewed keys.
-    The multiplied rows are the contract here; the counts below never build them.
+    the keys, so only one of them carries its text through the shuffle. The truth is folded to one row per key and
+    label with its count, so a hot key has a few rows on that side, which are dealt out PAIR_SALTS times; the predicted
+    rows of the key then meet them in as many tasks. The multiplied rows are the contract here; the counts below
+    never build them.
     """
     p = trimmed_keys(predicted, keys).select(key_digest(keys).alias("_key"), *keys, "predicted_label")
-    a = actual.select(key_digest(keys).alias("_key"), "actual_label")
-    return p.join(a, "_key").drop("_key")
+    p = p.withColumn("_salt", F.floor(F.rand(7) * PAIR_SALTS).cast("int"))
+    a = _folded(actual, "actual_label", keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
+    pairs = p.join(a, ["_key", "_salt"])
+    return pairs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("_key", "_salt", "_copy", "n")
 
 
 def differs() -> Column:

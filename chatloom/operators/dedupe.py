@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 
 def first_per_id(df: DataFrame, key: str = "msg_id", order: Sequence[str] = ("ts",)) -> DataFrame:
-    """One whole row per id, the earliest in `order`.
+    """One whole row per id, the earliest in `order`; of equal ones the least of the whole row.
 
     The rank filter becomes a group limit of one row per id in every map task, so copies of
     a hot id are dropped before the shuffle.
     """
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    ties = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (key, *order)]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order, *ties))
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
@@ -64,5 +66,6 @@ def exact_lookup(
 
 
 def received_messages(messages: DataFrame, wanted: DataFrame, text_col: str = "message") -> DataFrame:
-    """Stored messages whose text is one of the wanted texts."""
-    return messages.join(wanted.select(text_col), text_col, "left_semi")
+    """Stored messages whose text is one of the wanted texts; both sides meet on a digest, the wanted ones once each."""
+    asked = wanted.select(F.sha2(text_col, 256).alias("_h")).distinct()
+    return messages.withColumn("_h", F.sha2(text_col, 256)).join(asked, "_h", "left_semi").drop("_h")

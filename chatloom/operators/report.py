@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed
 from chatloom.operators.cleaning import exploded
+from chatloom.session import settled
 
 
 def preview(df: DataFrame, order: Sequence[str] = ("timestamp",), rows: int = fixed.PREVIEW_ROWS) -> DataFrame:
@@ -46,16 +47,16 @@ def trend(
 ) -> DataFrame:
     """Rows per period and label, one column per label; empty periods are not emitted.
 
-    The label values are given, so no extra job looks for them, and the pivot is one
-    partial-aggregated pass. Rows whose time could not be read are not lost: they are
-    counted under a null period.
+    The label values are given, so no extra job looks for them, and one partial-aggregated pass counts
+    them. Rows without a label don't count: a period of such rows alone is not emitted. A label outside the list is an
+    error. Rows whose time could not be read are not lost: they are counted under a null period.
     """
-    return (
-        df.groupBy(F.date_trunc(period, F.col(time)).alias("period"))
-        .pivot(label, list(labels))
-        .agg(F.count(F.lit(1)))
-        .na.fill(0, list(labels))
+    listed = F.col(label).isin(*labels)
+    checked = F.when(listed, F.col(label)).otherwise(
+        F.raise_error(F.concat(F.lit("a label outside the list: "), F.col(label).cast("string"))).cast("string")
     )
+    rows = df.select(F.date_trunc(period, F.col(time)).alias("period"), F.when(F.col(label).isNotNull(), checked).alias("_label"))
+    return rows.filter(F.col("_label").isNotNull()).groupBy("period").agg(*(F.count_if(F.col("_label") == x).alias(x) for x in labels))
 
 
 def trend_counts(df: DataFrame, time: str = "ts", label: str = "sentiment", period: str = "1 minute") -> DataFrame:
@@ -73,7 +74,8 @@ def sort_by_time(df: DataFrame, time: str = "ts", key: str = "msg_key") -> DataF
 
 
 def negative_messages(df: DataFrame, label: str = "sentiment") -> DataFrame:
-    return df.filter(F.col(label) == "negative")
+    """The filter stays behind the scoring, which is worked out once."""
+    return settled(df).filter(F.col(label) == "negative")
 
 
 def top_words(df: DataFrame, tokens: str = "tokens", n: int = 3) -> DataFrame:

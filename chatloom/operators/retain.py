@@ -40,6 +40,16 @@ def last_n(df: DataFrame, n: int = fixed.DISPLAY_ROWS, order: Sequence[str] = ("
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
+def stored_messages_kept(stored: DataFrame, order: Sequence[str] = ("timestamp", "id")) -> DataFrame:
+    """What the webhook store shows: its newest messages."""
+    return last_n(stored, fixed.KEEP_WEBHOOK_MESSAGES, order)
+
+
+def raw_events_kept(envelopes: DataFrame, order: Sequence[str] = ("received_at",)) -> DataFrame:
+    """What the raw-event view shows: the newest events, readable or not."""
+    return last_n(envelopes, fixed.KEEP_RAW_EVENTS, order)
+
+
 def retained_summary(retained: DataFrame, group: str, tail: int = fixed.SUMMARY_TAIL) -> DataFrame:
     """Per group: rows kept, mean score, rows per label, the last few messages.
 

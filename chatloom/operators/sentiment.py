@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
@@ -194,11 +195,10 @@ def with_model_label(
 ) -> DataFrame:
     """Label by a fitted pipeline that writes `predicted_name`; blank text stays `unknown`.
 
-    Row-local. Texts are cut to the first 512 words for the model only, as the model contract says.
+    Row-local, over whole texts.
     """
-    words = F.slice(F.split(text.strip(F.coalesce(F.col(text_col), F.lit(""))), text.SPACES), 1, fixed.MAX_MODEL_TOKENS)
     kept = df.columns
-    scored = model.transform(df.withColumn(model_text, F.array_join(words, " ")))
+    scored = model.transform(df.withColumn(model_text, F.coalesce(F.col(text_col), F.lit(""))))
     allowed = ("positive", "negative") if two_class else ("positive", "negative", "neutral")
     named = model_label_name(F.col("predicted_name"), allowed)
     sentiment = F.when(text.is_blank(F.col(text_col)), "unknown").otherwise(named)
@@ -219,11 +219,23 @@ def with_batch_model_label(df: DataFrame, make_predict_fn: Callable, text_col: s
 
     `make_predict_fn()` returns a function from an array of texts to an array of labels.
     """
-    predict = predict_batch_udf(make_predict_fn, return_type=StringType(), batch_size=batch_size)
-    # Blank rows never reach the model: the two sides are separate branches of a union.
-    blank = text.is_blank(F.col(text_col))
-    scored = df.filter(~blank).withColumn("sentiment", model_label_name(predict(F.col(text_col))))
-    return scored.unionByName(df.filter(blank).withColumn("sentiment", F.lit("unknown")))
+    def make() -> Callable:
+        answer = make_predict_fn()
+
+        def predict_some(texts: np.ndarray) -> np.ndarray:
+            given = texts != ""
+            out = np.full(len(texts), "unknown", object)
+            if given.any():
+                out[given] = answer(texts[given])
+            return out
+
+        return predict_some
+
+    predict = predict_batch_udf(make, return_type=StringType(), batch_size=batch_size)
+    # One read of the input; a blank text becomes empty here and never reaches the model.
+    said = F.when(text.is_blank(F.col(text_col)), "").otherwise(F.col(text_col))
+    named = model_label_name(predict(said))
+    return df.withColumn("sentiment", F.when(text.is_blank(F.col(text_col)), "unknown").otherwise(named))
 
 
 # --- dispatch ---------------------------------------------------------------------
@@ -239,6 +251,7 @@ def run_sentiment(
     model: PipelineModel | None = None,
     text_col: str = "message",
     key: str = "msg_key",
+    rules: ValenceWords = ValenceWords(),
 ) -> DataFrame:
     """Add `sentiment` by method name; the lexicon or fitted model comes from the caller.
 
@@ -249,8 +262,9 @@ def run_sentiment(
     if method in ("textblob", "vader"):
         if lexicon is None:
             raise ValueError(f"method {method!r} needs a lexicon")
-        scorer = with_polarity if method == "textblob" else with_valence
-        return scorer(df, lexicon, text_col, key)
+        if method == "textblob":
+            return with_polarity(df, lexicon, text_col, key)
+        return with_valence(df, lexicon, text_col, key, rules=rules)
     if model is None:
         raise ValueError(f"method {method!r} needs a fitted model")
     return with_model_label(df, model, text_col, two_class=method == "bert")

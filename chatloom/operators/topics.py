@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed
 from chatloom.functions.text import weight_text
-from chatloom.operators.cleaning import VOCABULARY_SIZE, fit_vocabulary
+from chatloom.operators.cleaning import fit_vocabulary
 from chatloom.operators.coherence import topic_coherence, total_coherence
 from chatloom.session import materialise
 
-MAX_UPDATES = 200
+# Documents per part of the token table; a fixed number keeps the layout, and so the model, repeatable at any size.
+LAYOUT_DOCS = 5_000
 TOPICS_SCHEMA = "topic int, rank int, word string, weight double, mass double"
 
 
@@ -30,24 +31,26 @@ class TopicResult:
     seconds: float
 
 
-def update_plan(n_docs: int, passes: int, chunk: int | None, max_updates: int = MAX_UPDATES) -> tuple[float, int]:
+def update_plan(n_docs: int, passes: int, chunk: int | None) -> tuple[float, int]:
     """`(share of documents per update, number of updates)` for `passes` passes over the corpus.
 
-    Every update scans the whole token table, however few documents it samples. Without a
-    `chunk` an update takes them all, so `passes` scans are `passes` passes. With one, an update
-    takes about `chunk` documents (1% at least) and the number of updates grows, up to a limit.
+    Every update scans the whole token table, however few documents it samples. Without a `chunk` an update takes
+    them all, so `passes` scans are `passes` passes: the default, as a mini-batch of `fixed.TOPIC_CHUNK` documents would
+    cost a scan of its own. With a chunk an update takes about that many documents, and there are as many updates as the
+    passes need.
     """
     if chunk is None:
         return 1.0, passes
-    rate = min(1.0, max(0.01, chunk / max(n_docs, 1)))
-    return rate, min(max_updates, math.ceil(passes / rate))
+    rate = min(1.0, chunk / max(n_docs, 1))
+    return rate, math.ceil(passes / rate)
 
 
-def topic_words(model: LDAModel, vocabulary: list[str], n: int) -> list[tuple[int, int, str, float]]:
-    """`(topic, rank, word, weight)`: topics x n rows, bounded by the parameters."""
+def topic_words(model: LDAModel, vocabulary: CountVectorizerModel, n: int) -> list[tuple[int, int, str, float]]:
+    """`(topic, rank, word, weight)`: topics x n rows, bounded by the parameters. Only these words leave the JVM."""
+    words = vocabulary._java_obj.vocabulary()
     rows = model.describeTopics(n).collect()
     return [
-        (row.topic, rank, vocabulary[term], float(weight))
+        (row.topic, rank, words[term], float(weight))
         for row in rows
         for rank, (term, weight) in enumerate(zip(row.termIndices, row.termWeights))
     ]
@@ -62,28 +65,26 @@ def model_topics(
     passes: int = fixed.TOPIC_PASSES,
     seed: int = fixed.TOPIC_SEED,
     chunk: int | None = None,
-    vocabulary_size: int = VOCABULARY_SIZE,
-    layout_partitions: int | None = None,
+    vocabulary_limit: int | None = None,
     with_coherence: bool = True,
 ) -> TopicResult:
     """Online LDA over non-empty token lists.
 
     Every update reads the corpus again, so the tokens are written once (shared folder) and
-    the iterations scan that table, never the cleaning. Results repeat for the same seed and
-    the same layout; `layout_partitions` pins it by the hash and order of the key.
+    the iterations scan that table, never the cleaning. Results repeat for the same seed: the
+    table is laid out by the hash and order of the key, LAYOUT_DOCS documents to a part.
     """
     start = monotonic()
     spark = df.sparkSession
-    docs = df.select(key, tokens)
-    if layout_partitions:
-        docs = docs.repartition(layout_partitions, key).sortWithinPartitions(key)
+    parts = max(1, math.ceil(df.count() / LAYOUT_DOCS))
+    docs = df.select(key, tokens).repartition(parts, key).sortWithinPartitions(key)
     docs = materialise(docs, "topic-tokens").filter(F.size(tokens) > 0)
     n_docs = docs.count()
     if n_docs == 0:
         empty = spark.createDataFrame([], TOPICS_SCHEMA)
         return TopicResult(None, None, empty, None, monotonic() - start)
 
-    vectoriser = fit_vocabulary(docs, tokens, "features", vocabulary_size)
+    vectoriser = fit_vocabulary(docs, tokens, "features", vocabulary_limit)
     vectors = vectoriser.transform(docs).select(key, "features")
     rate, updates = update_plan(n_docs, passes, chunk)
     lda = LDA(
@@ -92,7 +93,7 @@ def model_topics(
     )
     model = lda.fit(vectors)
     mass = topic_mass(model, vectors, num_topics)
-    ranked = topic_words(model, vectoriser.vocabulary, max(num_words, fixed.COHERENCE_WORDS))
+    ranked = topic_words(model, vectoriser, max(num_words, fixed.COHERENCE_WORDS))
     words = [w for w in ranked if w[1] < num_words]
     topics = spark.createDataFrame([(*w, mass[w[0]]) for w in words], TOPICS_SCHEMA)
     coherence = None

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom.functions import bodies, fixed
 from chatloom.functions.captured import snippet
+from chatloom.session import settled
 
 
 # --- strict path: signed chat events ----------------------------------------------
@@ -61,7 +62,8 @@ def chat_events(envelopes: DataFrame) -> DataFrame:
         .when(F.col("_payload._corrupt").isNotNull() | F.col("_payload").isNull(), "invalid_json")
         .when(F.length(F.coalesce(content, F.lit(""))) == 0, "empty_content")
     )
-    return parsed.select(
+    # Settled twice: the parse is read by many rules, and the outcome by the filters of the callers.
+    return settled(settled(parsed).select(
         *envelopes.columns,
         reason.alias("reason"),
         F.when(reason.isNotNull(), snippet(F.col("body"))).alias("body_head"),
@@ -69,7 +71,7 @@ def chat_events(envelopes: DataFrame) -> DataFrame:
         F.coalesce("_payload.sender.username", F.lit(fixed.UNKNOWN_SENDER)).alias("username"),
         content.alias("message"),
         bodies.header(F.col("headers"), fixed.H_TIMESTAMP).alias("timestamp"),
-    )
+    ))
 
 
 def accepted(events: DataFrame) -> DataFrame:
@@ -89,13 +91,15 @@ def normalise_envelopes(envelopes: DataFrame, indicators: Iterable[str] = fixed.
     The body is parsed once; every later rule reads the same two maps of members.
     """
     words = list(indicators)
-    parsed = envelopes.withColumn("_json", F.try_parse_json("body")).withColumn(
+    parsed = settled(envelopes.withColumn("_json", F.try_parse_json("body")))
+    parsed = settled(parsed.withColumn(
         "_fields",
         F.when(F.col("_json").isNotNull(), bodies.members(F.col("_json"))).otherwise(bodies.form_members(F.col("body"))),
-    ).withColumn("_facts", bodies.value_facts(F.col("_fields")))
+    ))
+    parsed = settled(parsed.withColumn("_facts", bodies.value_facts(F.col("_fields"))))
     fields, facts = F.col("_fields"), F.col("_facts")
     kind = F.when(F.col("_json").isNotNull(), "json").when(fields.isNotNull(), "form").otherwise("invalid")
-    rows = parsed.select(
+    rows = settled(parsed.select(
         *envelopes.columns,
         kind.alias("body_kind"),
         bodies.is_test_body(fields, facts, words).alias("is_test"),
@@ -103,7 +107,7 @@ def normalise_envelopes(envelopes: DataFrame, indicators: Iterable[str] = fixed.
         bodies.body_sender(fields, facts).alias("username"),
         bodies.body_text(facts).alias("message"),
         bodies.header(F.col("headers"), fixed.H_EVENT_TYPE).alias("event_type"),
-    )
+    ))
     event_class = (
         F.when(F.col("body_kind") == "invalid", F.lit(None).cast("string"))
         .when(F.col("is_test"), "test")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chatloom.functions import bodies, captured, fixed, text
@@ -15,6 +17,7 @@ from chatloom.operators import (
 from chatloom.plans import given, sql
 from chatloom.session import materialise, scratch_dir, spread
 from chatloom.sources import live as live_sources, sinks
+from chatloom.sources import chat_csv
 from chatloom.sources.chat_csv import union_labelled
 from chatloom.streaming import live
 from chatloom.streaming.retained import read_retained
@@ -115,19 +118,34 @@ def turn_valence(spark, d):
     return scored.select("msg_key", "sentiment_score", "sentiment")
 
 
-@query("sentiment_by_method", f"""WITH {sql.DOC_POLARITY}
-    SELECT 'textblob' AS method, sentiment, count(*)::BIGINT AS n FROM scored GROUP BY ALL""")
+@query("sentiment_by_method", f"""WITH {sql.DOC_POLARITY}, valued AS ({sql.valence_sql("documents", "doc_id", "text")}),
+    named AS (SELECT doc_id, {sql.strip("text")} = '' AS blank FROM documents)
+    SELECT 'textblob' AS method, sentiment, count(*)::BIGINT AS n FROM scored GROUP BY ALL
+    UNION ALL SELECT 'vader', sentiment, count(*)::BIGINT FROM valued GROUP BY ALL
+    UNION ALL SELECT 'bert', CASE WHEN blank THEN 'unknown' WHEN doc_id % 3 = 0 THEN 'negative' WHEN doc_id % 3 = 2 THEN 'positive'
+      ELSE 'unknown' END, count(*)::BIGINT FROM named GROUP BY ALL
+    UNION ALL SELECT 'custom_kick_bert', CASE WHEN blank THEN 'unknown' WHEN doc_id % 3 = 0 THEN 'negative' WHEN doc_id % 3 = 1 THEN 'neutral'
+      ELSE 'positive' END, count(*)::BIGINT FROM named GROUP BY ALL""")
 def sentiment_by_method(spark, d):
-    scored = sentiment.run_sentiment(given.documents_chat(spark, d), "textblob", lexicon=given.SAMPLE_POLARITY, key="doc_id")
-    return scored.groupBy(F.lit("textblob").alias("method"), "sentiment").agg(F.count("*").alias("n"))
+    """All four methods; a stage that names `LABEL_n` by the document's number stands for a user's fitted model."""
+    docs = given.documents_chat(spark, d)
+    model = PipelineModel(stages=[SQLTransformer(statement="SELECT *, concat('LABEL_', doc_id % 3) AS predicted_name FROM __THIS__")])
+    options = {"textblob": {"lexicon": given.SAMPLE_POLARITY}, "vader": {"lexicon": given.SAMPLE_VALENCE, "rules": given.SAMPLE_RULES},
+               "bert": {"model": model}, "custom_kick_bert": {"model": model}}
+    parts = [
+        sentiment.run_sentiment(docs, method, key="doc_id", **extra).select(F.lit(method).alias("method"), "sentiment")
+        for method, extra in options.items()
+    ]
+    return union_labelled(parts).groupBy("method", "sentiment").agg(F.count("*").alias("n"))
 
 
-@query("blank_guard", f"""SELECT CASE WHEN {sql.strip("split_part(text, '.', 2)")} = '' THEN 'unknown' ELSE 'scored' END AS outcome,
+@query("blank_guard", f"""SELECT CASE WHEN {sql.strip("split_part(text, '.', 2)")} = '' THEN 'unknown' ELSE 'neutral' END AS sentiment,
       count(*)::BIGINT AS n FROM conversations GROUP BY 1""")
 def blank_guard(spark, d):
-    second = F.split_part(F.col("message"), F.lit("."), F.lit(2))
-    outcome = F.when(text.is_blank(second), "unknown").otherwise("scored")
-    return given.conversations_chat(spark, d).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """A model that always says neutral, over texts of which some are blank."""
+    model = PipelineModel(stages=[SQLTransformer(statement="SELECT *, 'LABEL_1' AS predicted_name FROM __THIS__")])
+    chat = given.conversations_chat(spark, d).withColumn("message", F.split_part(F.col("message"), F.lit("."), F.lit(2)))
+    return sentiment.with_model_label(chat, model).groupBy("sentiment").agg(F.count("*").alias("n"))
 
 
 # --- report -----------------------------------------------------------------------
@@ -231,7 +249,7 @@ def negative_messages(spark, d):
     SELECT {sql.TURN_TIME} AS timestamp, role AS username, text AS message, sentiment FROM turns JOIN scored USING (msg_key)""")
 def result_rows(spark, d):
     chat = given.conversations_chat(spark, d).withColumn("ts", text.parse_time(F.col("timestamp")))
-    return report.result_rows(report.sort_by_time(sentiment.with_polarity(chat, given.SAMPLE_POLARITY)))
+    return report.result_rows(sentiment.with_polarity(chat, given.SAMPLE_POLARITY))
 
 
 # --- topics -----------------------------------------------------------------------
@@ -279,14 +297,14 @@ def topic_coherence(spark, d):
 @query("topics_lda")
 def topics_lda(spark, d):
     result = topics.model_topics(
-        given.documents_tokens(spark, d), key="doc_id", num_topics=4, layout_partitions=8, with_coherence=False
+        given.documents_tokens(spark, d), key="doc_id", num_topics=4, with_coherence=False
     )
     return topics.topic_table(result.topics)
 
 
 @query("topics_lda_coherence")
 def topics_lda_coherence(spark, d):
-    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4, layout_partitions=8)
+    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4)
     return result.coherence
 
 
@@ -506,17 +524,20 @@ def form_body_parse(spark, d):
       CASE WHEN conv_id % 9 = 0 THEN 'missing_field:channel' END AS reason
     FROM turns WHERE role <> 'system'""")
 def bot_messages(spark, d):
+    return webhook.bot_messages(_bot_rows(spark, d)).select("timestamp", "username", "channel", "reason")
+
+
+def _bot_rows(spark, d):
     chat = given.conversations_chat(spark, d).withColumns(
         {"_conv": F.split_part("msg_key", F.lit("-"), F.lit(1)).cast("bigint"), "_turn": F.split_part("msg_key", F.lit("-"), F.lit(2)).cast("bigint")}
     )
-    raw = chat.select(
+    return chat.select(
         "timestamp",
         F.when(F.col("_turn") % 3 != 0, F.col("username")).alias("username"),
         "message",
         F.when(F.col("_conv") % 9 != 0, F.col("channel")).alias("channel"),
         (F.col("username") == "system").alias("echo"),
     )
-    return webhook.bot_messages(raw).select("timestamp", "username", "channel", "reason")
 
 
 @query("typed_event_routes", f"""SELECT CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'status' WHEN 'error' THEN 'error'
@@ -524,16 +545,21 @@ def bot_messages(spark, d):
       event_type = 'error' AND contains('failed to get page source ' || props, '404') AS is_404, count(*)::BIGINT AS n,
       (count(*) FILTER (event_type = 'error'))::BIGINT AS n_critical FROM events GROUP BY 1, 2""")
 def typed_event_routes(spark, d):
+    return _route_counts(capture.route_events(_typed_events(spark, d)))
+
+
+def _typed_events(spark, d):
     kind = F.col("event_type")
-    typed = given.table(spark, d, "events").select(
+    return given.table(spark, d, "events").select(
         F.when(kind == "view", "message").when(kind == "click", "status").when(kind == "error", "error")
         .when(kind == "signup", "warning").otherwise("purchase").alias("type"),
         F.concat(F.lit("Failed to get page source "), "props").alias("data"),
     )
-    is_404 = (F.col("type") == "error") & F.contains("data", F.lit("404"))
-    return capture.route_events(typed).groupBy("route", is_404.alias("is_404")).agg(
-        F.count("*").alias("n"), F.count_if("is_critical").alias("n_critical")
-    )
+
+
+def _route_counts(routed):
+    is_404 = (F.col("route") == "error") & F.contains("data", F.lit("404"))
+    return routed.groupBy("route", is_404.alias("is_404")).agg(F.count("*").alias("n"), F.count_if("is_critical").alias("n_critical"))
 
 
 @query("log_rows", f"""WITH {sql.TURNS}
@@ -714,24 +740,34 @@ def labelled_union(spark, d):
     return union_labelled(parts).groupBy("label").agg(F.count("*").alias("n"))
 
 
-SMALL_FEATURES = 1 << 14
-
-
 @query("classifier_eval")
 def classifier_eval(spark, d):
-    trained = training.fit_classifier(given.labelled_documents(spark, d), features=SMALL_FEATURES)
+    trained = training.fit_classifier(given.labelled_documents(spark, d))
     return training.evaluate_predictions(trained.test_predictions)
 
 
 @query("model_labels")
 def model_labels(spark, d):
-    trained = training.fit_classifier(given.labelled_documents(spark, d), penalties=(0.01,), features=SMALL_FEATURES)
+    trained = training.fit_classifier(given.labelled_documents(spark, d))
     scored = sentiment.run_sentiment(given.documents_chat(spark, d), "custom_kick_bert", model=trained.model)
     return scored.groupBy("sentiment").agg(F.count("*").alias("n"))
 
 
 # --- streams ----------------------------------------------------------------------
 
+BATCHES = 3
+
+
+def _land(rows: DataFrame, folder: str) -> None:
+    """The rows in three files, dealt by a hash: each file holds early and late rows."""
+    parts = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(BATCHES))
+    rows.withColumn("_part", parts).repartition(BATCHES, "_part").drop("_part").write.parquet(folder)
+
+
+def _landed(spark, folder: str, schema) -> DataFrame:
+    """The landed rows as a stream of one file per batch."""
+    return live_sources.landing_stream(spark, folder, schema, "parquet", max_files=1)
+
 
 def _event_stream(spark, d):
     # The bracket makes the path a pattern, so one file and a folder of files both work.
@@ -755,11 +791,16 @@ def stream_summary(spark, d):
 
 @query("stream_dedupe", "SELECT DISTINCT event_id FROM events")
 def stream_dedupe(spark, d):
-    out, checkpoint = scratch_dir(spark, "once"), scratch_dir(spark, "once-checkpoint")
-    events = _event_stream(spark, d)
-    twice = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    live.start_append(live.once_per_id(twice, "event_id").select("event_id"), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    """Every event twice, hours apart and out of order, over several files and batches."""
+    landing, out = scratch_dir(spark, "once-landing"), scratch_dir(spark, "once")
+    events = given.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "ts", F.col("ts") - F.make_dt_interval(hours=F.col("copy") * 5)
+    )
+    _land(twice, landing)
+    stream = _landed(spark, landing, twice.schema)
+    live.start_once(stream, out, scratch_dir(spark, "once-checkpoint"), "event_id").awaitTermination()
+    return live.read_batches(spark, out).select("event_id")
 
 
 @query("stream_trend", _event_trend_sql("hour"))
@@ -770,3 +811,172 @@ def stream_trend(spark, d):
     rows = live.latest_counters(spark, out)
     table = rows.groupBy("period").pivot("event_type", list(EVENT_TYPES)).agg(F.sum("n")).na.fill(0)
     return table.withColumn("period", F.date_format("period", given.TEXT_TIME))
+
+
+def _envelope_stream(spark, d, name):
+    envelopes = given.conversation_envelopes(spark, d)
+    landing = scratch_dir(spark, f"{name}-landing")
+    _land(envelopes, landing)
+    return _landed(spark, landing, envelopes.schema)
+
+
+@query("stream_scored", f"""WITH {sql.ENVELOPES}, said_turns AS (SELECT msg_key, text FROM turns),
+    valued AS ({sql.valence_sql("said_turns", "msg_key", "text")})
+    SELECT msg_key, reason IS NULL AS accepted, CASE WHEN reason IS NULL THEN sentiment END AS sentiment,
+      CASE WHEN reason IS NULL THEN sentiment_score END AS sentiment_score FROM (
+        SELECT msg_key, CASE WHEN conv_id % 4 = 0 THEN 'header' WHEN event_type IS NULL OR event_type <> '{fixed.CHAT_EVENT}' THEN 'type'
+          WHEN body_kind <> 'json' THEN 'json' WHEN role <> 'user' OR text = '' THEN 'empty' END AS reason FROM classed)
+    JOIN valued USING (msg_key)""")
+def stream_scored(spark, d):
+    out = scratch_dir(spark, "scored")
+    score = lambda batch: live.score_events(batch, given.SAMPLE_VALENCE, given.SAMPLE_RULES)
+    live.start_scored(_envelope_stream(spark, d, "scored"), score, out, scratch_dir(spark, "scored-checkpoint")).awaitTermination()
+    rows = spark.read.parquet(out)
+    accepted = F.col("outcome") == "scored"
+    return rows.select(
+        F.col("turn_key").alias("msg_key"), accepted.alias("accepted"), F.when(accepted, F.col("sentiment")).alias("sentiment"),
+        F.when(accepted, F.col("sentiment_score")).alias("sentiment_score"),
+    )
+
+
+@query("stream_bot", f"""WITH {sql.TURNS}, valued AS ({sql.valence_sql("turns", "msg_key", "text")})
+    SELECT {sql.TURN_TIME} AS timestamp, CASE WHEN turn % 3 = 0 THEN '{fixed.UNKNOWN_SENDER}' ELSE role END AS username,
+      CASE WHEN conv_id % 9 <> 0 THEN channel END AS channel, conv_id % 9 <> 0 AS accepted, sentiment, sentiment_score
+    FROM turns JOIN valued USING (msg_key) WHERE role <> 'system'""")
+def stream_bot(spark, d):
+    raw, out = _bot_rows(spark, d), scratch_dir(spark, "bot")
+    landing = scratch_dir(spark, "bot-landing")
+    _land(raw, landing)
+    score = lambda batch: live.score_bot_messages(batch, given.SAMPLE_VALENCE, given.SAMPLE_RULES)
+    live.start_scored(_landed(spark, landing, raw.schema), score, out, scratch_dir(spark, "bot-checkpoint")).awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select("timestamp", "username", "channel", (F.col("outcome") == "scored").alias("accepted"), "sentiment", "sentiment_score")
+
+
+@query("stream_counters", _COUNTERS)
+def stream_counters(spark, d):
+    out = scratch_dir(spark, "counters")
+    live.start_counters(_envelope_stream(spark, d, "counters"), out, scratch_dir(spark, "counters-checkpoint")).awaitTermination()
+    return live.latest_counters(spark, out).withColumn("last_request_time", F.date_format("last_request_time", given.TEXT_TIME))
+
+
+@query("stream_counter_increases", f"""WITH {sql.ENVELOPES}
+    SELECT {BATCHES}::BIGINT AS checks, count(*) FILTER (event_class = 'kick')::BIGINT AS kick_events FROM classed""")
+def stream_counter_increases(spark, d):
+    out = scratch_dir(spark, "increases")
+    live.start_counters(_envelope_stream(spark, d, "increases"), out, scratch_dir(spark, "increases-checkpoint")).awaitTermination()
+    return live.counters_increase(spark, out).agg(F.count("*").alias("checks"), F.sum("increase").alias("kick_events"))
+
+
+@query("stream_routes", CATALOG["typed_event_routes"].sql)
+def stream_routes(spark, d):
+    typed, out = _typed_events(spark, d), scratch_dir(spark, "routes")
+    landing = scratch_dir(spark, "routes-landing")
+    _land(typed, landing)
+    live.start_routed(_landed(spark, landing, typed.schema), out, scratch_dir(spark, "routes-checkpoint")).awaitTermination()
+    return _route_counts(spark.read.parquet(out))
+
+
+@query("stream_monitor", """WITH d AS (SELECT sha256(text) AS msg_id, bool_or(contains(lower(text), 'test')) AS is_test FROM documents GROUP BY 1)
+    SELECT 3::BIGINT AS checks, count(*)::BIGINT AS new_messages, count(*) FILTER (NOT is_test)::BIGINT AS real_messages,
+      count(*) FILTER (is_test)::BIGINT AS test_messages FROM d""")
+def stream_monitor(spark, d):
+    rows = given.documents_chat(spark, d).select(
+        F.sha2("message", 256).alias("msg_id"), F.col("doc_id").alias("ts"),
+        bodies.mentions(F.col("message"), fixed.TEST_INDICATORS).alias("is_test"),
+    )
+    landing, out = scratch_dir(spark, "monitor-landing"), scratch_dir(spark, "monitor")
+    _land(rows, landing)
+    query_ = live.start_monitor(_landed(spark, landing, rows.schema), out, scratch_dir(spark, "monitor-checkpoint"))
+    query_.awaitTermination()
+    checks = live.read_batches(spark, f"{out}/checks")
+    return checks.agg(
+        F.max("total_checks").alias("checks"), F.sum("new_messages").alias("new_messages"), F.sum("real_messages").alias("real_messages"),
+        F.sum("test_messages").alias("test_messages"),
+    )
+
+
+# --- retention of stored messages and raw events ----------------------------------
+
+
+@query("stored_retained", f"""WITH {sql.ENVELOPES}
+    SELECT msg_key AS turn_key, sender AS username FROM classed WHERE body_kind <> 'invalid' AND said <> ''
+    ORDER BY received_at DESC, msg_key DESC LIMIT {fixed.KEEP_WEBHOOK_MESSAGES}""")
+def stored_retained(spark, d):
+    rows = webhook.normalise_envelopes(given.conversation_envelopes(spark, d)).filter(F.col("reason").isNull())
+    return retain.stored_messages_kept(rows, ("received_at", "turn_key")).select("turn_key", "username")
+
+
+@query("raw_events_retained", f"""WITH {sql.ENVELOPES}
+    SELECT msg_key AS turn_key FROM classed ORDER BY received_at DESC, msg_key DESC LIMIT {fixed.KEEP_RAW_EVENTS}""")
+def raw_events_retained(spark, d):
+    return retain.raw_events_kept(given.conversation_envelopes(spark, d), ("received_at", "turn_key")).select("turn_key")
+
+
+# --- file round trips -------------------------------------------------------------
+
+
+def _csv(rows: DataFrame, folder: str) -> str:
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    return folder
+
+
+@query("chat_csv_round_trip", f"""WITH {sql.TURNS}
+    SELECT msg_key, {sql.TURN_TIME} AS ts, md5(text) AS message_hash FROM turns""")
+def chat_csv_round_trip(spark, d):
+    """Written with `content` in place of `message`; read by the schema rule."""
+    chat = given.conversations_chat(spark, d).select("timestamp", F.col("msg_key").alias("msg_id"), F.col("message").alias("content"))
+    back = chat_csv.read_chat_log(spark, _csv(chat, scratch_dir(spark, "chat-csv")), multi_line=True)
+    return back.select("msg_key", F.date_format("ts", given.TEXT_TIME).alias("ts"), F.md5("message").alias("message_hash"))
+
+
+@query("chat_log_round_trip", f"""WITH {sql.TURNS}
+    SELECT {sql.TURN_TIME} AS timestamp, 'room_' || (conv_id % 7) AS channel, md5(text) AS message_hash FROM turns""")
+def chat_log_round_trip(spark, d):
+    out = scratch_dir(spark, "chat-log")
+    sinks.write_chat_log(given.conversations_chat(spark, d), out)
+    back = chat_csv.read_csv(spark, out, multi_line=True)
+    return back.select("timestamp", "channel", F.md5("message").alias("message_hash"))
+
+
+@query("labelled_folder", CATALOG["labelled_union"].sql)
+def labelled_folder(spark, d):
+    """Two files of different shapes in one folder."""
+    base = scratch_dir(spark, "labelled")
+    for rows in (
+        given.labelled_documents(spark, d).select(F.col("text").alias("content"), "label"),
+        given.table(spark, d, "conversations").select(F.col("text").alias("message"), F.col("role").alias("label")),
+    ):
+        rows.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(base)
+    return chat_csv.read_labelled(spark, base, multi_line=True).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("comparison_files", CATALOG["overlap_report"].sql)
+def comparison_files(spark, d):
+    """Predictions and truth written as the exports have them, read by the loaders, compared."""
+    predicted, actual = _pairs(spark, d)
+    left = predicted.select("timestamp", "username", F.col("message_text").alias("message"), F.col("predicted_label").alias("sentiment"))
+    right = actual.select("username", F.col("message_text").alias("content"), "timestamp", F.col("actual_label").alias("label"))
+    predicted = chat_csv.load_predicted(spark, _csv(left, scratch_dir(spark, "predicted")), multi_line=True)
+    actual = chat_csv.load_actual(spark, _csv(right, scratch_dir(spark, "actual")), multi_line=True)
+    return compare.overlap_report(predicted, actual, compare.pair_counts(predicted, actual))
+
+
+@query("audit_round_trip", f"""WITH {sql.ENVELOPES} SELECT msg_key AS turn_key, strftime(received_at, '%Y-%m-%d') AS day FROM classed""")
+def audit_round_trip(spark, d):
+    out = scratch_dir(spark, "audit")
+    sinks.append_audit(given.conversation_envelopes(spark, d), out)
+    return spark.read.parquet(out).select("turn_key", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("cleared_store", "SELECT 0::BIGINT AS rows, 1::BIGINT AS rows_after_append FROM events LIMIT 1")
+def cleared_store(spark, d):
+    """A partitioned table, cleared, keeps its columns and takes new rows."""
+    out = scratch_dir(spark, "store")
+    events = given.table(spark, d, "events").select("event_id", "event_type")
+    events.write.partitionBy("event_type").parquet(out)
+    sinks.clear_stored(spark, out)
+    empty = spark.read.schema(events.schema).parquet(out).agg(F.count("*").alias("rows"))
+    events.orderBy("event_id").limit(1).write.mode("append").partitionBy("event_type").parquet(out)
+    after = spark.read.schema(events.schema).parquet(out).agg(F.count("*").alias("rows_after_append"))
+    return empty.select(F.lit(1).alias("one"), F.lit(0).cast("bigint").alias("rows")).join(after.withColumn("one", F.lit(1)), "one").drop("one")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 RECOMMENDED_CONF = {
     # Inputs carry no zone; one zone everywhere keeps periods and text times equal.
@@ -36,10 +36,23 @@ def materialise(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
+INPUT_PARTITIONS = "spark.chatloom.inputPartitions"
+
+
 def spread(df):
-    """Give a scan with fewer pieces than cores its share of every core.
+    """The scan as it is, or, where the session asks for it, dealt to that many parts.
+
+    For a single machine and an input of one unsplittable file: `spark.chatloom.inputPartitions`. On a cluster the split
+    size is Spark's own setting (`spark.sql.files.maxPartitionBytes`), and this setting stays unset: nothing is shuffled.
+    """
+    parts = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
+
+
+def settled(df):
+    """The rows of `df` with every column worked out once.
 
-    A table of at least as many pieces as cores, so any big one, is left alone: no shuffle.
+    A filter or an expression that reads a computed column gets a copy of its definition, and runs it again. The optimiser
+    does not move definitions across a generator, so rows pass through one of a single element each.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.select(F.inline(F.array(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chatloom.functions.text import parse_time
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Header CSV, every column STRING. `multi_line` costs splittability, so it is off."""
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, header: Sequence[str] | None = None
+) -> DataFrame:
+    """Header CSV, every column STRING. `multi_line` costs splittability, so it is off.
+
+    With the columns of `header` given no job looks for them.
+    """
+    reader = spark.read if header is None else spark.read.schema(", ".join(f"`{c}` string" for c in header))
     return (
-        spark.read.option("header", True)
+        reader.option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("enforceSchema", False)
+        .option("enforceSchema", header is not None)
         .csv(path if isinstance(path, str) else list(path))
     )
 
@@ -55,27 +62,35 @@ def labelled_columns(columns: Sequence[str]) -> str | None:
     return next((c for c in ("content", "message") if c in columns), None)
 
 
-def read_labelled(spark: SparkSession, folder: str) -> DataFrame:
+def read_labelled(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
     """All `*.csv` of a folder as `(text, label)`, no dedupe.
 
-    One header read per file, then one scan per header shape. Files of another shape and
-    empty files are skipped.
+    One job reads the first line of every file and groups the files by it, then each header shape is one scan. Files of
+    another shape and empty files are skipped.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    paths = [r.path for r in listing.filter("length > 0").select("path").collect()]
-    shapes: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        shapes.setdefault(tuple(read_csv(spark, path).columns), []).append(path)
-    parts = [
-        read_csv(spark, files).select(F.col(labelled_columns(columns)).alias("text"), "label")
-        for columns, files in sorted(shapes.items())
-        if labelled_columns(columns)
-    ]
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select("value", F.col("_metadata.file_path").alias("path"),
+                                                                         F.col("_metadata.file_block_start").alias("at"))
+    # The first line of a file is the first row of its first block; a task reads a block in order.
+    first = lines.filter(F.col("at") == 0).withColumn("n", F.monotonically_increasing_id()).groupBy("path").agg(
+        F.min_by("value", "n").alias("header")
+    )
+    shapes = first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    parts = []
+    for shape in sorted(shapes, key=lambda r: r["header"]):
+        rows = read_csv(spark, shape["paths"], multi_line, header=_header(shape["header"]))
+        name = labelled_columns(rows.columns)
+        if name:
+            parts.append(rows.select(F.col(name).alias("text"), "label"))
     if not parts:
         raise ValueError(f"no labelled csv file in {folder}")
     return union_labelled(parts)
 
 
+def _header(line: str) -> list[str]:
+    """Column names of a header line, without a byte-order mark."""
+    return next(csv.reader([line.removeprefix("\ufeff")]))
+
+
 def union_labelled(parts: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL by name."""
     result = parts[0]
@@ -104,9 +119,9 @@ def prepare_actual(df: DataFrame) -> DataFrame:
     return df.select(*wanted).withColumnsRenamed({"content": "message_text", "label": "actual_label"})
 
 
-def load_predicted(spark: SparkSession, path: str) -> DataFrame:
-    return prepare_predicted(read_csv(spark, path))
+def load_predicted(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return prepare_predicted(read_csv(spark, path, multi_line))
 
 
-def load_actual(spark: SparkSession, path: str) -> DataFrame:
-    return prepare_actual(read_csv(spark, path))
+def load_actual(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return prepare_actual(read_csv(spark, path, multi_line))

@@ -44,6 +44,9 @@ def append_audit(envelopes: DataFrame, path: str) -> None:
 
 
 def clear_stored(spark: SparkSession, path: str) -> None:
-    """Replace the stored table by an empty one of the same schema (explicit call only)."""
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    """Replace the stored table by an empty one of the same schema and the same partition columns (explicit call only)."""
+    stored = spark.read.parquet(path)
+    folders = stored.select(F.regexp_extract_all("_metadata.file_path", F.lit(r"([^/=]+)=[^/]*/"), 1).alias("p")).limit(1).collect()
+    layout = [c for c in (folders[0]["p"] if folders else ()) if c in stored.columns]
+    empty = spark.createDataFrame([], stored.schema)
+    (empty.write.partitionBy(*layout) if layout else empty.write).mode("overwrite").parquet(path)

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chatloom.functions import fixed
 from chatloom.functions.text import parse_time
 from chatloom.operators import capture, dedupe, retain, webhook
-from chatloom.operators.sentiment import WordWeights, with_valence
+from chatloom.operators.sentiment import ValenceWords, WordWeights, with_valence
 from chatloom.sources import sinks
 from chatloom.streaming import retained
-
-ID_MEMORY = "10 minutes"
+from chatloom.streaming.finished import finished, read
 
 
 def start(
@@ -32,19 +31,19 @@ def start(
 # --- scored chat ------------------------------------------------------------------
 
 
-def score_events(envelopes: DataFrame, lexicon: WordWeights) -> DataFrame:
+def score_events(envelopes: DataFrame, lexicon: WordWeights, rules: ValenceWords = ValenceWords()) -> DataFrame:
     """Signed chat events to scored rows; rejected rows keep their `reason`. Row-local."""
     events = webhook.chat_events(envelopes)
-    scored = with_valence(events, lexicon)
+    scored = with_valence(events, lexicon, rules=rules)
     return scored.withColumn("ts", parse_time(F.col("timestamp")))
 
 
-def score_bot_messages(raw: DataFrame, lexicon: WordWeights) -> DataFrame:
+def score_bot_messages(raw: DataFrame, lexicon: WordWeights, rules: ValenceWords = ValenceWords()) -> DataFrame:
     """Bot messages with channel, same scoring; rejected rows keep their `reason`."""
     named = webhook.bot_messages(raw).withColumn(
         "msg_key", F.sha2(F.to_json(F.struct("timestamp", "username", "message", "channel")), 256)
     )
-    return with_valence(named, lexicon).withColumn("ts", parse_time(F.col("timestamp")))
+    return with_valence(named, lexicon, rules=rules).withColumn("ts", parse_time(F.col("timestamp")))
 
 
 def start_scored(
@@ -52,15 +51,15 @@ def start_scored(
 ) -> StreamingQuery:
     """Write scored and rejected rows, one folder each, in one pass per batch.
 
-    A replayed batch overwrites its own folder. The scoring is row-local, so it runs inside
-    the stream itself and each event is read once.
+    A replayed batch overwrites its own folder. Each batch is scored as a table of its own, so any
+    scorer will do, also one that joins a big word table.
     """
-    rows = score(stream).withColumn("outcome", F.when(F.col("reason").isNull(), "scored").otherwise("rejected"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch={batch_id}")
+        rows = score(batch).withColumn("outcome", F.when(F.col("reason").isNull(), "scored").otherwise("rejected"))
+        rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch={batch_id}")
 
-    return start(rows, write, checkpoint, every)
+    return start(stream, write, checkpoint, every)
 
 
 def start_retained(
@@ -89,25 +88,51 @@ def start_counters(envelopes: DataFrame, out: str, checkpoint: str, every: str |
 
 
 def latest_counters(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.parquet(out)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.filter(F.col("batch") == last).drop("batch")
+    folders = finished(spark, out)
+    if not folders:
+        raise ValueError(f"no finished batch in {out}")
+    return spark.read.parquet(folders[max(folders)])
 
 
 def counters_increase(spark: SparkSession, out: str, column: str = "kick_events") -> DataFrame:
-    """`(batch, total, increase)` since the previous check."""
-    rows = spark.read.parquet(out).select("batch", F.col(column).alias("total"))
-    # One row per check: the window runs over the check history of one stream, not over messages.
-    before = F.lag("total", 1, 0).over(Window.partitionBy(F.lit(0)).orderBy("batch"))
-    return rows.withColumn("increase", F.greatest(F.col("total") - before, F.lit(0)))
+    """`(batch, total, increase)` since the previous check; batch ids have no gaps."""
+    folders = list(finished(spark, out).values())
+    rows = spark.read.option("basePath", out).parquet(*folders).select(F.col("batch").cast("bigint").alias("batch"), F.col(column).alias("total"))
+    before = rows.select((F.col("batch") + 1).alias("batch"), F.col("total").alias("before"))
+    increase = F.greatest(F.col("total") - F.coalesce("before", F.lit(0)), F.lit(0))
+    return rows.join(before, "batch", "left").select("batch", "total", increase.alias("increase"))
 
 
 # --- ids, routes, logs ------------------------------------------------------------
 
 
-def once_per_id(stream: DataFrame, key: str = "msg_id", time: str = "ts", memory: str = ID_MEMORY) -> DataFrame:
-    """Each id once; the id state lives as long as the watermark says."""
-    return stream.withWatermark(time, memory).dropDuplicatesWithinWatermark([key])
+def unseen(batch: DataFrame, out: str, batch_id: int, key: str, order: Sequence[str]) -> DataFrame:
+    """The rows of a batch whose id no earlier finished batch below `out` has, each id once.
+
+    What a batch may not see again are the ids of the batches before it, so a replay gives the same rows.
+    """
+    fresh = dedupe.first_per_id(batch, key, order)
+    earlier = read(batch.sparkSession, [f for b, f in finished(batch.sparkSession, out).items() if b < batch_id])
+    return fresh if earlier is None else fresh.join(earlier.select(key), key, "left_anti")
+
+
+def start_once(
+    stream: DataFrame, out: str, checkpoint: str, key: str = "msg_id", order: Sequence[str] = ("ts",), every: str | None = None
+) -> StreamingQuery:
+    """Each id once, however late it comes: the written rows are the memory of ids, so no message is forgotten or lost."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        unseen(batch, out, batch_id, key, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return start(stream, write, checkpoint, every)
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all finished batches of a job."""
+    rows = read(spark, list(finished(spark, out).values()))
+    if rows is None:
+        raise ValueError(f"no finished batch in {out}")
+    return rows
 
 
 def start_append(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -125,10 +150,10 @@ def start_routed(events: DataFrame, out: str, checkpoint: str, every: str | None
     return start(events, write, checkpoint, every)
 
 
-def drain_to_log(stream: DataFrame, staging: str, log: str, checkpoint: str, fmt: str = "csv") -> list[str]:
-    """Read what is left, then write the chat log once."""
-    start_append(stream, staging, checkpoint).awaitTermination()
-    return sinks.write_chat_log(stream.sparkSession.read.schema(stream.schema).parquet(staging), log, fmt)
+def drain_to_log(stream: DataFrame, staging: str, log: str, checkpoint: str, fmt: str = "csv", key: str = "msg_id") -> list[str]:
+    """Read what is left, each id once, then write the chat log once."""
+    start_once(stream, staging, checkpoint, key).awaitTermination()
+    return sinks.write_chat_log(read_batches(stream.sparkSession, staging), log, fmt)
 
 
 def start_audit(envelopes: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -144,6 +169,21 @@ def monitor(messages: DataFrame, baseline: DataFrame, key: str = "id", order: tu
     return dedupe.monitor_counters(dedupe.new_messages(messages, baseline, key, order), checks=1)
 
 
+def start_monitor(
+    stream: DataFrame, out: str, checkpoint: str, key: str = "msg_id", order: Sequence[str] = ("ts",), every: str | None = None
+) -> StreamingQuery:
+    """A check per batch: what is new below `out/new`, and the counters of the check below `out/checks`."""
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        spark, folder = batch.sparkSession, f"{out}/new/batch={batch_id}"
+        named = batch.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+        unseen(named, f"{out}/new", batch_id, key, order).write.mode("overwrite").parquet(folder)
+        counted = dedupe.monitor_counters(spark.read.parquet(folder), checks=batch_id + 1)
+        counted.write.mode("overwrite").parquet(f"{out}/checks/batch={batch_id}")
+
+    return start(stream, check, checkpoint, every)
+
+
 def run_for(query: StreamingQuery, seconds: int = 300) -> bool:
     """Let a monitoring stream run for a bounded time; True when it ended by itself."""
     ended = query.awaitTermination(seconds)

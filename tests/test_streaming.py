@@ -92,7 +92,7 @@ def test_ids_once_and_drain_to_log(spark, tmp_path):
     drop_json(landing, "1.json", [record(1), record(2), record(1)])
     drop_json(landing, "2.json", [record(2), record(3)])
     schema = "msg_id string, ts timestamp, timestamp string, username string, content string, channel string"
-    stream = live.once_per_id(sources.landing_stream(spark, str(landing), schema, max_files=1))
+    stream = sources.landing_stream(spark, str(landing), schema, max_files=1)
     assert live.drain_to_log(stream, str(tmp_path / "stage"), str(tmp_path / "log"), str(tmp_path / "cp")) == []
     log = spark.read.option("header", True).csv(str(tmp_path / "log"))
     assert sorted(r.timestamp for r in log.collect()) == ["t1", "t2", "t3"]
