@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, NGram, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatloom.functions import fixed
 from chatloom.functions.text import NOT_WORD
@@ -109,6 +109,16 @@ def evaluate_predictions(predictions: DataFrame, label: str = "label", predicted
     return predictions.agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))
 
 
+def candidate_table(spark: SparkSession, trained: TrainedClassifier) -> DataFrame:
+    """`(penalty, accuracy)` of every candidate; one row per training pass."""
+    return spark.createDataFrame(trained.accuracies, "penalty double, accuracy double")
+
+
+def held_out_confusion(predictions: DataFrame, label: str = "label", predicted: str = "predicted_name") -> DataFrame:
+    """`(label, predicted, n)` of the test side."""
+    return predictions.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chatloom.functions import bodies, captured, fixed, text
 from chatloom.functions.captured import EntryMarks
@@ -308,6 +308,36 @@ def topics_lda_coherence(spark, d):
     return result.coherence
 
 
+@query("topics_lda_shape", """SELECT 4::BIGINT AS topics, 20::BIGINT AS words, 0::BIGINT AS out_of_order, 0::BIGINT AS unknown_words
+    FROM documents LIMIT 1""")
+def topics_lda_shape(spark, d):
+    """Every topic has its words in descending weight, all of them from the dictionary."""
+    tokens = given.documents_tokens(spark, d)
+    result = topics.model_topics(tokens, key="doc_id", num_topics=4, passes=1, with_coherence=False)
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    known = cleaning.vocabulary(tokens).select(F.col("token").alias("word"), F.lit(True).alias("known"))
+    rows = result.topics.withColumn("before", before).join(known, "word", "left")
+    return rows.agg(
+        F.count_distinct("topic").alias("topics"), F.count("*").alias("words"),
+        F.count_if(F.col("weight") > F.col("before")).alias("out_of_order"), F.count_if(F.col("known").isNull()).alias("unknown_words"),
+    )
+
+
+@query("topic_coherence_total", f"""WITH {sql.DOC_TOKENS}, {sql.language_topics_cte(20)}, {sql.window_counts_cte()}, {_NPMI}
+    SELECT round(avg(coherence), 6) AS coherence FROM (SELECT topic, avg(c) AS coherence FROM cosines GROUP BY topic)""")
+def topic_coherence_total(spark, d):
+    tokens = materialise(given.documents_tokens(spark, d).select("lang", "tokens"), "document-tokens")
+    per_topic = coherence.topic_coherence(tokens, given.language_topic_words(tokens, fixed.COHERENCE_WORDS))
+    return coherence.total_coherence(per_topic).select(F.round("coherence", 6).alias("coherence"))
+
+
+@query("topics_lda_cloud")
+def topics_lda_cloud(spark, d):
+    """Cloud weights of the topic model's own words."""
+    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4, num_words=40, passes=2, with_coherence=False)
+    return topics.cloud_weights(result.topics)
+
+
 # --- comparison -------------------------------------------------------------------
 
 
@@ -753,6 +783,33 @@ def model_labels(spark, d):
     return scored.groupBy("sentiment").agg(F.count("*").alias("n"))
 
 
+@query("classifier_candidates")
+def classifier_candidates(spark, d):
+    return training.candidate_table(spark, training.fit_classifier(given.labelled_documents(spark, d)))
+
+
+@query("classifier_test_rows", f"""SELECT {sql.TRUTH} AS label, count(*)::BIGINT AS n FROM documents JOIN labels USING (doc_id)
+    WHERE {_IS_TEST} GROUP BY 1""")
+def classifier_test_rows(spark, d):
+    """The rows of the held-out confusion per true label, through the saved and loaded model."""
+    trained = training.fit_classifier(given.labelled_documents(spark, d), penalties=(0.01,))
+    path = scratch_dir(spark, "classifier")
+    training.save_model(trained.model, path)
+    _, test = training.split_examples(given.labelled_documents(spark, d))
+    scored = training.load_model(path).transform(test).select("label", "predicted_name")
+    table = training.held_out_confusion(scored)
+    return table.filter(F.col("predicted").isin(*fixed.LABELS)).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+@query("model_label_sides", f"""SELECT CASE WHEN {sql.strip("text")} = '' THEN 'blank' ELSE 'text' END AS side, count(*)::BIGINT AS n
+    FROM documents GROUP BY 1""")
+def model_label_sides(spark, d):
+    """Blank texts are `unknown`, all others get one of the three names."""
+    trained = training.fit_classifier(given.labelled_documents(spark, d), penalties=(0.01,))
+    scored = sentiment.run_sentiment(given.documents_chat(spark, d), "custom_kick_bert", model=trained.model)
+    return scored.groupBy(F.when(F.col("sentiment") == "unknown", "blank").otherwise("text").alias("side")).agg(F.count("*").alias("n"))
+
+
 # --- streams ----------------------------------------------------------------------
 
 BATCHES = 3
