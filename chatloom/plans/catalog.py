@@ -1037,3 +1037,40 @@ def cleared_store(spark, d):
     events.orderBy("event_id").limit(1).write.mode("append").partitionBy("event_type").parquet(out)
     after = spark.read.schema(events.schema).parquet(out).agg(F.count("*").alias("rows_after_append"))
     return empty.select(F.lit(1).alias("one"), F.lit(0).cast("bigint").alias("rows")).join(after.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("stream_drained_log", f"""WITH {sql.TURNS}
+    SELECT {sql.TURN_TIME} AS timestamp, role AS username, 'room_' || (conv_id % 7) AS channel, md5(text) AS message_hash FROM turns""")
+def stream_drained_log(spark, d):
+    """Every message twice in the stream, drained at the end, once in the log."""
+    chat = given.conversations_chat(spark, d).select(
+        F.col("msg_key").alias("msg_id"), F.to_timestamp("timestamp", given.TEXT_TIME).alias("ts"), "timestamp", "username", "channel",
+        F.col("message").alias("content"),
+    )
+    landing, log = scratch_dir(spark, "drain-landing"), scratch_dir(spark, "drain-log")
+    _land(chat.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), landing)
+    stream = _landed(spark, landing, chat.withColumn("copy", F.lit(0)).schema)
+    live.drain_to_log(stream, scratch_dir(spark, "drain-stage"), log, scratch_dir(spark, "drain-checkpoint"))
+    back = chat_csv.read_csv(spark, log, multi_line=True)
+    return back.select("timestamp", "username", "channel", F.md5("message").alias("message_hash"))
+
+
+# --- chat pages -------------------------------------------------------------------
+
+
+@query("chat_page_entries", f"""WITH {sql.TURNS}
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS entry_pos, msg_key AS msg_id, 'u' || conv_id AS user_id,
+      role AS username, md5({sql.strip("regexp_replace(text, '[<>]', '', 'g')")}) AS content_hash FROM turns""")
+def chat_page_entries(spark, d):
+    """Conversations as captured chat pages with the marks of the live page, names included."""
+    turns = given.table(spark, d, "conversations")
+    uid = F.concat(F.lit("u"), "conv_id")
+    entry = F.concat(
+        F.lit(fixed.ENTRY_MARK), given.turn_key(), F.lit('"><a '), F.lit(fixed.USER_ID_MARK), uid, F.lit('" id="'), uid, F.lit('" style="x">'),
+        F.col("role"), F.lit(fixed.NAME_END), F.lit("</a><p "), F.lit(fixed.CONTENT_MARK), F.lit("<b>"), F.regexp_replace("text", "[<>]", ""),
+        F.lit("</b>"), F.lit(fixed.CONTENT_END),
+    )
+    pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", entry.alias("entry")))).alias("entries"))
+    pages = pages.select("conv_id", F.concat(F.lit("<body>"), F.array_join("entries.entry", "\n")).alias("html"))
+    rows = capture.newest_first(capture.page_entries(pages, page_key="conv_id"), "conv_id")
+    return rows.select("conv_id", F.col("entry_pos").cast("bigint").alias("entry_pos"), "msg_id", "user_id", "username", F.md5("content").alias("content_hash"))
