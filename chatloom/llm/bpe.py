@@ -17,11 +17,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from chatloom.llm.common import Query, steps, table, with_columns
+from chatloom.llm.common import Query, table, with_columns
 
 VOCABULARY = "byte_bpe_50k.json"
 # Words remembered by a worker before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 # The public word pattern of this kind of vocabulary, white space spelt out as the Unicode property.
 PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -156,15 +156,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str
 
     def make():
         words = vocabulary(path)
-
-        def work(texts):
-            found = []
-            texts = texts.to_pylist()
-            for a, b in steps(texts):
-                found += words.encode(texts[a:b])
-            return [pa.array(found, pa.binary())]
-
-        return work
+        return lambda texts: [pa.array(words.encode(texts.to_pylist()), pa.binary())]
 
     return with_columns(docs.drop(out) if out != text_col else docs, [text_col], [(out, "binary")], make)
 
@@ -180,14 +172,30 @@ def decode(docs: DataFrame, ids_col: str = "ids", out: str = "decoded", path: st
     return with_columns(docs.drop(out), [ids_col], [(out, "string")], make)
 
 
+def round_trip(
+    docs: DataFrame, text_col: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None
+) -> DataFrame:
+    """`encode` and `decode` in one pass: `docs` with the ids of each text and the text that these ids give."""
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def make():
+        words = vocabulary(path)
+
+        def work(texts):
+            found = words.encode(texts.to_pylist())
+            return [pa.array(found, pa.binary()), pa.array([words.decode(i) for i in found], pa.string())]
+
+        return work
+
+    return with_columns(docs.drop(*({ids, decoded} - {text_col})), [text_col], [(ids, "binary"), (decoded, "string")], make)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded texts of all rows as digests."""
-    coded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", "_ids")
-    coded = coded.select(
-        "doc_id", "_ids", (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256")
-    )
-    return decode(coded, "_ids", "_decoded").select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    return round_trip(rows, "_text", "_ids", "_decoded").select(
+        "doc_id", (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

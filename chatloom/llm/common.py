@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Text held by one Python step at a time; a longer text makes a step of its own.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
+STEP_BYTES = 2_000_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -60,10 +63,28 @@ def steps(texts: Sequence[str | None], limit: int = STEP_CHARS) -> Iterator[tupl
         yield start, len(texts)
 
 
-def with_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable) -> DataFrame:
-    """Add columns worked out batch by batch in Arrow; the rows stay where they are.
-
-    `make()` is called once per task and gives a function from the input arrays to the new arrays.
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose values in `column` have at most `limit` bytes, or one row."""
+    values = batch.column(column)
+    if not (pa.types.is_string(values.type) or pa.types.is_binary(values.type)):
+        yield batch
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def with_columns(
+    df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable, step_bytes: int = STEP_BYTES
+) -> DataFrame:
+    """Add columns worked out in Arrow; the rows stay where they are.
+
+    `make()` is called once per task and gives a function from the input arrays to the new arrays. It is given at most
+    `step_bytes` of the first input at a time, or one row, so that its memory does not follow the size of a batch.
     """
     types = [T._parse_datatype_string(kind) for _, kind in fields]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for (n, _), k in zip(fields, types))])
@@ -73,8 +94,9 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            made = work(*(batch.column(i) for i in at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+            for part in slices(batch, at[0], step_bytes):
+                made = work(*(part.column(i) for i in at))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
     return df.mapInArrow(run, schema)
 
