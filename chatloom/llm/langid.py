@@ -197,7 +197,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.select(F.col("_id").alias(id_col), "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, min_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose language is known with at least `min_score`, with their columns."""
     model = fit_languages(docs.where(~held_out(id_col)), text_col, lang_col)
     pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")

@@ -185,8 +185,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", see
     difference of hit rates that rejects at most MAX_GOOD_REJECTED of the good rows, of equal ones the most lenient.
     Without labelled rows of both kinds nothing is rejected by the forest.
     """
-    rows = stats.where(~base_failed()).orderBy(F.xxhash64(F.lit(seed), *KEY, id_col)).limit(TREES * TREE_ROWS)
-    sample = np.array([tuple(r) for r in rows.select(*SHARES).collect()], float).reshape(-1, len(SHARES))
+    sample = sampled_shares(stats.where(~base_failed()), id_col, TREES * TREE_ROWS, seed)
     known = labels.select(F.col("doc_id").alias("_label_id"), "quality").where("quality is not null")
     judged = stats.where(~base_failed()).join(known, F.col(id_col) == F.col("_label_id")).select("quality", *SHARES)
     judged = materialise(judged, "quality-labelled")
@@ -208,6 +207,21 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", see
     return replace(model, threshold=best["bin"] - 0.0005) if best else model
 
 
+def sampled_shares(rows: DataFrame, id_col: str, size: int, seed: int) -> np.ndarray:
+    """The shares of the `size` rows with the least hashes of key and id, or of all rows if there are fewer.
+
+    Every task hands on the rows below a hash that about half as many again stay under, so what reaches the driver is bounded
+    by `size`; rows that agree in key and id count once.
+    """
+    range_ = 1 << 40
+    n = rows.count()
+    under = range_ if n <= 2 * size else int(range_ * min(1.0, 1.5 * size / n))
+    placed = F.pmod(F.xxhash64(F.lit(seed), *KEY, id_col), F.lit(range_)).alias("_at")
+    found = rows.select(placed, *SHARES).where(F.col("_at") < under).distinct().collect()
+    first = sorted(tuple(r) for r in found)[:size]
+    return np.array([r[1:] for r in first], float).reshape(-1, len(SHARES))
+
+
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns(dict(zip(KEY, text_key(F.col(text_col)))))
 
