@@ -8,29 +8,34 @@ last bytes, the table and the index, and then decompresses only the frames that
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from chatloom.llm.common import Query, steps, table
+from chatloom.llm.bpe import byte_letters
+from chatloom.llm.common import Query, slices, table
 from chatloom.session import scratch_dir
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 FRAME_TOKENS = 1 << 18
 LEVEL = 3
-# Words remembered by a worker before it starts anew.
-REMEMBERED = 500_000
+# Words (twice this many) and pieces of words that a worker remembers.
+REMEMBERED, REMEMBERED_PIECES = 200_000, 600_000
+STEP_BYTES = 6_000_000
 # Fixed values of the public seekable format.
 INDEX_MAGIC = 0x184D2A50
 TABLE_MAGIC = 0x184D2A5E
@@ -39,32 +44,87 @@ CHECKSUMS = 0x80
 NO_ID = -(1 << 63)  # stands for a null document id
 
 
+# Words that the vocabulary's rules cut the same way as PIECE does: no control or white space, no letters that normalise.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordTokens:
     """Ids from the tokenizers library, word by word.
 
     The vocabulary's own rules never join what a space or line end parts (its pattern drops white space, and special tokens hold
-    none), so a text's ids are those of its words one after the other; each word is encoded once and then remembered.
+    none), so a text's ids are those of its words one after the other; each word is encoded once and then remembered. Words
+    of plain letters, digits and marks are put together from the pieces into which the rules cut them, lower-cased.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.library.model, byte_letters()
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """The library's merges of one piece, written in the letters that stand for its bytes."""
+        found = self.model.tokenize(piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode())))
+        return array("I", [t.id for t in found]).tobytes()
+
+    def _learn(self, words: Iterable[str]) -> None:
+        whole, pieces = [], self.pieces
+        if len(pieces) > REMEMBERED_PIECES:
+            pieces.clear()
+        for w in words:
+            plain = w.isprintable() if w.isascii() else PLAIN.fullmatch(w)
+            if not plain or ("<|" in w and any(s in w for s in self.special)):
+                whole.append(w)
+                continue
+            parts = PIECE.findall(w.lower())
+            for p in parts:
+                if p not in pieces:
+                    pieces[p] = self._piece(p)
+            self.known[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        found = self.library.encode_batch_fast(whole, add_special_tokens=False) if whole else ()
+        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(whole, found))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words. What is in use moves from the older table to the newer one, the rest is forgotten."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = [list(map(self.known.get, words)) for words in split]
-        open_rows = [i for i, ids in enumerate(found) if None in ids]
-        fresh = list({w for i in open_rows for w, ids in zip(split[i], found[i]) if ids is None})
-        if fresh:
-            made = self.library.encode_batch_fast(fresh, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, made))
-        for i in open_rows:
-            found[i] = map(self.known.__getitem__, split[i])
-        return [b"".join(ids) for ids in found]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        fresh = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                w = words[i]
+                if (old := older.get(w)) is None:
+                    fresh.append(i)
+                else:
+                    known[w] = found[i] = old
+        self._learn([words[i] for i in fresh])
+        for i in fresh:
+            found[i] = known[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's end; null has none.
+
+        The words are told apart in Arrow, each different one is looked up once, and its ids are copied to all its places.
+        """
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        found = self._ids(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) + np.repeat(starts[at] - (ends - lengths), lengths)]
+        text_ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        return ids, np.concatenate([[0], ends])[text_ends]
 
 
 @lru_cache(maxsize=4)
@@ -188,12 +248,15 @@ def write_tokens(
                 name = f"tokens-{run_id}-{part:06d}.zst"
                 made = f"{root}/.{name}.{uuid.uuid4().hex}"
                 out = FrameWriter(store.open_output_stream(made, compression=None))
-            ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in steps(texts):
-                for doc_id, tokens in zip(ids[a:b], words.encode(texts[a:b])):
-                    out.add(doc_id, tokens + end)
+            for some in slices(batch, 2, STEP_BYTES):
+                ids, ends = words.encode(some.column(2))
+                begins = [0, *ends[:-1].tolist()]
+                for doc_id, a, b in zip(some.column(1).to_pylist(), begins, ends.tolist()):
+                    out.add(doc_id, ids[a:b].tobytes() + end)
         if out is not None:
             out.close()
+            if store.get_file_info(f"{root}/{name}").type != pa.fs.FileType.NotFound:
+                store.delete_file(f"{root}/{name}")  # of an attempt that was lost after its move
             store.move(made, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "tokens": [sum(out.lengths)], "docs": [len(out.ids)], "part": [part]})
 
