@@ -14,14 +14,15 @@ import numpy as np
 HIDDEN = 16
 # Tokens per step of truncated backpropagation, and texts side by side in training and in scoring.
 WINDOW = 16
-TRAIN_LANES = 128
-SCORE_LANES = 256
-SCORE_WINDOW = 16
-# A small corpus is dealt to fewer lanes, so that it gives about this many gradients.
-LEAST_UPDATES, LEAST_LANES = 200, 8
-# The state runs through every window; every fourth of them gives a gradient.
-GRADIENT_EVERY = 4
-RATE = 0.01
+TRAIN_LANES = 256
+SCORE_LANES = 512
+# Tokens of all lanes together in a window of scoring.
+SCORE_TOKENS = 16_384
+# Few texts are dealt to fewer lanes, so that they give about this many gradients.
+LEAST_UPDATES, LEAST_LANES = 150, 4
+# The state runs through every window; every eighth of them gives a gradient.
+GRADIENT_EVERY = 8
+RATE = 0.015
 CLIP = 5.0
 # Scores of the output are bounded so that their exponentials fit.
 LARGEST = 60.0
@@ -235,9 +236,12 @@ def score(params: dict, layout: Layout, texts: list[np.ndarray]) -> np.ndarray:
     inputs, targets, begins, used, places = lanes_of(texts, SCORE_LANES, layout)
     logs = np.zeros(inputs.shape, np.float64)
     h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-    for a in range(0, len(inputs), SCORE_WINDOW):
-        part = slice(a, a + SCORE_WINDOW), slice(0, int((used > a).sum()))  # lanes that go on
+    a = 0
+    while a < len(inputs):
+        lanes = int((used > a).sum())  # those that go on
+        part = slice(a, a + max(WINDOW, SCORE_TOKENS // lanes)), slice(0, lanes)
         out, h, _ = forward(params, inputs[part], begins[part], h[part[1]], False)
         real = targets[part] >= 0
         logs[part][real] = output_logs(params, layout, out[real], targets[part][real])[0]
+        a += len(out)
     return np.array([logs[at : at + len(t), lane].sum() for (lane, at), t in zip(places, texts)])

@@ -1,6 +1,6 @@
 """Language-model scoring: corpus counts, a gated recurrent model (see `gru`) and the log-likelihood of whole texts.
 
-Counts cover every training text and grow with the corpus. The model is trained on every training text in three rounds; in each
+Counts cover every training text and grow with the corpus. The model is trained on every training text, in two rounds; in each
 round every task trains a copy on its own texts, and the copies are averaged by the tokens they have learnt from.
 """
 
@@ -10,27 +10,30 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.llm import gru
-from chatloom.llm.common import KEY, Query, table, text_key, with_columns
+from chatloom.llm.common import Query, table, with_columns
 from chatloom.llm.langid import held_out, most_frequent
 from chatloom.session import materialise
 
 # Words that the model tells apart; rarer words share a class and are told apart by their counts.
-HEAD = 60_000
-LEARNT_CLASSES, CLASS_WORDS = 32, 32
+HEAD, LEAST_COUNT = 100_000, 3
+LEARNT_CLASSES, CLASS_WORDS = 16, 64
 # Classes by counts: one row of bands per topic. A text's topic is its most frequent word, of the most common such words.
-TOPICS, BANDS = 16, 2
+TOPICS, BANDS = 16, 1
 # Sixteenths of the training texts per round.
-ROUNDS = ((0, 1), (1, 4), (4, 16))
-HELD_COUNTS = 300_000
-STEP_TOKENS = 1_000_000
+ROUNDS = ((0, 2), (2, 16))
+HELD_COUNTS = 500_000
+TRAIN_TOKENS = 2_000_000
+SCORE_TOKENS, SCORE_BYTES = 4_000_000, 32_000_000
 END = b""
 FIXED_POINT = 1 << 24
+EMPTY = pa.array([], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -89,8 +92,7 @@ class LanguageModel:
         return self.total + self.kinds + 1
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        rare, get = len(self.counts), self.vocabulary.get
-        return np.fromiter((get(w, rare) for w in words), np.int32, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(len(self.counts))), np.int32, len(words))
 
 
 def lay_out(words: list[bytes], counts: np.ndarray, topic: np.ndarray, total: int) -> gru.Layout:
@@ -136,7 +138,7 @@ def trained(rows: DataFrame, text_col: str, model: LanguageModel) -> LanguageMod
             for text in batch.column(0):
                 waiting.append(held.ids(tokens(text.as_py())))
                 size += len(waiting[-1])
-                if size >= STEP_TOKENS:
+                if size >= TRAIN_TOKENS:
                     trainer.learn(waiting)
                     waiting, size = [], 0
         trainer.learn(waiting)
@@ -164,7 +166,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[LanguageModel, Dat
     by_topic = materialise(topic_counts(docs, text_col), "lm-topics")
     counts = materialise(by_topic.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = materialise(most_frequent(counts.withColumnRenamed("word", "item"), HEAD), "lm-head")
+    # A word seen once or twice stays rare: what the model learns of rare words is what it knows of unseen ones.
+    frequent = counts.where(F.col("n") >= LEAST_COUNT).withColumnRenamed("word", "item")
+    head = materialise(most_frequent(frequent, HEAD), "lm-head")
     rows = head.select("item", "n").toArrow().sort_by([("n", "descending"), ("item", "ascending")])
     words, n = rows["item"].to_pylist(), rows["n"].to_numpy().astype(np.float64)
     vocabulary = {w: i for i, w in enumerate(words)}
@@ -198,7 +202,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("held_out", held_out("_id", parts, rest))
     model, counts = fit(rows.where(~F.col("held_out")), "_id", "_text")
-    keyed = rows.withColumns(dict(zip(KEY, text_key(F.col("_text")))))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -207,13 +210,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         base = np.append(np.log10(held.counts + 1), 0.0)
 
         def work(texts):
-            n_tokens, n_frequent, frequent, scores, missing = [], [], [], [], []
-            waiting, size = [], 0
+            n_tokens, n_frequent, frequent, scores, lists = [], [], [], [], [EMPTY]
+            waiting, missing, size = [], [], 0
 
             def settle() -> None:
-                nonlocal waiting, size
+                nonlocal waiting, missing, size
                 scores.extend((gru.score(held.params, held.layout, waiting) / math.log(10)).tolist())
-                waiting, size = [], 0
+                items = pa.StructArray.from_arrays(
+                    [pa.array([w for m in missing for w in m], pa.binary()), pa.array([n for m in missing for n in m.values()], pa.int64())],
+                    names=["word", "times"],
+                )
+                offsets = np.concatenate([[0], np.cumsum([len(m) for m in missing])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), items))
+                waiting, missing, size = [], [], 0
 
             for text in texts:
                 words = tokens(text.as_py())
@@ -222,36 +231,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_tokens.append(len(ids))
                 n_frequent.append(len(ids) - len(seldom))
                 frequent.append(float(base[ids].sum()))
-                missing.append(list(Counter([words[i] for i in seldom.tolist()]).items()))
+                missing.append(Counter([words[i] for i in seldom.tolist()]))
                 waiting.append(ids)
                 size += len(ids)
-                if size >= STEP_TOKENS:
+                if size >= SCORE_TOKENS:
                     settle()
             settle()
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(m) for m in missing])]).astype(np.int32))
-            pairs = [p for m in missing for p in m]
-            items = pa.StructArray.from_arrays(
-                [pa.array([w for w, _ in pairs], pa.binary()), pa.array([n for _, n in pairs], pa.int64())], names=["word", "times"]
-            )
             return [
                 pa.array(n_tokens, pa.int64()), pa.array(n_frequent, pa.int64()), pa.array(frequent, pa.float64()),
-                pa.array(scores, pa.float64()), pa.ListArray.from_arrays(offsets, items),
+                pa.array(scores, pa.float64()), pa.concat_arrays(lists),
             ]
 
         return work
 
     fields = [("n_tokens", "bigint"), ("_frequent", "bigint"), ("_base", "double"), ("_score", "double"),
               ("_rare", "array<struct<word: binary, times: bigint>>")]
-    scored = materialise(with_columns(keyed, ["_text"], fields, make).drop("_text"), "lm-scored")
-    # the rare words of each different text, with their counts
-    rare = scored.groupBy(*KEY).agg(F.first("_rare").alias("_rare")).select(*KEY, F.inline("_rare"))
-    rare = rare.join(counts, "word", "left").groupBy(*KEY).agg(
+    scored = with_columns(rows, ["_text"], fields, make, SCORE_BYTES).drop("_text")
+    # written with a number for each row, as ids may be null or repeated
+    scored = materialise(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    rare = scored.select("_row", F.inline("_rare")).join(counts, "word", "left").groupBy("_row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_logs"),
     )
     logs, seldom = F.coalesce("_logs", F.lit(0.0)), F.col("n_tokens") - F.col("_frequent")
     base = F.col("_base") + logs - F.col("n_tokens") * F.lit(math.log10(model.base_total))
-    return scored.drop("_rare").join(rare, KEY, "left").select(
+    return scored.drop("_rare").join(rare, "_row", "left").select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("_frequent") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"), base.alias("base_score"),
         (F.col("_score") + logs - seldom * F.lit(math.log10(model.rare_total))).alias("score"),
