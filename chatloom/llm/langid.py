@@ -114,7 +114,11 @@ class LanguageModel:
 
     def back_off(self, word: str) -> list[int]:
         """Known grams that cover an unseen word: an unknown gram is replaced by its two shorter parts."""
-        found, todo = [], grams(word, min(LONGEST, len(word) + 2))
+        todo = grams(word, min(LONGEST, len(word) + 2))
+        found = list(map(self.grams.get, todo))
+        if None not in found:
+            return found
+        found = []
         while todo:
             shorter: dict[str, None] = {}
             for g in todo:
@@ -132,16 +136,22 @@ class LanguageModel:
         if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
-        known, times = [], []
-        for word, n in Counter(words).items():
-            i = self.words.get(word)
-            if i is not None:
-                known.append(i)
-                times.append(n)
-            elif parts := self.back_off(word):
-                total += self.gram_logs[parts].mean(0, dtype=np.float64) * n
+        counts = Counter(words)
+        found = list(map(self.words.get, counts))
+        if None in found:
+            parts, weights = [], []
+            for word, i in zip(counts, found):
+                if i is None and (own := self.back_off(word)):
+                    parts += own
+                    weights += [counts[word] / len(own)] * len(own)
+            if parts:
+                total += np.array(weights) @ self.gram_logs[parts]
+            known = [(i, n) for i, n in zip(found, counts.values()) if i is not None]
+        else:
+            known = list(zip(found, counts.values()))
         if known:
-            total += np.asarray(times, np.float64) @ self.word_logs[known]
+            at, times = np.array(known).T
+            total += times.astype(np.float64) @ self.word_logs[at]
         scaled = (total - total.max()) / math.sqrt(len(words))
         share = np.exp(scaled)
         best = int(share.argmax())  # of equal languages the first in the alphabet
