@@ -35,8 +35,8 @@ SLACK = 0.2
 # Blocks of the exact comparison: sets, and shingles.
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 400_000
-# Words whose hash a worker remembers before it starts anew.
-REMEMBERED = 500_000
+# Words whose hash a task remembers before it starts anew.
+REMEMBERED = 200_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PATHS = np.dtype([("p1", "<i8"), ("p2", "<i8"), ("p3", "<i8"), ("lead", "u1")])
@@ -67,6 +67,11 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def forget_words() -> None:
+    """At the end of a task; its worker may go on to other work."""
+    HASHES.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -107,7 +112,7 @@ def chosen_paths(hashes: np.ndarray, runs: int, similarity: float = SIMILARITY)
     def choose(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each start the shingles it goes on with."""
         rows, cols = [], []
-        each = max(1, 2_000_000 // n)
+        each = max(1, 250_000 // n)  # small enough for a core's cache
         for a in range(0, len(starts), each):
             r, c = np.nonzero((hashes[None, :] ^ starts[a : a + each, None]) * ODD < limit)
             rows.append(r + a)
@@ -155,41 +160,40 @@ def mark(docs: DataFrame, text_col: str, recall: float, similarity: float) -> Da
         return work
 
     fields = [("_sid", "binary"), ("_n", "bigint"), ("_sketch", "binary"), ("_paths", "binary")]
-    return with_columns(docs, [text_col], fields, make).drop(text_col)
+    return with_columns(docs, [text_col], fields, make, after=forget_words).drop(text_col)
 
 
 def level_rows(sets: DataFrame, level: int) -> DataFrame:
-    """_sid, parent, path: the steps of all sets at one level."""
+    """_set, path and, behind the first level, parent: the steps of all sets at one level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = batch.column(1).to_pylist()
             rows = np.frombuffer(b"".join(packed), PATHS)
             owner = np.repeat(np.arange(len(packed)), [len(p) // PATHS.itemsize for p in packed])
-            if level == 1:
-                own, parent, path = (rows["lead"] & 1) > 0, np.zeros(len(rows), np.int64), rows["p1"]
-            elif level == 2:
-                own, parent, path = (rows["lead"] & 2) > 0, rows["p1"], rows["p2"]
-            else:
-                own, parent, path = rows["p3"] != 0, rows["p2"], rows["p3"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner[own])), pa.array(parent[own]), pa.array(path[own])], names=["_sid", "parent", "path"]
-            )
+            own = rows["p3"] != 0 if level == 3 else (rows["lead"] & level) > 0
+            columns = [batch.column(0).take(pa.array(owner[own])), pa.array(rows[f"p{level}"][own])]
+            if level > 1:
+                columns.append(pa.array(rows[f"p{level - 1}"][own]))
+            yield pa.RecordBatch.from_arrays(columns, names=["_set", "path", "parent"][: len(columns)])
 
-    return sets.select("_sid", "_paths").mapInArrow(run, "_sid binary, parent bigint, path bigint")
+    schema = "_set bigint, path bigint" + ", parent bigint" * (level > 1)
+    return sets.select("_set", "_paths").mapInArrow(run, schema)
 
 
 def buckets(sets: DataFrame, small: int = SMALL) -> DataFrame:
-    """path, _sid, size: the buckets of two sets or more in which the splitting ends."""
+    """path, _set, size: the buckets of two sets or more in which the splitting ends."""
     found, large = [], None
     for level in range(1, LEVELS + 1):
         rows = level_rows(sets, level)
         if large is not None:
-            rows = rows.join(large.select(F.col("path").alias("parent")), "parent", "left_semi")
+            rows = rows.join(large, "parent", "left_semi").drop("parent")
         sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"near-sizes{level}")
         end = sizes if level == LEVELS else sizes.where(F.col("size") <= small)
-        large = sizes.where(F.col("size") > small)
-        found.append(rows.select("path", "_sid").join(end, "path"))
+        # Far fewer than the buckets: written on their own, so that Spark knows their size when it plans the next join.
+        large = sizes.where(F.col("size") > small).select(F.col("path").alias("parent"))
+        large = materialise(large, f"near-large{level}") if level < LEVELS else None
+        found.append(rows.join(end, "path"))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -200,36 +204,35 @@ def lead(rows: DataFrame, part: str, least: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, several, sids, table_ = None, False, [], np.zeros((0, BINS), np.uint8)
+        current, several, leaders, table_ = None, False, [], np.zeros((0, BINS), np.uint8)
         for batch in batches:
             out: list[tuple] = []
             columns = [c.to_pylist() for c in batch.columns]
-            for path, p, parts, sid, bits in zip(*columns):
+            for path, p, parts, one, bits in zip(*columns):
                 if (path, p) != current:
-                    current, several, sids, table_ = (path, p), parts > 1, [], np.zeros((16, BINS), np.uint8)
+                    current, several, leaders, table_ = (path, p), parts > 1, [], np.zeros((16, BINS), np.uint8)
                 row = np.frombuffer(bits, np.uint8)
-                held = table_[: len(sids)]
-                if len(sids):
+                held = table_[: len(leaders)]
+                if len(leaders):
                     same = ((held == row) & (row > 0)).sum(1)
                     some = ((held > 0) | (row > 0)).sum(1)
                     best = int(np.argmax(same / some))
                     if same[best] >= least * some[best]:
-                        out.append((path, sids[best], sid))
+                        out.append((path, leaders[best], one))
                         continue
-                if len(sids) == len(table_):
+                if len(leaders) == len(table_):
                     table_ = np.concatenate([table_, np.zeros_like(table_)])
-                table_[len(sids)] = row
-                sids.append(sid)
+                table_[len(leaders)] = row
+                leaders.append(one)
                 if several:
-                    out.append((path, sid, None))
-            kinds = (pa.int64(), pa.binary(), pa.binary())
+                    out.append((path, one, None))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], names=["path", "a", "b"]
+                [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], names=["path", "a", "b"]
             )
 
-    rows = rows.select("path", F.expr(part).alias("part"), "parts", "_sid", "_sketch")
-    rows = rows.repartition("path", "part").sortWithinPartitions("path", "part", F.xxhash64("path", "_sid"))
-    return rows.mapInArrow(run, "path bigint, a binary, b binary")
+    rows = rows.select("path", F.expr(part).alias("part"), "parts", "_set", "_sketch")
+    rows = rows.repartition("path", "part").sortWithinPartitions("path", "part", F.xxhash64("path", "_set"))
+    return rows.mapInArrow(run, "path bigint, a bigint, b bigint")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -311,11 +314,9 @@ def compare_blocks(rows: DataFrame, similarity: float) -> DataFrame:
         return [(r[1], n, w, both[t][1]) for r, n, w, t in zip(both, links, weights, root.tolist()) if n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-
         def give(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 4, kinds)], names=["_sid", "links", "copies", "tie"]
+                [pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 4)], names=["_set", "links", "copies", "tie"]
             )
 
         key, part = None, []
@@ -331,9 +332,9 @@ def compare_blocks(rows: DataFrame, similarity: float) -> DataFrame:
         if part:
             yield give(compared(part, *key[1:]))
 
-    rows = rows.select("_root", "_i", "_j", "_block", "_sid", "_text", "_copies")
-    rows = rows.repartition("_root", "_i", "_j").sortWithinPartitions("_root", "_i", "_j", "_sid")
-    return rows.mapInArrow(run, "_sid binary, links bigint, copies bigint, tie binary")
+    rows = rows.select("_root", "_i", "_j", "_block", "_set", "_text", "_copies")
+    rows = rows.repartition("_root", "_i", "_j").sortWithinPartitions("_root", "_i", "_j", "_set")
+    return rows.mapInArrow(run, "_set bigint, links bigint, copies bigint, tie bigint")
 
 
 def _classes(
@@ -348,34 +349,35 @@ def _classes(
         F.count("*").alias("_copies"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch"), F.first("_paths").alias("_paths"),
         F.min(F.struct(*KEY)).alias("_rep"), F.min("_id").alias("_first"),
     )
-    sets = materialise(sets, "near-sets")
+    # Written with a number for each set: half as wide as the digest in all that follows.
+    sets = materialise(sets.withColumn("_set", F.monotonically_increasing_id()), "near-sets")
     least = similarity - SLACK
-    held = buckets(sets).withColumn("parts", F.ceil(F.col("size") / PART)).join(sets.select("_sid", "_sketch"), "_sid")
-    ties = materialise(lead(held, "pmod(xxhash64(_sid, path), parts)", least), "near-ties")
-    leaders = ties.where("b is null").select("path", F.col("a").alias("_sid"), F.lit(1).cast("bigint").alias("parts"))
-    more = lead(leaders.join(sets.select("_sid", "_sketch"), "_sid"), "0L", least)
+    held = buckets(sets).withColumn("parts", F.ceil(F.col("size") / PART)).join(sets.select("_set", "_sketch"), "_set")
+    ties = materialise(lead(held, "pmod(xxhash64(_set, path), parts)", least), "near-ties")
+    leaders = ties.where("b is null").select("path", F.col("a").alias("_set"), F.lit(1).cast("bigint").alias("parts"))
+    more = lead(leaders.join(sets.select("_set", "_sketch"), "_set"), "0L", least)
     groups = components(ties.unionByName(more).where("b is not null").select("a", "b"), "near-groups")
 
-    members = groups.select(F.col("node").alias("_sid"), F.col("root").alias("_root")).join(sets.drop("_sketch", "_paths"), "_sid")
+    members = groups.select(F.col("node").alias("_set"), F.col("root").alias("_root")).join(sets.drop("_sid", "_sketch", "_paths"), "_set")
     extent = members.groupBy("_root").agg(F.count("*").alias("_m"), F.sum("_n").alias("_s"))
     blocks = F.greatest(F.ceil(F.col("_m") / BLOCK_SETS), F.ceil(F.col("_s") / BLOCK_SHINGLES))
     members = members.join(extent.select("_root", blocks.alias("_blocks")), "_root")
-    members = members.select("_root", "_blocks", "_sid", "_copies", F.pmod(F.xxhash64("_sid"), "_blocks").alias("_block"), "_rep.*")
+    members = members.select("_root", "_blocks", "_set", "_copies", F.pmod(F.xxhash64("_set"), "_blocks").alias("_block"), "_rep.*")
     members = materialise(members, "near-members")
     shown = texts.select(*KEY, "_text").join(members.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("_text").alias("_text"))
     placed = members.join(shown, KEY).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
     placed = placed.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")})
     linked = materialise(compare_blocks(placed, similarity), "near-links")
-    counts = linked.groupBy("_sid").agg(F.sum("links").alias("_links"), F.sum("copies").alias("_linked"))
+    counts = linked.groupBy("_set").agg(F.sum("links").alias("_links"), F.sum("copies").alias("_linked"))
     # groups of one block are whole already; the others' ties may meet in a third set
-    split = linked.join(members.where("_blocks > 1").select("_sid"), "_sid", "left_semi")
-    roots = components(split.select(F.col("_sid").alias("a"), F.col("tie").alias("b")), "near-classes")
-    whole = linked.join(members.where("_blocks = 1").select("_sid"), "_sid", "left_semi").select(F.col("_sid").alias("node"), F.col("tie").alias("root"))
-    roots = whole.unionByName(roots).select(F.col("node").alias("_sid"), F.col("root").alias("_class"))
-    known = sets.select("_sid", "_copies", "_first").join(counts, "_sid", "left").join(roots, "_sid", "left")
-    known = known.withColumn("_class", F.coalesce("_class", "_sid"))
+    split = linked.join(members.where("_blocks > 1").select("_set"), "_set", "left_semi")
+    roots = components(split.select(F.col("_set").alias("a"), F.col("tie").alias("b")), "near-classes")
+    whole = linked.join(members.where("_blocks = 1").select("_set"), "_set", "left_semi").select(F.col("_set").alias("node"), F.col("tie").alias("root"))
+    roots = whole.unionByName(roots).select(F.col("node").alias("_set"), F.col("root").alias("_class"))
+    known = sets.select("_set", "_sid", "_copies", "_first").join(counts, "_set", "left").join(roots, "_set", "left")
+    known = known.withColumn("_class", F.coalesce("_class", "_set"))
     named = known.groupBy("_class").agg(F.min("_first").alias("class_id"))
-    known = materialise(known.join(named, "_class").drop("_first"), "near-known")
+    known = materialise(known.join(named, "_class").drop("_first", "_set"), "near-known")
     return marked.select("_id", *KEY, "_sid").join(known, "_sid", "left").select(
         "_id", *KEY, "_sid", "_class", F.when(F.col("_sid").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.coalesce("_linked", F.lit(0)) + F.col("_copies") - 1, F.lit(0)).cast("bigint").alias("n_links"),
