@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -78,13 +80,28 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         at = to
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system: a worker process outlives its task and the stages of a pipeline."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+        if trim is not None:
+            trim(0)
+
+
 def with_columns(
-    df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable, step_bytes: int = STEP_BYTES
+    df: DataFrame,
+    inputs: Sequence[str],
+    fields: Sequence[tuple[str, str]],
+    make: Callable,
+    step_bytes: int = STEP_BYTES,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Add columns worked out in Arrow; the rows stay where they are.
 
     `make()` is called once per task and gives a function from the input arrays to the new arrays. It is given at most
-    `step_bytes` of the first input at a time, or one row, so that its memory does not follow the size of a batch.
+    `step_bytes` of the first input at a time, or one row, so that its memory does not follow the size of a batch. `after`
+    is called when a task ends.
     """
     types = [T._parse_datatype_string(kind) for _, kind in fields]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for (n, _), k in zip(fields, types))])
@@ -97,6 +114,10 @@ def with_columns(
             for part in slices(batch, at[0], step_bytes):
                 made = work(*(part.column(i) for i in at))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+        del work
+        if after is not None:
+            after()
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
