@@ -20,8 +20,6 @@ SCORE_LANES = 512
 SCORE_TOKENS = 16_384
 # Few texts are dealt to fewer lanes, so that they give about this many gradients.
 LEAST_UPDATES, LEAST_LANES = 150, 4
-# The state runs through every window; every eighth of them gives a gradient.
-GRADIENT_EVERY = 8
 RATE = 0.015
 CLIP = 5.0
 # Scores of the output are bounded so that their exponentials fit.
@@ -194,16 +192,14 @@ class Trainer:
     def learn(self, texts: list[np.ndarray]) -> None:
         if not texts:
             return
-        lanes = sum(map(len, texts)) // (WINDOW * GRADIENT_EVERY * LEAST_UPDATES)
+        lanes = sum(map(len, texts)) // (WINDOW * LEAST_UPDATES)
         inputs, targets, begins, used, _ = lanes_of(texts, min(max(lanes, LEAST_LANES), TRAIN_LANES), self.layout)
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-        for k, a in enumerate(range(0, len(inputs), WINDOW)):
+        for a in range(0, len(inputs), WINDOW):
             part = slice(a, a + WINDOW), slice(0, int((used > a).sum()))  # lanes that go on
             x, b = inputs[part], begins[part]
-            learns = k % GRADIENT_EVERY == 0
-            out, h, kept = forward(self.p, x, b, h[part[1]], learns)
-            if learns:
-                self._update(x, b, targets[part], out, kept)
+            out, h, kept = forward(self.p, x, b, h[part[1]], True)
+            self._update(x, b, targets[part], out, kept)
 
     def _update(self, x, begins, targets, out, kept) -> None:
         real = targets >= 0

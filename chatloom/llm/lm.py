@@ -23,9 +23,10 @@ from chatloom.session import materialise
 
 # Words that the model tells apart; rarer words share a class and are told apart by their counts.
 HEAD, LEAST_COUNT = 100_000, 3
+# Classes whose words the network learns: at least so many, and the root of the vocabulary where that is more.
 LEARNT_CLASSES, CLASS_WORDS = 16, 64
 # Classes by counts: one row of bands per topic. A text's topic is its most frequent word, of the most common such words.
-TOPICS, BANDS = 16, 1
+TOPICS, BANDS = 16, 2
 # Sixteenths of the training texts per round.
 ROUNDS = ((0, 2), (2, 16))
 HELD_COUNTS = 500_000
@@ -33,6 +34,8 @@ TRAIN_TOKENS = 2_000_000
 SCORE_TOKENS, SCORE_BYTES = 4_000_000, 32_000_000
 END = b""
 FIXED_POINT = 1 << 24
+# Weights of a copy in one row of the table that is averaged.
+BLOCK = 4096
 EMPTY = pa.array([], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
 
 
@@ -98,7 +101,7 @@ class LanguageModel:
 def lay_out(words: list[bytes], counts: np.ndarray, topic: np.ndarray, total: int) -> gru.Layout:
     """Classes of the vocabulary, most frequent words first: learnt classes, then bands of equal mass per topic, then the rare class."""
     n = len(words)
-    learnt = min(n, LEARNT_CLASSES * CLASS_WORDS)
+    learnt = min(n, max(LEARNT_CLASSES, math.isqrt(n)) * CLASS_WORDS)
     classes = -(-learnt // CLASS_WORDS)
     word_class, place = np.zeros(n + 1, np.int64), np.full(n + 1, -1)
     read_as, within = np.zeros(n + 1, np.int64), np.zeros(n + 1)
@@ -126,6 +129,15 @@ def lay_out(words: list[bytes], counts: np.ndarray, topic: np.ndarray, total: in
     return gru.Layout(read_as, word_class, place, within, classes, CLASS_WORDS, np.log((mass + 1) / (mass + 1).sum()), bias)
 
 
+def mean_block(copies: pa.Table) -> pa.Table:
+    """Mean of the copies of one block; sums of whole numbers, so that it does not depend on the order of the tasks."""
+    weight = copies["weight"].to_numpy()
+    x = np.stack([row.values.to_numpy() for row in copies["x"]]).astype(np.float64)
+    high, low = np.divmod(np.round(x * FIXED_POINT).astype(np.int64), 1 << 15)  # so that no sum leaves 64 bits
+    mean = ((weight @ high).astype(np.float64) * (1 << 15) + weight @ low) / weight.sum() / FIXED_POINT
+    return pa.table({"start": copies["start"][:1], "x": pa.array([mean], pa.list_(pa.float64()))})
+
+
 def trained(rows: DataFrame, text_col: str, model: LanguageModel) -> LanguageModel:
     """The model after one round over `rows`; without rows, the model itself."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -143,21 +155,19 @@ def trained(rows: DataFrame, text_col: str, model: LanguageModel) -> LanguageMod
                     waiting, size = [], 0
         trainer.learn(waiting)
         if trainer.weight:
-            flat = np.round(gru.pack(trainer.p).astype(np.float64) * FIXED_POINT).astype(np.int64)
+            flat = gru.pack(trainer.p)
+            starts = np.arange(0, len(flat), BLOCK)
+            offsets = np.append(starts, len(flat)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([trainer.weight]), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=["weight", "flat"]
+                [pa.array(starts, pa.int64()), pa.array(np.full(len(starts), trainer.weight), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["start", "weight", "x"],
             )
 
-    copies = rows.select(text_col).mapInArrow(run, "weight bigint, flat array<bigint>")
-    # whole numbers, so that the mean does not depend on the order of the tasks
-    copies = copies.select("weight", F.posexplode("flat").alias("i", "x"))
-    mean = copies.groupBy("i").agg(
-        (F.sum(F.col("x").cast("decimal(38,0)") * F.col("weight")).cast("double") / F.sum("weight") / FIXED_POINT).alias("x")
-    ).toArrow()
+    copies = rows.select(text_col).mapInArrow(run, "start bigint, weight bigint, x array<float>")
+    mean = copies.groupBy("start").applyInArrow(mean_block, "start bigint, x array<double>").toArrow()
     if not mean.num_rows:
         return model
-    flat = np.zeros(mean.num_rows)
-    flat[mean["i"].to_numpy()] = mean["x"].to_numpy()
+    flat = np.concatenate([x.values.to_numpy() for x in mean.sort_by("start")["x"]])
     return LanguageModel(model.vocabulary, model.counts, model.total, model.kinds, model.layout, gru.unpack(flat, model.params))
 
 

@@ -391,6 +391,36 @@ def test_state_is_carried_and_texts_are_independent():
     assert abs(one - two - gru.score(p, layout, [texts[2]])[0]) > 1e-3  # what follows depends on what was
 
 
+def test_every_training_token_gives_a_gradient():
+    rng = np.random.default_rng(3)
+    counts = np.sort(rng.integers(1, 50, 40).astype(float))[::-1]
+    layout = lm.lay_out([b"%d" % i for i in range(40)], counts, np.zeros(40, int), 3000)
+    texts = [rng.integers(0, 41, n) for n in (1, 900, 37, 16, 333)]
+    trainer = gru.Trainer(gru.initial(layout), layout)
+    trainer.learn(texts)
+    assert trainer.weight == sum(map(len, texts))
+
+
+def test_learnt_words_grow_with_the_vocabulary():
+    learnt = []
+    for n in (500, 1500, 40_000, 100_000):
+        counts = np.sort(np.random.default_rng(4).integers(3, 500, n).astype(float))[::-1]
+        layout = lm.lay_out([b"%d" % i for i in range(n)], counts, np.zeros(n, int), int(counts.sum()))
+        learnt.append(int((layout.place >= 0).sum()))
+        assert len(np.unique(layout.read_as[:-1][layout.place[:-1] >= 0])) == learnt[-1]
+    assert learnt == [500, 1500, 200 * 64, 316 * 64]
+
+
+def test_mean_of_copies_does_not_depend_on_their_order():
+    rng = np.random.default_rng(5)
+    x, weight = rng.normal(0, 20, (50, 7)).astype(np.float32), rng.integers(1, 1 << 40, 50)
+    means = []
+    for order in (np.arange(50), np.arange(50)[::-1]):
+        table = lm.pa.table({"start": [0] * 50, "weight": weight[order], "x": lm.pa.array(list(x[order]), lm.pa.list_(lm.pa.float32()))})
+        means.append(lm.mean_block(table)["x"][0].as_py())
+    assert means[0] == means[1] and np.allclose(means[0], weight @ x.astype(np.float64) / weight.sum(), atol=1e-6)
+
+
 def plain_base(rows):
     split = [lm.tokens(t) for _, t, _ in rows]
     held = [zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2 for i, _, _ in rows]
