@@ -109,11 +109,15 @@ def counters_increase(spark: SparkSession, out: str, column: str = "kick_events"
 def unseen(batch: DataFrame, out: str, batch_id: int, key: str, order: Sequence[str]) -> DataFrame:
     """The rows of a batch whose id no earlier finished batch below `out` has, each id once.
 
-    What a batch may not see again are the ids of the batches before it, so a replay gives the same rows.
+    What a batch may not see again are the ids of the batches before it, so a replay gives the same rows. Rows whose id is
+    null or empty all pass: nothing says that one repeats another.
     """
-    fresh = dedupe.first_per_id(batch, key, order)
+    named = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
+    fresh = dedupe.first_per_id(batch.filter(named), key, order)
     earlier = read(batch.sparkSession, [f for b, f in finished(batch.sparkSession, out).items() if b < batch_id])
-    return fresh if earlier is None else fresh.join(earlier.select(key), key, "left_anti")
+    if earlier is not None:
+        fresh = fresh.join(earlier.select(key), key, "left_anti")
+    return fresh.unionByName(batch.filter(~named))
 
 
 def start_once(

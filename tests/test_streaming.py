@@ -98,6 +98,20 @@ def test_ids_once_and_drain_to_log(spark, tmp_path):
     assert sorted(r.timestamp for r in log.collect()) == ["t1", "t2", "t3"]
 
 
+def test_messages_without_an_id_are_all_drained(spark, tmp_path):
+    landing = tmp_path / "in"
+    record = lambda i, msg_id: {"msg_id": msg_id, "ts": f"2025-01-01T10:00:{i:02d}", "timestamp": f"t{i}", "username": "u", "content": "x", "channel": "c"}
+    drop_json(landing, "1.json", [record(1, None), record(2, None), record(3, ""), record(4, ""), record(5, "a"), record(6, "a")])
+    drop_json(landing, "2.json", [record(7, None), record(8, ""), record(9, ""), record(10, "a"), record(11, "b")])
+    schema = "msg_id string, ts timestamp, timestamp string, username string, content string, channel string"
+    stream = sources.landing_stream(spark, str(landing), schema, max_files=1)
+    assert live.drain_to_log(stream, str(tmp_path / "stage"), str(tmp_path / "log"), str(tmp_path / "cp")) == []
+    log = spark.read.option("header", True).csv(str(tmp_path / "log"))
+    times = sorted(int(r.timestamp[1:]) for r in log.collect())
+    # Files may come in either order, and the batch that comes first has the id "a".
+    assert [t for t in times if t not in (5, 10)] == [1, 2, 3, 4, 7, 8, 9, 11] and len(times) == 9
+
+
 def test_routed_events_audit_and_bounded_run(spark, tmp_path):
     landing = tmp_path / "in"
     drop_json(landing, "1.json", [{"type": "message", "message": {"username": "u", "content": "c"}}, {"type": "error", "data": "404"}, {"type": "status", "data": "ok"}])
