@@ -186,6 +186,7 @@ class Trainer:
     def __init__(self, params: dict[str, np.ndarray], layout: Layout, rate: float = RATE):
         self.p = {k: v.copy() for k, v in params.items()}
         self.layout, self.rate, self.weight, self.updates = layout, rate, 0, 0
+        self.held, self.grad = 0, {}
         self.mean = {k: np.zeros_like(v) for k, v in params.items()}
         self.square = {k: np.zeros_like(v) for k, v in params.items()}
 
@@ -199,18 +200,30 @@ class Trainer:
             part = slice(a, a + WINDOW), slice(0, int((used > a).sum()))  # lanes that go on
             x, b = inputs[part], begins[part]
             out, h, kept = forward(self.p, x, b, h[part[1]], True)
-            self._update(x, b, targets[part], out, kept)
+            self._gather(x, b, targets[part], out, kept)
+            if self.held >= WINDOW * inputs.shape[1] // 2:  # a few long texts that go on alone share an update
+                self._update()
+        self._update()
 
-    def _update(self, x, begins, targets, out, kept) -> None:
+    def _gather(self, x, begins, targets, out, kept) -> None:
         real = targets >= 0
         if not real.any():
             return
-        grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        if not self.held:
+            self.grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        grad = self.grad
         _, dh = output_logs(self.p, self.layout, out[real], targets[real], grad)
         n = int(real.sum())
         dh_out = np.zeros_like(out)
         dh_out[real] = dh
         backward(self.p, x, begins, kept, dh_out, grad)
+        self.held += n
+
+    def _update(self) -> None:
+        n, grad = self.held, self.grad
+        if not n:
+            return
+        self.held = 0
         self.weight += n
         self.updates += 1
         norm = np.sqrt(sum(float((g / n).ravel() @ (g / n).ravel()) for g in grad.values()))
