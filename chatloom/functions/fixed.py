@@ -126,6 +126,7 @@ LOG_COLUMNS = ("timestamp", "username", "message")
 UNKNOWN_CHANNEL = "unknown_kick_channel"
 LOG_NAME_PREFIX = "live-kick-data"
 KEEP_STREAM_MESSAGES = 100
+ITEMS_PER_CYCLE = 100
 KEEP_WEBHOOK_MESSAGES = 50
 KEEP_RAW_EVENTS = 200
 SUMMARY_TAIL = 5

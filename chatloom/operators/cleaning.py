@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.ml.feature import CountVectorizerModel, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed, lookup, text
@@ -97,20 +96,3 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
             F.count("*").alias("term_freq"),
         )
     )
-
-
-def fit_vocabulary(df: DataFrame, tokens: str = "tokens", out: str = "features", limit: int | None = None) -> CountVectorizerModel:
-    """Dictionary and bag-of-words vectors for the topic model: every token, in alphabetical order.
-
-    The topic model holds topics x words on the driver (Spark ML's design). A caller who must bound that gives a
-    `limit`, and a bigger dictionary is then an error: no word is ever left out silently.
-    """
-    listed = vocabulary(df, tokens).select("token")
-    if limit is not None and (n := listed.count()) > limit:
-        raise ValueError(f"the dictionary has {n} words, more than the limit of {limit}")
-    listed = StringIndexer(inputCol="token", outputCol="index", stringOrderType="alphabetAsc").fit(listed)
-    # The word list stays a Java array: handing it over word by word would take a call per word.
-    model = CountVectorizerModel._create_from_java_class(
-        "org.apache.spark.ml.feature.CountVectorizerModel", listed._java_obj.labels()
-    )
-    return model._set(inputCol=tokens, outputCol=out)

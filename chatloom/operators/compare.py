@@ -9,27 +9,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chatloom.functions.text import strip
 
 KEYS = ("timestamp", "username", "message_text")
-PAIR_SALTS = 8
+# Rows of the join that one piece of a hot key makes.
+PIECE_ROWS = 10_000
 
 
 def trimmed_keys(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.withColumns({k: strip(F.col(k)) for k in keys})
 
 
-def matched_pairs(predicted: DataFrame, actual: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def matched_pairs(predicted: DataFrame, actual: DataFrame, keys: Sequence[str] = KEYS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Inner equi-join on trimmed keys; null keys match each other, duplicate keys multiply.
 
-    `keys` may be `("msg_id",)` when both sides have a unique id. The sides meet on a digest of
-    the keys, so only one of them carries its text through the shuffle. The truth is folded to one row per key and
-    label with its count, so a hot key has a few rows on that side, which are dealt out PAIR_SALTS times; the predicted
-    rows of the key then meet them in as many tasks. The multiplied rows are the contract here; the counts below
-    never build them.
+    `keys` may be `("msg_id",)` when both sides have a unique id. Both sides are folded to one row per key and label with its count
+    before they meet on a digest of the keys, so a key that holds a third of both sides is a few rows there, and how many rows
+    it will make is known exactly. Only then are they made: as pieces of at most `piece_rows`, as many as the key needs, dealt to
+    all tasks. Nothing is drawn by chance, so a task that runs again makes the same rows. The multiplied rows are the contract
+    here; the counts below never build them.
     """
-    p = trimmed_keys(predicted, keys).select(key_digest(keys).alias("_key"), *keys, "predicted_label")
-    p = p.withColumn("_salt", F.floor(F.rand(7) * PAIR_SALTS).cast("int"))
-    a = _folded(actual, "actual_label", keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
-    pairs = p.join(a, ["_key", "_salt"])
-    return pairs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("_key", "_salt", "_copy", "n")
+    p = trimmed_keys(predicted, keys).groupBy(*keys, "predicted_label").agg(F.count("*").alias("_p"))
+    a = _folded(actual, "actual_label", keys).withColumnRenamed("n", "_a")
+    pairs = p.withColumn("_key", key_digest(keys)).join(a, "_key").withColumn("_rows", F.col("_p") * F.col("_a"))
+    whole, rest = F.floor(F.col("_rows") / piece_rows), F.col("_rows") % piece_rows
+    single = pairs.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), whole)))
+    pieces = single.withColumn("_size", F.when(F.col("_piece") < whole, piece_rows).otherwise(rest).cast("int")).where("_size > 0")
+    made = [*keys, "predicted_label", "actual_label"]
+    # pieces of a key differ in their number, so they are dealt apart; the small ones go with their digest
+    dealt = pieces.repartition("_key", "predicted_label", "actual_label", "_piece")
+    return dealt.select(*made, F.explode(F.array_repeat(F.lit(0), F.col("_size"))).alias("_copy")).select(*made)
 
 
 def differs() -> Column:

@@ -49,8 +49,10 @@ def trend(
 
     The label values are given, so no extra job looks for them, and one partial-aggregated pass counts
     them. Rows without a label don't count: a period of such rows alone is not emitted. A label outside the list is an
-    error. Rows whose time could not be read are not lost: they are counted under a null period.
+    error. Rows whose time could not be read are not lost: they are counted under a null period. A label that is
+    worked out (a score) is worked out once per row.
     """
+    df = settled(df.select(time, label))
     listed = F.col(label).isin(*labels)
     checked = F.when(listed, F.col(label)).otherwise(
         F.raise_error(F.concat(F.lit("a label outside the list: "), F.col(label).cast("string"))).cast("string")

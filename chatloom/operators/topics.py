@@ -6,26 +6,21 @@ import math
 from dataclasses import dataclass
 from time import monotonic
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions import fixed
 from chatloom.functions.text import weight_text
-from chatloom.operators.cleaning import fit_vocabulary
+from chatloom.operators import lda
 from chatloom.operators.coherence import topic_coherence, total_coherence
 from chatloom.session import materialise
 
-# Documents per part of the token table; a fixed number keeps the layout, and so the model, repeatable at any size.
-LAYOUT_DOCS = 5_000
 TOPICS_SCHEMA = "topic int, rank int, word string, weight double, mass double"
 
 
 @dataclass
 class TopicResult:
-    model: LDAModel | None
-    vocabulary: CountVectorizerModel | None
+    model: lda.TopicModel | None
+    vocabulary: DataFrame | None
     topics: DataFrame
     coherence: DataFrame | None
     seconds: float
@@ -34,9 +29,9 @@ class TopicResult:
 def update_plan(n_docs: int, passes: int, chunk: int | None) -> tuple[float, int]:
     """`(share of documents per update, number of updates)` for `passes` passes over the corpus.
 
-    Every update scans the whole token table, however few documents it samples. Without a `chunk` an update takes
-    them all, so `passes` scans are `passes` passes: the default, as a mini-batch of `fixed.TOPIC_CHUNK` documents would
-    cost a scan of its own. With a chunk an update takes about that many documents, and there are as many updates as the
+    Every update reads all chunks of the corpus, however few documents it samples. Without a `chunk` an update takes
+    them all, so `passes` updates are `passes` passes: the default, as a mini-batch of `fixed.TOPIC_CHUNK` documents would
+    cost a read of its own. With a chunk an update takes about that many documents, and there are as many updates as the
     passes need.
     """
     if chunk is None:
@@ -45,17 +40,6 @@ def update_plan(n_docs: int, passes: int, chunk: int | None) -> tuple[float, int
     return rate, math.ceil(passes / rate)
 
 
-def topic_words(model: LDAModel, vocabulary: CountVectorizerModel, n: int) -> list[tuple[int, int, str, float]]:
-    """`(topic, rank, word, weight)`: topics x n rows, bounded by the parameters. Only these words leave the JVM."""
-    words = vocabulary._java_obj.vocabulary()
-    rows = model.describeTopics(n).collect()
-    return [
-        (row.topic, rank, words[term], float(weight))
-        for row in rows
-        for rank, (term, weight) in enumerate(zip(row.termIndices, row.termWeights))
-    ]
-
-
 def model_topics(
     df: DataFrame,
     tokens: str = "tokens",
@@ -68,46 +52,34 @@ def model_topics(
     vocabulary_limit: int | None = None,
     with_coherence: bool = True,
 ) -> TopicResult:
-    """Online LDA over non-empty token lists.
+    """Topics of non-empty token lists by variational updates; see `lda.py`.
 
-    Every update reads the corpus again, so the tokens are written once (shared folder) and
-    the iterations scan that table, never the cleaning. Results repeat for the same seed: the
-    table is laid out by the hash and order of the key, LAYOUT_DOCS documents to a part.
+    The tokens are read once, into chunks in the shared folder, and the updates read those. No token reaches the driver but
+    the top words of each topic, and results repeat for the same seed under any layout. `model.weights` has a row
+    for each word, `vocabulary` its number and counts.
     """
     start = monotonic()
     spark = df.sparkSession
-    parts = max(1, math.ceil(df.count() / LAYOUT_DOCS))
-    docs = df.select(key, tokens).repartition(parts, key).sortWithinPartitions(key)
-    docs = materialise(docs, "topic-tokens").filter(F.size(tokens) > 0)
-    n_docs = docs.count()
-    if n_docs == 0:
-        empty = spark.createDataFrame([], TOPICS_SCHEMA)
-        return TopicResult(None, None, empty, None, monotonic() - start)
-
-    vectoriser = fit_vocabulary(docs, tokens, "features", vocabulary_limit)
-    vectors = vectoriser.transform(docs).select(key, "features")
-    rate, updates = update_plan(n_docs, passes, chunk)
-    lda = LDA(
-        featuresCol="features", k=num_topics, optimizer="online", seed=seed, maxIter=updates,
-        learningOffset=1.0, subsamplingRate=rate, optimizeDocConcentration=True,
-    )
-    model = lda.fit(vectors)
-    mass = topic_mass(model, vectors, num_topics)
-    ranked = topic_words(model, vectoriser, max(num_words, fixed.COHERENCE_WORDS))
-    words = [w for w in ranked if w[1] < num_words]
-    topics = spark.createDataFrame([(*w, mass[w[0]]) for w in words], TOPICS_SCHEMA)
+    docs = df.select(key, tokens)
+    if with_coherence:  # read twice more
+        docs = materialise(docs.where(F.size(tokens) > 0), "topic-tokens")
+    corpus = lda.chunked_corpus(docs, tokens, key, vocabulary_limit)
+    try:
+        if corpus.n_docs == 0:
+            empty = spark.createDataFrame([], TOPICS_SCHEMA)
+            return TopicResult(None, None, empty, None, monotonic() - start)
+        rate, updates = update_plan(corpus.n_docs, passes, chunk)
+        model, mass = lda.fit(corpus, num_topics, passes, seed, rate, updates)
+    finally:
+        corpus.drop()
+    ranked = [tuple(r) for r in model.top_words(max(num_words, fixed.COHERENCE_WORDS)).collect()]
+    words = sorted(w for w in ranked if w[1] < num_words)
+    topics = spark.createDataFrame([(*w, float(mass[w[0]])) for w in words], TOPICS_SCHEMA)
     coherence = None
     if with_coherence:
         top = [(topic, word) for topic, rank, word, _ in ranked if rank < fixed.COHERENCE_WORDS]
         coherence = topic_coherence(docs, top, tokens)
-    return TopicResult(model, vectoriser, topics, coherence, monotonic() - start)
-
-
-def topic_mass(model: LDAModel, vectors: DataFrame, num_topics: int) -> dict[int, float]:
-    """Total document weight per topic: one aggregate row of `num_topics` sums."""
-    shares = model.transform(vectors).select(vector_to_array("topicDistribution").alias("d"))
-    row = shares.agg(*[F.sum(F.get("d", F.lit(i))).alias(f"t{i}") for i in range(num_topics)]).first()
-    return {i: float(row[i] or 0.0) for i in range(num_topics)}
+    return TopicResult(model, corpus.dictionary, topics, coherence, monotonic() - start)
 
 
 def topic_table(topics: DataFrame) -> DataFrame:

@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from chatloom.functions import bodies, captured, fixed, text
 from chatloom.functions.captured import EntryMarks
 from chatloom.operators import (
-    capture, cleaning, coherence, compare, dedupe, report, retain, sentiment, topics, training, webhook,
+    capture, cleaning, coherence, compare, dedupe, dictionary, epochs, report, retain, sentiment, topics, training, webhook,
 )
 from chatloom.plans import given, sql
 from chatloom.session import materialise, scratch_dir, spread
 from chatloom.sources import live as live_sources, sinks
 from chatloom.sources import chat_csv
+from chatloom.sources.capped import capped_stream
 from chatloom.sources.chat_csv import union_labelled
-from chatloom.streaming import live
+from chatloom.streaming import live, measured
 from chatloom.streaming.retained import read_retained
+from chatloom.streaming.trend import TrendTable, start_trend
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,13 @@ def vocabulary(spark, d):
     return cleaning.vocabulary(given.documents_tokens(spark, d))
 
 
+@query("dictionary_index", f"""WITH {sql.DOC_TOKENS}, words AS (SELECT doc_id, unnest(tokens) AS token FROM cleaned)
+    SELECT token, row_number() OVER (ORDER BY token) - 1 AS word_id, count(DISTINCT doc_id)::BIGINT AS doc_freq, count(*)::BIGINT AS term_freq
+    FROM words GROUP BY token""")
+def dictionary_index(spark, d):
+    return dictionary.indexed_vocabulary(given.documents_tokens(spark, d)).select("token", "word_id", "doc_freq", "term_freq")
+
+
 # --- sentiment --------------------------------------------------------------------
 
 
@@ -313,7 +322,7 @@ def topics_lda_coherence(spark, d):
 def topics_lda_shape(spark, d):
     """Every topic has its words in descending weight, all of them from the dictionary."""
     tokens = given.documents_tokens(spark, d)
-    result = topics.model_topics(tokens, key="doc_id", num_topics=4, passes=1, with_coherence=False)
+    result = topics.model_topics(tokens, key="doc_id", num_topics=4, with_coherence=False)
     before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
     known = cleaning.vocabulary(tokens).select(F.col("token").alias("word"), F.lit(True).alias("known"))
     rows = result.topics.withColumn("before", before).join(known, "word", "left")
@@ -334,7 +343,7 @@ def topic_coherence_total(spark, d):
 @query("topics_lda_cloud")
 def topics_lda_cloud(spark, d):
     """Cloud weights of the topic model's own words."""
-    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4, num_words=40, passes=2, with_coherence=False)
+    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4, num_words=40, with_coherence=False)
     return topics.cloud_weights(result.topics)
 
 
@@ -772,17 +781,39 @@ def labelled_union(spark, d):
 
 @query("classifier_eval")
 def classifier_eval(spark, d):
-    trained = training.fit_classifier(given.labelled_documents(spark, d))
+    trained = epochs.train_epochs(given.labelled_documents(spark, d))
     return training.evaluate_predictions(trained.test_predictions)
 
 
+@query("classifier_epochs")
+def classifier_epochs(spark, d):
+    """Learning rate, loss and held-out accuracy of every epoch, and which one is kept."""
+    return epochs.epoch_table(spark, epochs.train_epochs(given.labelled_documents(spark, d)))
+
+
 @query("model_labels")
 def model_labels(spark, d):
-    trained = training.fit_classifier(given.labelled_documents(spark, d))
+    trained = epochs.train_epochs(given.labelled_documents(spark, d))
     scored = sentiment.run_sentiment(given.documents_chat(spark, d), "custom_kick_bert", model=trained.model)
     return scored.groupBy("sentiment").agg(F.count("*").alias("n"))
 
 
+@query("two_class_labels")
+def two_class_labels(spark, d):
+    """Labels of all documents by the two-class model, saved and loaded."""
+    fitted = epochs.train_two_class(given.labelled_documents(spark, d))
+    path = scratch_dir(spark, "two-class")
+    training.save_model(fitted.model, path)
+    scored = sentiment.run_sentiment(given.documents_chat(spark, d), "bert", model=training.load_model(path))
+    return scored.groupBy("sentiment").agg(F.count("*").alias("n"))
+
+
+@query("two_class_calibration")
+def two_class_calibration(spark, d):
+    """How often the model's class is right for what it says, on rows that neither trained nor calibrated it."""
+    return epochs.calibration_table(epochs.train_two_class(given.labelled_documents(spark, d)).test)
+
+
 @query("classifier_candidates")
 def classifier_candidates(spark, d):
     return training.candidate_table(spark, training.fit_classifier(given.labelled_documents(spark, d)))
@@ -792,7 +823,7 @@ def classifier_candidates(spark, d):
     WHERE {_IS_TEST} GROUP BY 1""")
 def classifier_test_rows(spark, d):
     """The rows of the held-out confusion per true label, through the saved and loaded model."""
-    trained = training.fit_classifier(given.labelled_documents(spark, d), penalties=(0.01,))
+    trained = epochs.train_epochs(given.labelled_documents(spark, d))
     path = scratch_dir(spark, "classifier")
     training.save_model(trained.model, path)
     _, test = training.split_examples(given.labelled_documents(spark, d))
@@ -805,7 +836,7 @@ def classifier_test_rows(spark, d):
     FROM documents GROUP BY 1""")
 def model_label_sides(spark, d):
     """Blank texts are `unknown`, all others get one of the three names."""
-    trained = training.fit_classifier(given.labelled_documents(spark, d), penalties=(0.01,))
+    trained = epochs.train_epochs(given.labelled_documents(spark, d))
     scored = sentiment.run_sentiment(given.documents_chat(spark, d), "custom_kick_bert", model=trained.model)
     return scored.groupBy(F.when(F.col("sentiment") == "unknown", "blank").otherwise("text").alias("side")).agg(F.count("*").alias("n"))
 
@@ -815,15 +846,16 @@ def model_label_sides(spark, d):
 BATCHES = 3
 
 
-def _land(rows: DataFrame, folder: str) -> None:
-    """The rows in three files, dealt by a hash: each file holds early and late rows."""
-    parts = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(BATCHES))
-    rows.withColumn("_part", parts).repartition(BATCHES, "_part").drop("_part").write.parquet(folder)
-
+def _in_batches(rows: DataFrame, name: str, start) -> None:
+    """The rows land in three lots, dealt by a hash so that each holds early and late rows, and the job runs after each.
 
-def _landed(spark, folder: str, schema) -> DataFrame:
-    """The landed rows as a stream of one file per batch."""
-    return live_sources.landing_stream(spark, folder, schema, "parquet", max_files=1)
+    A lot is written by the table's own parts; the job goes on from its checkpoint every time. `start` gets the stream.
+    """
+    spark, folder = rows.sparkSession, scratch_dir(rows.sparkSession, f"{name}-landing")
+    lot = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(BATCHES))
+    for i in range(BATCHES):
+        rows.where(lot == i).write.mode("append").parquet(folder)
+        start(live_sources.landing_stream(spark, folder, rows.schema, "parquet", max_files=1_000_000)).awaitTermination()
 
 
 def _event_stream(spark, d):
@@ -849,34 +881,26 @@ def stream_summary(spark, d):
 @query("stream_dedupe", "SELECT DISTINCT event_id FROM events")
 def stream_dedupe(spark, d):
     """Every event twice, hours apart and out of order, over several files and batches."""
-    landing, out = scratch_dir(spark, "once-landing"), scratch_dir(spark, "once")
+    out, checkpoint = scratch_dir(spark, "once"), scratch_dir(spark, "once-checkpoint")
     events = given.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "ts", F.col("ts") - F.make_dt_interval(hours=F.col("copy") * 5)
     )
-    _land(twice, landing)
-    stream = _landed(spark, landing, twice.schema)
-    live.start_once(stream, out, scratch_dir(spark, "once-checkpoint"), "event_id").awaitTermination()
+    _in_batches(twice, "once", lambda stream: live.start_once(stream, out, checkpoint, "event_id"))
     return live.read_batches(spark, out).select("event_id")
 
 
 @query("stream_trend", _event_trend_sql("hour"))
 def stream_trend(spark, d):
+    """Events in shuffled batches: most of them come after their period has been closed."""
     out, checkpoint = scratch_dir(spark, "trend"), scratch_dir(spark, "trend-checkpoint")
-    counts = report.trend_counts(_event_stream(spark, d), label="event_type", period="1 hour")
-    live.start(counts, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, mode="complete").awaitTermination()
-    rows = live.latest_counters(spark, out)
-    table = rows.groupBy("period").pivot("event_type", list(EVENT_TYPES)).agg(F.sum("n")).na.fill(0)
+    events = given.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    _in_batches(events, "trend", lambda stream: start_trend(stream, out, checkpoint, label="event_type", period="hour", delay="2 hours"))
+    rows = TrendTable(spark, out, "hour").counts()
+    table = rows.groupBy("period").pivot("label", list(EVENT_TYPES)).agg(F.sum("n")).na.fill(0)
     return table.withColumn("period", F.date_format("period", given.TEXT_TIME))
 
 
-def _envelope_stream(spark, d, name):
-    envelopes = given.conversation_envelopes(spark, d)
-    landing = scratch_dir(spark, f"{name}-landing")
-    _land(envelopes, landing)
-    return _landed(spark, landing, envelopes.schema)
-
-
 @query("stream_scored", f"""WITH {sql.ENVELOPES}, said_turns AS (SELECT msg_key, text FROM turns),
     valued AS ({sql.valence_sql("said_turns", "msg_key", "text")})
     SELECT msg_key, reason IS NULL AS accepted, CASE WHEN reason IS NULL THEN sentiment END AS sentiment,
@@ -885,9 +909,9 @@ def _envelope_stream(spark, d, name):
           WHEN body_kind <> 'json' THEN 'json' WHEN role <> 'user' OR text = '' THEN 'empty' END AS reason FROM classed)
     JOIN valued USING (msg_key)""")
 def stream_scored(spark, d):
-    out = scratch_dir(spark, "scored")
+    out, checkpoint = scratch_dir(spark, "scored"), scratch_dir(spark, "scored-checkpoint")
     score = lambda batch: live.score_events(batch, given.SAMPLE_VALENCE, given.SAMPLE_RULES)
-    live.start_scored(_envelope_stream(spark, d, "scored"), score, out, scratch_dir(spark, "scored-checkpoint")).awaitTermination()
+    _in_batches(given.conversation_envelopes(spark, d), "scored", lambda stream: live.start_scored(stream, score, out, checkpoint))
     rows = spark.read.parquet(out)
     accepted = F.col("outcome") == "scored"
     return rows.select(
@@ -901,36 +925,32 @@ def stream_scored(spark, d):
       CASE WHEN conv_id % 9 <> 0 THEN channel END AS channel, conv_id % 9 <> 0 AS accepted, sentiment, sentiment_score
     FROM turns JOIN valued USING (msg_key) WHERE role <> 'system'""")
 def stream_bot(spark, d):
-    raw, out = _bot_rows(spark, d), scratch_dir(spark, "bot")
-    landing = scratch_dir(spark, "bot-landing")
-    _land(raw, landing)
+    out, checkpoint = scratch_dir(spark, "bot"), scratch_dir(spark, "bot-checkpoint")
     score = lambda batch: live.score_bot_messages(batch, given.SAMPLE_VALENCE, given.SAMPLE_RULES)
-    live.start_scored(_landed(spark, landing, raw.schema), score, out, scratch_dir(spark, "bot-checkpoint")).awaitTermination()
+    _in_batches(_bot_rows(spark, d), "bot", lambda stream: live.start_scored(stream, score, out, checkpoint))
     rows = spark.read.parquet(out)
     return rows.select("timestamp", "username", "channel", (F.col("outcome") == "scored").alias("accepted"), "sentiment", "sentiment_score")
 
 
 @query("stream_counters", _COUNTERS)
 def stream_counters(spark, d):
-    out = scratch_dir(spark, "counters")
-    live.start_counters(_envelope_stream(spark, d, "counters"), out, scratch_dir(spark, "counters-checkpoint")).awaitTermination()
+    out, checkpoint = scratch_dir(spark, "counters"), scratch_dir(spark, "counters-checkpoint")
+    _in_batches(given.conversation_envelopes(spark, d), "counters", lambda stream: live.start_counters(stream, out, checkpoint))
     return live.latest_counters(spark, out).withColumn("last_request_time", F.date_format("last_request_time", given.TEXT_TIME))
 
 
 @query("stream_counter_increases", f"""WITH {sql.ENVELOPES}
     SELECT {BATCHES}::BIGINT AS checks, count(*) FILTER (event_class = 'kick')::BIGINT AS kick_events FROM classed""")
 def stream_counter_increases(spark, d):
-    out = scratch_dir(spark, "increases")
-    live.start_counters(_envelope_stream(spark, d, "increases"), out, scratch_dir(spark, "increases-checkpoint")).awaitTermination()
+    out, checkpoint = scratch_dir(spark, "increases"), scratch_dir(spark, "increases-checkpoint")
+    _in_batches(given.conversation_envelopes(spark, d), "increases", lambda stream: live.start_counters(stream, out, checkpoint))
     return live.counters_increase(spark, out).agg(F.count("*").alias("checks"), F.sum("increase").alias("kick_events"))
 
 
 @query("stream_routes", CATALOG["typed_event_routes"].sql)
 def stream_routes(spark, d):
-    typed, out = _typed_events(spark, d), scratch_dir(spark, "routes")
-    landing = scratch_dir(spark, "routes-landing")
-    _land(typed, landing)
-    live.start_routed(_landed(spark, landing, typed.schema), out, scratch_dir(spark, "routes-checkpoint")).awaitTermination()
+    out, checkpoint = scratch_dir(spark, "routes"), scratch_dir(spark, "routes-checkpoint")
+    _in_batches(_typed_events(spark, d), "routes", lambda stream: live.start_routed(stream, out, checkpoint))
     return _route_counts(spark.read.parquet(out))
 
 
@@ -942,10 +962,8 @@ def stream_monitor(spark, d):
         F.sha2("message", 256).alias("msg_id"), F.col("doc_id").alias("ts"),
         bodies.mentions(F.col("message"), fixed.TEST_INDICATORS).alias("is_test"),
     )
-    landing, out = scratch_dir(spark, "monitor-landing"), scratch_dir(spark, "monitor")
-    _land(rows, landing)
-    query_ = live.start_monitor(_landed(spark, landing, rows.schema), out, scratch_dir(spark, "monitor-checkpoint"))
-    query_.awaitTermination()
+    out, checkpoint = scratch_dir(spark, "monitor"), scratch_dir(spark, "monitor-checkpoint")
+    _in_batches(rows, "monitor", lambda stream: live.start_monitor(stream, out, checkpoint))
     checks = live.read_batches(spark, f"{out}/checks")
     return checks.agg(
         F.max("total_checks").alias("checks"), F.sum("new_messages").alias("new_messages"), F.sum("real_messages").alias("real_messages"),
@@ -953,6 +971,65 @@ def stream_monitor(spark, d):
     )
 
 
+@query("stream_capped", f"""SELECT count(*)::BIGINT AS n_rows, count(DISTINCT conv_id * 100000 + turn)::BIGINT AS n_messages, 0::BIGINT AS batches_over_cap,
+      ceil(count(*) / {fixed.ITEMS_PER_CYCLE})::BIGINT AS batches FROM conversations""")
+def stream_capped(spark, d):
+    """All turns from files of any size, at most a hundred a cycle."""
+    turns = given.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    landing, out, checkpoint = (scratch_dir(spark, f"capped-{x}") for x in ("landing", "out", "checkpoint"))
+    turns.write.json(landing)
+    query_ = live.start_append_batches(capped_stream(spark, landing, turns.schema), out, checkpoint)
+    query_.processAllAvailable()
+    query_.stop()
+    rows = live.read_batches(spark, out)
+    sizes = rows.groupBy("batch").agg(F.count("*").alias("n"))
+    counted = sizes.agg(F.count_if(F.col("n") > fixed.ITEMS_PER_CYCLE).alias("batches_over_cap"), F.count("*").alias("batches"))
+    whole = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("conv_id", "turn").alias("n_messages"))
+    return whole.withColumn("_one", F.lit(1)).join(counted.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+@query("stream_measured", f"""WITH {sql.ENVELOPES}
+    SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (conv_id % 4 = 0 OR event_type IS NULL OR event_type <> '{fixed.CHAT_EVENT}'
+      OR body_kind <> 'json' OR role <> 'user' OR text = '')::BIGINT AS rejected FROM classed""")
+def stream_measured(spark, d):
+    """Events and rejected events, counted while the stream runs."""
+    out, checkpoint, name = scratch_dir(spark, "measured"), scratch_dir(spark, "measured-checkpoint"), "events"
+    watcher = measured.watch(spark, name)
+
+    def start(stream: DataFrame):
+        scored = live.score_events(stream, given.SAMPLE_VALENCE, given.SAMPLE_RULES)
+        return live.start_append(measured.measured(scored, name), out, checkpoint)
+
+    try:
+        _in_batches(given.conversation_envelopes(spark, d), "measured", start)
+        totals = watcher.settled_totals(BATCHES)
+    finally:
+        spark.streams.removeListener(watcher)
+    return spark.createDataFrame([(totals["n_rows"], totals["rejected"])], "n_rows bigint, rejected bigint")
+
+
+@query("unread_times", f"""WITH {sql.TURNS}
+    SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (conv_id % 11 = 0)::BIGINT AS unread_times FROM turns""")
+def unread_times(spark, d):
+    """Times of a chat log that can't be read, beside those that can."""
+    conversation = F.split("msg_key", "-")[0].cast("bigint")
+    time = F.when(conversation % 11 == 0, "soon").otherwise(F.col("timestamp"))
+    chat = given.conversations_chat(spark, d).select(time.alias("timestamp"), F.col("msg_key").alias("msg_id"), "message")
+    return chat_csv.unread_times(chat_csv.read_chat_log(spark, _csv(chat, scratch_dir(spark, "unread-csv")), multi_line=True))
+
+
+@query("received_stamps", """SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (conv_id % 2 = 0)::BIGINT AS kept_stamps,
+    count(*) FILTER (conv_id % 2 <> 0)::BIGINT AS new_stamps FROM conversations""")
+def received_stamps(spark, d):
+    """Events without a time of receipt are stamped when they are read."""
+    turns = given.table(spark, d, "conversations").select("turn", F.when(F.col("conv_id") % 2 == 0, F.timestamp_seconds("turn")).alias("received_at"))
+    ago = F.current_timestamp() - F.col("received_at")
+    return live_sources.stamped(turns).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("received_at") == F.timestamp_seconds("turn")).alias("kept_stamps"),
+        F.count_if(ago < F.make_dt_interval(days=F.lit(1))).alias("new_stamps"),
+    )
+
+
 # --- retention of stored messages and raw events ----------------------------------
 
 
@@ -998,13 +1075,13 @@ def chat_log_round_trip(spark, d):
 
 @query("labelled_folder", CATALOG["labelled_union"].sql)
 def labelled_folder(spark, d):
-    """Two files of different shapes in one folder."""
+    """Files of two shapes in one folder."""
     base = scratch_dir(spark, "labelled")
     for rows in (
         given.labelled_documents(spark, d).select(F.col("text").alias("content"), "label"),
         given.table(spark, d, "conversations").select(F.col("text").alias("message"), F.col("role").alias("label")),
     ):
-        rows.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(base)
+        rows.write.mode("append").option("header", True).option("escape", '"').csv(base)
     return chat_csv.read_labelled(spark, base, multi_line=True).groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -1048,9 +1125,11 @@ def stream_drained_log(spark, d):
         F.col("message").alias("content"),
     )
     landing, log = scratch_dir(spark, "drain-landing"), scratch_dir(spark, "drain-log")
-    _land(chat.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), landing)
-    stream = _landed(spark, landing, chat.withColumn("copy", F.lit(0)).schema)
-    live.drain_to_log(stream, scratch_dir(spark, "drain-stage"), log, scratch_dir(spark, "drain-checkpoint"))
+    twice = chat.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    staging, checkpoint = scratch_dir(spark, "drain-stage"), scratch_dir(spark, "drain-checkpoint")
+    for copy in (0, 1):  # drained again after more has come: the log holds every message once
+        twice.where(F.col("copy") == copy).write.mode("append").parquet(landing)
+        live.drain_to_log(live_sources.landing_stream(spark, landing, twice.schema, "parquet"), staging, log, checkpoint)
     back = chat_csv.read_csv(spark, log, multi_line=True)
     return back.select("timestamp", "username", "channel", F.md5("message").alias("message_hash"))
 

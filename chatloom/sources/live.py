@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 ENVELOPE_SCHEMA = "headers map<string,string>, body string, received_at timestamp"
@@ -35,3 +35,9 @@ def page_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files:
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).format(fmt).load(path)
+
+
+def stamped(df: DataFrame, out: str = "received_at") -> DataFrame:
+    """Rows without a time of receipt get the time at which their batch is read: one stamp per batch or query."""
+    now = F.current_timestamp()
+    return df.withColumn(out, F.coalesce(F.col(out).cast("timestamp"), now) if out in df.columns else now)

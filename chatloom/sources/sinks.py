@@ -21,15 +21,15 @@ def log_rows(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return filled.select(*fixed.LOG_COLUMNS, *channel), missing
 
 
-def write_chat_log(df: DataFrame, path: str, fmt: str = "csv") -> list[str]:
-    """Append the log rows, one folder per channel; nothing is written for an empty frame.
+def write_chat_log(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append") -> list[str]:
+    """Append the log rows (or write them anew), one folder per channel; nothing is written for an empty frame.
 
     Returns the columns that had to be added.
     """
     rows, missing = log_rows(df)
     if rows.isEmpty():
         return missing
-    writer = rows.write.mode("append").format(fmt)
+    writer = rows.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     if "channel" in rows.columns:

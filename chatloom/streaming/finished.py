@@ -27,6 +27,17 @@ def finished(spark: SparkSession, base: str) -> dict[int, str]:
     return {int(NAME.search(f)[1]): f for f in folders}
 
 
+def finished_levels(spark: SparkSession, base: str) -> dict[int, dict[int, str]]:
+    """`level -> batch id -> folder` of the finished batches below the level folders of `base`; one listing."""
+    files, path = _files(spark, base)
+    out: dict[int, dict[int, str]] = {0: {}}
+    for status in files.globStatus(path(f"{base}/level=*/batch=*/_SUCCESS")) or []:
+        folder = status.getPath().getParent()
+        level = int(folder.getParent().getName().removeprefix("level="))
+        out.setdefault(level, {})[int(NAME.search(folder.toString())[1])] = folder.toString()
+    return out
+
+
 def read(spark: SparkSession, folders: list[str]) -> DataFrame | None:
     return spark.read.parquet(*folders) if folders else None
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,8 @@ from chatloom.operators import capture, dedupe, retain, webhook
 from chatloom.operators.sentiment import ValenceWords, WordWeights, with_valence
 from chatloom.sources import sinks
 from chatloom.streaming import retained
-from chatloom.streaming.finished import finished, read
+from chatloom.streaming.finished import finished
+from chatloom.streaming.ids import IdMemory, is_named
 
 
 def start(
@@ -106,37 +108,37 @@ def counters_increase(spark: SparkSession, out: str, column: str = "kick_events"
 # --- ids, routes, logs ------------------------------------------------------------
 
 
-def unseen(batch: DataFrame, out: str, batch_id: int, key: str, order: Sequence[str]) -> DataFrame:
-    """The rows of a batch whose id no earlier finished batch below `out` has, each id once.
+def unseen(batch: DataFrame, memory: IdMemory, batch_id: int, order: Sequence[str]) -> DataFrame:
+    """The rows of a batch whose id no batch before it let through, each id once.
 
     What a batch may not see again are the ids of the batches before it, so a replay gives the same rows. Rows whose id is
     null or empty all pass: nothing says that one repeats another.
     """
-    named = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
-    fresh = dedupe.first_per_id(batch.filter(named), key, order)
-    earlier = read(batch.sparkSession, [f for b, f in finished(batch.sparkSession, out).items() if b < batch_id])
-    if earlier is not None:
-        fresh = fresh.join(earlier.select(key), key, "left_anti")
+    named = is_named(memory.key)
+    fresh = memory.unseen(dedupe.first_per_id(batch.filter(named), memory.key, order), batch_id)
     return fresh.unionByName(batch.filter(~named))
 
 
 def start_once(
     stream: DataFrame, out: str, checkpoint: str, key: str = "msg_id", order: Sequence[str] = ("ts",), every: str | None = None
 ) -> StreamingQuery:
-    """Each id once, however late it comes: the written rows are the memory of ids, so no message is forgotten or lost."""
+    """Each id once, however late it comes; the ids that were let through are kept below `out/_ids` (see `ids.py`)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        unseen(batch, out, batch_id, key, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark, folder = batch.sparkSession, f"{out}/batch={batch_id}"
+        memory = IdMemory(spark, f"{out}/_ids", key)
+        unseen(batch, memory, batch_id, order).write.mode("overwrite").parquet(folder)
+        memory.remember(spark.read.schema(batch.schema).parquet(folder), batch_id)
 
     return start(stream, write, checkpoint, every)
 
 
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
     """The rows of all finished batches of a job."""
-    rows = read(spark, list(finished(spark, out).values()))
-    if rows is None:
+    folders = list(finished(spark, out).values())
+    if not folders:
         raise ValueError(f"no finished batch in {out}")
-    return rows
+    return spark.read.option("basePath", out).parquet(*folders)
 
 
 def start_append(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -145,6 +147,15 @@ def start_append(stream: DataFrame, out: str, checkpoint: str, every: str | None
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def start_append_batches(stream: DataFrame, out: str, checkpoint: str, every: str = "0 seconds") -> StreamingQuery:
+    """A folder per batch, cycle after cycle until it is stopped; a replayed batch overwrites its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return start(stream, write, checkpoint, every)
+
+
 def start_routed(events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Typed capture events, one folder per route, one pass per batch."""
 
@@ -155,9 +166,13 @@ def start_routed(events: DataFrame, out: str, checkpoint: str, every: str | None
 
 
 def drain_to_log(stream: DataFrame, staging: str, log: str, checkpoint: str, fmt: str = "csv", key: str = "msg_id") -> list[str]:
-    """Read what is left, each id once, then write the chat log once."""
+    """Read what is left, each id once, then write the chat log of this drain.
+
+    The log's folder is named by the checkpoint and written anew, so a drain that runs again leaves every message once.
+    """
     start_once(stream, staging, checkpoint, key).awaitTermination()
-    return sinks.write_chat_log(read_batches(stream.sparkSession, staging), log, fmt)
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return sinks.write_chat_log(read_batches(stream.sparkSession, staging), f"{log}/drain={name}", fmt, mode="overwrite")
 
 
 def start_audit(envelopes: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -180,9 +195,11 @@ def start_monitor(
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark, folder = batch.sparkSession, f"{out}/new/batch={batch_id}"
-        named = batch.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-        unseen(named, f"{out}/new", batch_id, key, order).write.mode("overwrite").parquet(folder)
-        counted = dedupe.monitor_counters(spark.read.parquet(folder), checks=batch_id + 1)
+        memory = IdMemory(spark, f"{out}/new/_ids", key)
+        unseen(batch.filter(is_named(key)), memory, batch_id, order).write.mode("overwrite").parquet(folder)
+        fresh = spark.read.schema(batch.schema).parquet(folder)
+        memory.remember(fresh, batch_id)
+        counted = dedupe.monitor_counters(fresh, checks=batch_id + 1)
         counted.write.mode("overwrite").parquet(f"{out}/checks/batch={batch_id}")
 
     return start(stream, check, checkpoint, every)

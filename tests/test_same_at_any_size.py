@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.functions import fixed, lookup
-from chatloom.operators import cleaning, compare, dedupe, report, topics, webhook
+from chatloom.operators import cleaning, compare, dedupe, dictionary, report, topics, webhook
 from chatloom.operators.sentiment import with_polarity, with_valence
 from chatloom.plans import given
 from chatloom.sources import chat_csv, sinks
@@ -149,9 +149,9 @@ def test_trend_without_labels_and_with_strange_ones(spark):
 
 def test_a_dictionary_is_whole_or_an_error(spark):
     df = spark.createDataFrame([(["a", "b"],), (["b", "c"],)], "tokens array<string>")
-    assert sorted(cleaning.fit_vocabulary(df).vocabulary) == ["a", "b", "c"]
+    assert rows(dictionary.indexed_vocabulary(df)) == [("a", 1, 1, 0), ("b", 2, 2, 1), ("c", 1, 1, 2)]
     with pytest.raises(ValueError, match="3 words"):
-        cleaning.fit_vocabulary(df, limit=2)
+        dictionary.indexed_vocabulary(df, limit=2)
     assert topics.update_plan(10_000, 10, 100) == (0.01, 1000)
 
 
