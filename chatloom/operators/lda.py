@@ -25,12 +25,12 @@ from chatloom.operators import dictionary as words
 from chatloom.session import materialise, scratch_dir
 
 # Different (document, word) cells after which a chunk is closed.
-CHUNK_CELLS = 200_000
+CHUNK_CELLS = 100_000
 # Chunks whose documents share a bucket.
-BUCKET_CHUNKS = 2
+BUCKET_CHUNKS = 1
 PRECISION = 20
 # Rounds of inference for a document at most, and the mean change of its weights that ends them.
-ROUNDS = 100
+ROUNDS = 50
 TOLERANCE = 1e-3
 DECAY = 0.51
 # Words whose first weights are drawn together.
@@ -72,6 +72,17 @@ def _cells(batch: pa.RecordBatch, key: int, tokens: int) -> tuple[pa.Array, np.n
     return batch.column(key).take(pa.array(present)), np.cumsum(sizes), encoded.dictionary.take(pa.array(order)), word, counts
 
 
+def _parts(batch: pa.RecordBatch, tokens: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of documents of at most CHUNK_CELLS tokens, or of one document."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(tokens)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + CHUNK_CELLS, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _chunked(key: int, tokens: int, names: list[str]):
     """Rows of documents as they come, and at the end of each chunk a row with its words."""
 
@@ -108,14 +119,15 @@ def _chunked(key: int, tokens: int, names: list[str]):
             ], names=names)
 
         for batch in batches:
-            found = _cells(batch, key, tokens)
-            if not len(found[0]):
-                continue
-            kept.append(found)
-            held += len(found[3])
-            if held >= CHUNK_CELLS:
-                yield from closed()
-                chunk, held, kept = chunk + 1, 0, []
+            for part in _parts(batch, tokens):
+                found = _cells(part, key, tokens)
+                if not len(found[0]):
+                    continue
+                kept.append(found)
+                held += len(found[3])
+                if held >= CHUNK_CELLS:
+                    yield from closed()
+                    chunk, held, kept = chunk + 1, 0, []
         if kept:
             yield from closed()
 
@@ -172,32 +184,37 @@ def infer(offsets: np.ndarray, places: np.ndarray, counts: np.ndarray, word_weig
     `word_weights` has the expected weights of the chunk's words, a row each. A document ends when its weights change by less
     than TOLERANCE in the mean, whatever the other documents do.
     """
-    sizes = np.diff(offsets)
-    topics = word_weights.shape[1]
-    gamma = np.repeat(alpha + np.add.reduceat(counts.astype(float), offsets[:-1])[:, None] / topics, topics, axis=1)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    active = np.arange(len(sizes))
-    cells, owner, starts = np.arange(len(places)), doc, offsets[:-1]
-    words_, times = word_weights[places], counts.astype(float)[:, None]
+    sizes, topics = np.diff(offsets), word_weights.shape[1]
+    by_topic = np.ascontiguousarray(word_weights.T)
+    first = alpha + np.add.reduceat(counts.astype(float), offsets[:-1]) / topics
+    gamma = np.tile(first, (topics, 1))  # a row for each topic, as all that follows
+    active, left, starts, going = np.arange(len(sizes)), sizes, offsets[:-1], np.ones(len(sizes), bool)
+    seen, times = by_topic[:, places], counts.astype(float)
     for _ in range(ROUNDS):
-        theta = expected(gamma[active], gamma[active].sum(1, keepdims=True))
-        mixed = words_ * theta[owner]
-        taken = mixed * (times / np.maximum(mixed.sum(1, keepdims=True), 1e-100))
-        new = alpha + np.add.reduceat(taken, starts, axis=0)
-        change = np.abs(new - gamma[active]).mean(1)
-        gamma[active] = new
-        open_ = change >= TOLERANCE
-        if not open_.any():
+        now = gamma[:, active]
+        theta = expected(now, now.sum(0))
+        share = times / np.maximum(_mixed(seen, theta, left), 1e-100)
+        new = np.stack([alpha + t * np.add.reduceat(w * share, starts) for t, w in zip(theta, seen)])
+        gamma[:, active[going]] = new[:, going]
+        going &= np.abs(new - now).mean(0) >= TOLERANCE
+        if not going.any():
             break
-        if not open_.all():
-            stays = open_[owner]
-            active, cells = active[open_], cells[stays]
-            words_, times = words_[stays], times[stays]
-            left = sizes[active]
-            owner, starts = np.repeat(np.arange(len(active)), left), np.cumsum(left) - left
-    theta = expected(gamma, gamma.sum(1, keepdims=True))
-    mixed = word_weights[places] * theta[doc]
-    return gamma, mixed * (counts[:, None] / np.maximum(mixed.sum(1, keepdims=True), 1e-100))
+        if going.mean() < 0.8:  # drop the documents that have ended
+            stays = np.repeat(going, left)
+            active, left, seen, times = active[going], left[going], seen[:, stays], times[stays]
+            starts, going = np.cumsum(left) - left, np.ones(len(active), bool)
+    theta = expected(gamma, gamma.sum(0))
+    seen = by_topic[:, places]
+    share = counts / np.maximum(_mixed(seen, theta, sizes), 1e-100)
+    return gamma.T, np.stack([w * np.repeat(t, sizes) * share for t, w in zip(theta, seen)]).T
+
+
+def _mixed(seen: np.ndarray, theta: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The weight of each cell's word in its document: over all topics, of the document's share times the word's."""
+    out = seen[0] * np.repeat(theta[0], sizes)
+    for t, w in zip(theta[1:], seen[1:]):
+        out += w * np.repeat(t, sizes)
+    return out
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -268,12 +285,6 @@ def drawn(block: int, topics: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, block]).gamma(100.0, 0.01, (DRAWN, topics))
 
 
-def _totals(weights: DataFrame, columns: list[str]) -> np.ndarray:
-    """Sums of the columns in whole numbers, so that they don't depend on the order of the rows."""
-    row = weights.agg(*(F.sum(F.round(F.col(c) * float(1 << PRECISION)).cast("decimal(38,0)")).alias(c) for c in columns)).first()
-    return np.array([float(x) for x in row]) / (1 << PRECISION)
-
-
 def _seen(corpus: Corpus, weights: DataFrame, columns: list[str], totals: np.ndarray, alpha: float, share: float, salt: int) -> DataFrame:
     """For each word its weights and what the documents of this update gave each topic, and a row -1 with the topic shares.
 
@@ -314,20 +325,22 @@ def fit(
     to all. Priors are one by the number of topics.
     """
     alpha, eta = (1.0 / topics if x is None else x for x in (alpha, eta))
-    columns = [f"w{k}" for k in range(topics)]
+    columns, seen_columns = [f"w{k}" for k in range(topics)], [f"s{k}" for k in range(topics)]
     weights = materialise(first_weights(corpus.dictionary, topics, seed), "lda-weights")
-    totals = _totals(weights, columns)
+    whole = [F.sum(F.round(F.col(c) * float(1 << PRECISION)).cast("long")).alias(c) for c in columns]
+    totals = np.array([float(x) for x in weights.agg(*whole).first()]) / (1 << PRECISION)
     for t in range(passes if updates is None else updates):
         seen = _seen(corpus, weights, columns, totals, alpha, share, seed + t)
-        sums = [F.sum(f"s{k}").alias(f"s{k}") for k in range(topics)]
-        seen = materialise(seen.groupBy("word_id").agg(F.sum("w0").alias("docs"), *(F.max(c).alias(c) for c in columns), *sums), "lda-seen")
-        used = corpus.n_docs if share >= 1 else seen.where("word_id = -1").first()["docs"]
-        rate = (1.0 + t + 1) ** -DECAY
-        scale = corpus.n_docs / max(used, 1) / (1 << PRECISION)
-        moved = [(F.col(c) * (1 - rate) + (F.col(f"s{k}") * scale + eta) * rate).alias(c) for k, c in enumerate(columns)]
-        weights = materialise(seen.where("word_id >= 0").select("word_id", *moved), "lda-weights")
-        totals = _totals(weights, columns)
-    last = _seen(corpus, weights, columns, totals, alpha, 1.0, 0).where("word_id = -1").agg(*(F.sum(f"s{k}") for k in range(topics))).first()
+        seen = seen.groupBy("word_id").agg(F.sum("w0").alias("docs"), *(F.max(c).alias(c) for c in columns), *(F.sum(c).alias(c) for c in seen_columns))
+        seen = materialise(seen, "lda-seen")
+        is_word = F.col("word_id") >= 0
+        sums = seen.agg(F.sum(F.when(~is_word, F.col("docs"))).alias("docs"), *(F.sum(F.when(is_word, F.col(c))).alias(c) for c in seen_columns)).first()
+        rate, scale = (2.0 + t) ** -DECAY, corpus.n_docs / max(sums["docs"], 1) / (1 << PRECISION)
+        # the new weights are worked out from the written sums wherever they are read
+        moved = [(F.col(c) * (1 - rate) + (F.col(s) * scale + eta) * rate).alias(c) for c, s in zip(columns, seen_columns)]
+        weights = seen.where(is_word).select("word_id", *moved)
+        totals = totals * (1 - rate) + rate * (eta * corpus.n_words + scale * np.array([float(sums[c]) for c in seen_columns]))
+    last = _seen(corpus, weights, columns, totals, alpha, 1.0, 0).where("word_id = -1").agg(*(F.sum(c) for c in seen_columns)).first()
     return TopicModel(weights, totals, corpus.dictionary, alpha), np.array([float(x or 0) for x in last]) / (1 << PRECISION)
 
 

@@ -119,18 +119,20 @@ def unseen(batch: DataFrame, memory: IdMemory, batch_id: int, order: Sequence[st
     return fresh.unionByName(batch.filter(~named))
 
 
+def write_once(batch: DataFrame, out: str, batch_id: int, key: str, order: Sequence[str]) -> None:
+    """Write what of a batch wasn't there before, then remember its ids; a replay overwrites both by the same."""
+    spark, folder = batch.sparkSession, f"{out}/batch={batch_id}"
+    memory = IdMemory(spark, f"{out}/_ids", key)
+    unseen(batch, memory, batch_id, order).write.mode("overwrite").parquet(folder)
+    memory.remember(spark.read.schema(batch.schema).parquet(folder), batch_id)
+
+
 def start_once(
     stream: DataFrame, out: str, checkpoint: str, key: str = "msg_id", order: Sequence[str] = ("ts",), every: str | None = None
 ) -> StreamingQuery:
     """Each id once, however late it comes; the ids that were let through are kept below `out/_ids` (see `ids.py`)."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark, folder = batch.sparkSession, f"{out}/batch={batch_id}"
-        memory = IdMemory(spark, f"{out}/_ids", key)
-        unseen(batch, memory, batch_id, order).write.mode("overwrite").parquet(folder)
-        memory.remember(spark.read.schema(batch.schema).parquet(folder), batch_id)
-
-    return start(stream, write, checkpoint, every)
+    return start(stream, lambda batch, batch_id: write_once(batch, out, batch_id, key, order), checkpoint, every)
 
 
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
