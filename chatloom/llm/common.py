@@ -80,6 +80,19 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         at = to
 
 
+BATCH_ROWS = 1_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let at most `rows` rows travel to Python at a time in this session, unless it asks for fewer.
+
+    Whole documents are long rows: Spark's 10,000 of them are tens of megabytes on both sides of each task.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS, "10000")) <= rows:
+        spark.conf.set(ARROW_ROWS, rows)
+
+
 def hand_back() -> None:
     """Give freed memory back to the system: a worker process outlives its task and the stages of a pipeline."""
     pa.default_memory_pool().release_unused()

@@ -73,7 +73,7 @@ def contaminated_keys(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns."""
-    bad = contaminated_keys(docs, benchmark, text_col, **options)
+    bad = materialise(contaminated_keys(docs, benchmark, text_col, **options), "decontaminate-bad")
     own = [unused(docs, n) for n in ("text_1", "text_2")]
     keyed = docs.withColumns(dict(zip(own, text_key(F.col(text_col)))))
     # the text key of a null is a number as well
@@ -117,8 +117,10 @@ def _verdicts(docs, benchmark, id_col, text_col, item_col="item_id", item_text_c
     )
     marked = materialise(marked, "decontaminate-docs")
     met = marked.select(*KEY, F.explode("_marks").alias("_mark")).join(marks, "_mark", "left_semi").select(*KEY).distinct()
+    met = materialise(met, "decontaminate-met")
 
-    # Only texts that share a hash are read a second time, each text once.
+    # Only texts that share a hash are read a second time, each text once. Their keys are written, so Spark knows their size,
+    # and where they are few the scan filters in place.
     near = texts.select(*KEY, "_text").join(met, KEY, "left_semi").groupBy(*KEY).agg(F.first("_text").alias("_text"))
     near = materialise(hashed(_worded(near, *map(F.col, KEY))), "decontaminate-near")
     # Where the hits begin: gram hits reach back to every window that holds them, short items begin at their own hit.
@@ -145,7 +147,8 @@ def _verdicts(docs, benchmark, id_col, text_col, item_col="item_id", item_text_c
     hit = found.groupBy(*KEY).agg(F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"))
     named = found.select(*KEY, "_len", "_window").distinct().join(item_windows, ["_len", "_window"]).select(*KEY, "_item").distinct()
     named = named.groupBy(*KEY).agg(F.array_sort(F.collect_list("_item")).alias("item_ids"))
-    per_text = hit.join(named, KEY)
+    # one row per text that holds a window, however many copies the text has
+    per_text = materialise(hit.join(named, KEY), "decontaminate-texts")
     out = marked.drop("_marks").join(per_text, KEY, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))

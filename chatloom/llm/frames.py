@@ -288,7 +288,8 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                         )
 
     files = files.select("file", "first", "part")
-    return files.repartition("part").mapInArrow(read, "id bigint, start bigint, ids binary")
+    # a row is a whole file, so the parts follow the number of files and not the few bytes of their rows
+    return files.repartition(max(1, files.count()), "part").mapInArrow(read, "id bigint, start bigint, ids binary")
 
 
 def read_documents(folder: str, file: str, wanted: Iterable[int]) -> dict[int, list[np.ndarray]]:

@@ -112,7 +112,9 @@ def scan_licenses(
         df = pinned(df, *KEY, _h=F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)))
         return pinned(df, *KEY, _n=F.size("_h"), _s=grams(F.col("_h"), F.size("_h"), SHINGLE))
 
+    # written first: its size is known then, and where it is small the scan below filters in place
     met = shingled(texts).select(*KEY, F.explode("_s").alias("_x")).join(lows, "_x", "left_semi").select(*KEY).distinct()
+    met = materialise(met, "license-met")
     near = texts.select(*KEY, "_text").join(met, KEY, "left_semi").groupBy(*KEY).agg(F.first("_text").alias("_text"))
     near = materialise(shingled(near), "license-near")
     # where the shingles are that a band can be shared by: the same reduction, window by window
