@@ -76,8 +76,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def lanes_of(texts: list[np.ndarray], lanes: int, layout: Layout) -> tuple[np.ndarray, ...]:
     """Texts dealt to lanes, long ones first: inputs, targets (-1: none), text begins (steps x lanes), the lanes' lengths in
-    descending order and the texts' places."""
-    used = np.zeros(max(1, min(lanes, len(texts))), np.int64)
+    descending order and the texts' places.
+
+    No more lanes are used than the longest text fills twice over, so that the tables stay in proportion to the tokens.
+    """
+    longest, tokens = max(map(len, texts), default=1), sum(map(len, texts))
+    used = np.zeros(max(1, min(lanes, len(texts), -(-2 * tokens // max(longest, 1)))), np.int64)
     places = [(0, 0)] * len(texts)
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
         lane = int(used.argmin())

@@ -2,9 +2,9 @@
 
 Texts are sets of hashed five-word shingles; texts with equal sets are one class from the start. In every run a set chooses
 some of its shingles by a hash, each with probability 1 / (similarity * size): similar sets choose the same ones. A bucket of
-more than SMALL sets is split again by further chosen shingles, up to LEVELS of them. Buckets are searched by sketches of
-the sets, which only say which sets may belong together; within each group so found every pair is compared exactly, in
-blocks. Runs are repeated until a pair at the threshold is met with the target probability.
+more than SMALL sets is split again by further chosen shingles, up to LEVELS of them. In a bucket of up to SMALL sets all pairs
+are compared, in a larger one each set with the leaders before it, both by sketches of the sets, which only say which sets may
+belong together; within each group so found every pair is compared exactly, in blocks. Runs are repeated until a pair at the threshold is met with the target probability.
 """
 
 from __future__ import annotations
@@ -198,31 +198,44 @@ def buckets(sets: DataFrame, small: int = SMALL) -> DataFrame:
 
 
 def lead(rows: DataFrame, part: str, least: float) -> DataFrame:
-    """One pass over buckets, each in the rows of one `part`: every set is tied to the first leader its sketch resembles, or leads.
+    """One pass over buckets, each in the rows of one `part`: all pairs of a `brute` bucket, else leaders.
 
-    a, b: ties; where b is null, a is a leader of `path` (wanted only where a bucket has several parts).
+    In a brute bucket a set is tied to each group of sets before it of which its sketch resembles one; in another every set is tied
+    to the leader that its sketch resembles most, or leads. a, b: ties; where b is null, a is a leader of `path` (wanted only where a
+    bucket has several parts).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, several, leaders, table_ = None, False, [], np.zeros((0, BINS), np.uint8)
+        groups = alike = np.zeros(0, np.int64)
         for batch in batches:
             out: list[tuple] = []
             columns = [c.to_pylist() for c in batch.columns]
-            for path, p, parts, one, bits in zip(*columns):
+            for path, p, parts, brute, one, bits in zip(*columns):
                 if (path, p) != current:
                     current, several, leaders, table_ = (path, p), parts > 1, [], np.zeros((16, BINS), np.uint8)
+                    groups = np.zeros(16, np.int64)
                 row = np.frombuffer(bits, np.uint8)
                 held = table_[: len(leaders)]
                 if len(leaders):
                     same = ((held == row) & (row > 0)).sum(1)
                     some = ((held > 0) | (row > 0)).sum(1)
+                    if brute:
+                        alike = np.unique(groups[np.flatnonzero(same >= least * some)])
+                        out += [(path, leaders[g], one) for g in alike.tolist()]
                     best = int(np.argmax(same / some))
-                    if same[best] >= least * some[best]:
+                    if not brute and same[best] >= least * some[best]:
                         out.append((path, leaders[best], one))
                         continue
                 if len(leaders) == len(table_):
-                    table_ = np.concatenate([table_, np.zeros_like(table_)])
-                table_[len(leaders)] = row
+                    table_, groups = np.concatenate([table_, np.zeros_like(table_)]), np.concatenate([groups, np.zeros_like(groups)])
+                at = len(leaders)
+                table_[at], groups[at] = row, at
+                if brute and at:
+                    joined = np.isin(groups[:at], alike)
+                    if joined.any():  # the groups that the new set ties are one from here on, named by their first set
+                        groups[at] = alike[0]
+                        groups[:at][joined] = alike[0]
                 leaders.append(one)
                 if several:
                     out.append((path, one, None))
@@ -230,7 +243,7 @@ def lead(rows: DataFrame, part: str, least: float) -> DataFrame:
                 [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], names=["path", "a", "b"]
             )
 
-    rows = rows.select("path", F.expr(part).alias("part"), "parts", "_set", "_sketch")
+    rows = rows.select("path", F.expr(part).alias("part"), "parts", "_brute", "_set", "_sketch")
     rows = rows.repartition("path", "part").sortWithinPartitions("path", "part", F.xxhash64("path", "_set"))
     return rows.mapInArrow(run, "path bigint, a bigint, b bigint")
 
@@ -352,9 +365,9 @@ def _classes(
     # Written with a number for each set: half as wide as the digest in all that follows.
     sets = materialise(sets.withColumn("_set", F.monotonically_increasing_id()), "near-sets")
     least = similarity - SLACK
-    held = buckets(sets).withColumn("parts", F.ceil(F.col("size") / PART)).join(sets.select("_set", "_sketch"), "_set")
+    held = buckets(sets).withColumns({"parts": F.ceil(F.col("size") / PART), "_brute": F.col("size") <= SMALL}).join(sets.select("_set", "_sketch"), "_set")
     ties = materialise(lead(held, "pmod(xxhash64(_set, path), parts)", least), "near-ties")
-    leaders = ties.where("b is null").select("path", F.col("a").alias("_set"), F.lit(1).cast("bigint").alias("parts"))
+    leaders = ties.where("b is null").select("path", F.col("a").alias("_set"), F.lit(1).cast("bigint").alias("parts"), F.lit(False).alias("_brute"))
     more = lead(leaders.join(sets.select("_set", "_sketch"), "_set"), "0L", least)
     groups = components(ties.unionByName(more).where("b is not null").select("a", "b"), "near-groups")
 

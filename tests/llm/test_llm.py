@@ -133,11 +133,78 @@ def test_language_of_odd_texts(spark):
     assert langid.keep_known(docs).columns == docs.columns
 
 
-def test_unseen_words_back_off(spark):
-    docs = docs_of(spark, [(i, (EN, DE)[i % 2], ("en", "de")[i % 2]) for i in range(20)])
-    model = langid.fit_languages(docs)
-    assert model.predict("thejumping")[0] == "en" and model.predict("schnellefaulen")[0] == "de"
-    assert model.back_off("qqq") and "thejumping" not in model.words
+def plain_language(train, texts):
+    """The same scores with nothing but dictionaries."""
+    split = lambda t: __import__("re").findall(r"[^\W\d_]+", (t or "").lower())
+    cut = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    words, pieces = {}, {}
+    for text, lang in train:
+        for w in split(text):
+            words.setdefault(lang, Counter())[w] += 1
+            for n in range(1, 5):
+                pieces.setdefault(lang, Counter()).update(cut(w, n))
+    langs = sorted(words)
+
+    def logs(counts, item):
+        kinds = max(map(len, counts.values()))
+        return [math.log(counts[x][item] + 0.5) - math.log(sum(counts[x].values()) + 0.5 * kinds) for x in langs]
+
+    def cover(w):
+        todo, found = cut(w, min(4, len(w) + 2)), []
+        while todo:
+            shorter = []
+            for g in todo:
+                if any(pieces[x][g] for x in langs):
+                    found.append(g)
+                elif len(g) > 1:
+                    shorter += [g[:-1], g[1:]]
+            todo = list(dict.fromkeys(shorter))
+        return found
+
+    out = []
+    for text in texts:
+        found = split(text)
+        if not any(c.isalpha() for w in found for c in w) or not langs:
+            out.append(("und", 0.0))
+            continue
+        total = [0.0] * len(langs)
+        for w, n in Counter(found).items():
+            if any(words[x][w] for x in langs):
+                own = [logs(words, w)]
+            else:
+                own = [logs(pieces, g) for g in cover(w)]
+            for v in own:
+                total = [t + n * x / len(own) for t, x in zip(total, v)]
+        share = [math.exp((t - max(total)) / math.sqrt(len(found))) for t in total]
+        best = max(range(len(langs)), key=lambda j: (share[j], -j))
+        out.append((langs[best], share[best] / sum(share)))
+    return out
+
+
+@pytest.mark.parametrize(("bound", "chunk"), [(0, 3), (10, 10**6), (10**6, 5)])
+def test_language_equals_a_plain_model_whatever_the_tasks_hold(spark, monkeypatch, bound, chunk):
+    rng = random.Random(8)
+    alphabet = {"en": "abcdeth", "de": "abcdeüß", "fr": "abcdeéx"}
+    make = lambda lang: " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12)))
+    rows = [(i, make(lang), lang if i % 7 else None) for i in range(90) for lang in (rng.choice(list(alphabet)),)] + list(ODD)
+    train = [(t, x) for i, t, x in rows if t is not None and x is not None and zlib.crc32(str(i if i is not None else "").encode()) % 4 != 2]
+    monkeypatch.setattr(langid, "CHUNK_WORDS", chunk)
+    docs = docs_of(spark, rows).repartition(3)
+    fitted = langid.fit_languages(docs.where(~langid.held_out("doc_id")), max_words=bound, max_grams=bound)
+    assert len(fitted.model.words) <= bound and fitted.word_table.count() > 50
+    got = langid.with_language(docs.select("doc_id", "_k1", "text"), fitted)
+    assert got.columns == ["doc_id", "_k1", "lang_pred", "score"]
+    want = [(i, *said) for (i, _, _), said in zip(rows, plain_language(train, [t for _, t, _ in rows]))]
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6))
+    found = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got.collect()), key=key)
+    assert [key(r) for r in found] == [key(r) for r in sorted(want, key=key)]
+
+
+def test_known_languages_keep_whole_rows(spark):
+    rows = [(i, (EN, DE)[i % 2], ("en", "de")[i % 2]) for i in range(20)] + [(50, None, "en"), (51, "123", "en"), (3, DE, "de"), (None, EN, None)]
+    kept = langid.keep_known(docs_of(spark, rows))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t, _ in rows if t and t != "123")
+    assert langid.keep_known(docs_of(spark, rows).limit(0)).count() == 0
 
 
 @needs_data
@@ -324,6 +391,40 @@ def test_blocks_and_parts_find_the_same(spark, monkeypatch):
     assert by_id(out, "doc_id", "class_id", "n_links") == plain_classes(rows)
 
 
+def test_recall_of_the_whole_search_on_large_families(spark):
+    """Ids divisible by 20 against all rows: families whose members differ more and more, short texts among them."""
+    rng = random.Random(12)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range((25, 60, 120, 300)[family])]
+        own = list(base)
+        for _ in range(150):
+            if rng.random() < 0.3:
+                own = list(base)
+            own[rng.randrange(len(own))] = f"e{rng.randint(0, 10**6)}"  # the next is a copy of this one with another change
+            rows.append((len(rows), " ".join(own), "en"))
+    rows += [(len(rows) + i, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(9)) + " the same end of many texts here", "en") for i in range(200)]
+    want = {i: n for i, _, n in plain_classes(rows)}
+    got = {r["doc_id"]: r["n_linked_sets"] for r in near.near_duplicates(docs_of(spark, rows)).collect()}
+    asked = [i for i, _, _ in rows if i % 20 == 0]
+    links = sum(want[i] for i in asked)
+    assert links > 100 and all(got[i] <= want[i] for i in asked)
+    assert sum(got[i] for i in asked) >= 0.99 * links
+
+
+def test_small_buckets_tie_all_that_are_alike(spark):
+    """A set that resembles two others which don't resemble each other ties both, whatever the order."""
+    marks = np.random.default_rng(3).integers(1, 250, (3, near.BINS)).astype(np.uint8)
+    marks[1, : near.BINS // 2] = marks[0, : near.BINS // 2]
+    marks[1, near.BINS // 2 :] = marks[2, near.BINS // 2 :]
+    rows = [(path, 1, path < 100, i, bytearray(m.tobytes())) for path in range(200) for i, m in enumerate(marks)]
+    frame = spark.createDataFrame(rows, "path bigint, parts bigint, _brute boolean, _set bigint, _sketch binary")
+    out = near.lead(frame, "0L", 0.45).where("b is not null").collect()
+    ties = Counter(r["path"] for r in out)
+    assert all(ties[p] == 2 for p in range(100))  # both ties in every order
+    assert any(ties[p] == 1 for p in range(100, 200))  # leaders alone lose one in some orders
+
+
 def test_runs_reach_the_recall():
     assert 1 - (1 - near.meeting(near.LEVELS)) ** near.runs_for(0.999) >= 0.999
 

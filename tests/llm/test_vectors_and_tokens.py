@@ -315,3 +315,22 @@ def test_codes_of_few_odd_and_no_vectors(spark):
     assert codes.whole(np.array([-0.001, 0.0, 0.0039, 0.00390625])).tolist() == [-1, 0, 0, 1]
     with pytest.raises(ValueError):
         codes.whole(np.array([1e30]))
+
+
+# --- lanes of the language model ----------------------------------------------------------
+
+
+def test_a_long_text_takes_lanes_in_proportion():
+    from chatloom.llm import gru, lm
+
+    counts = np.arange(1, 41)[::-1].astype(float)
+    layout = lm.lay_out([b"%d" % i for i in range(40)], counts, np.zeros(40, int), 3000)
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 41, 200_000), *(rng.integers(0, 41, 20) for _ in range(1_000))]
+    inputs, targets, begins, used, places = gru.lanes_of(texts, gru.SCORE_LANES, layout)
+    assert inputs.nbytes + targets.nbytes + begins.nbytes < 10_000_000
+    assert used.sum() == 220_000 and (targets >= 0).sum() == 220_000
+    for (lane, at), t in zip(places, texts):
+        assert (targets[at : at + len(t), lane] == t).all() and begins[at, lane]
+    even = [rng.integers(0, 41, 50) for _ in range(2_000)]
+    assert gru.lanes_of(even, gru.SCORE_LANES, layout)[0].shape[1] == gru.SCORE_LANES
