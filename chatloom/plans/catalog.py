@@ -20,7 +20,7 @@ from chatloom.sources import live as live_sources, sinks
 from chatloom.sources import chat_csv
 from chatloom.sources.capped import capped_stream
 from chatloom.sources.chat_csv import union_labelled
-from chatloom.streaming import live, measured
+from chatloom.streaming import live, measured, state
 from chatloom.streaming.retained import read_retained
 from chatloom.streaming.trend import TrendTable, start_trend
 
@@ -871,6 +871,15 @@ def stream_retained(spark, d):
     return read_retained(spark, out, "channel", 20).select("channel", "msg_key", "sentiment")
 
 
+@query("stream_buffers", f"WITH {_LAST_N.format(n=20)} SELECT channel, msg_key, sentiment FROM kept")
+def stream_buffers(spark, d):
+    """The same rows as keyed state of the stream, over three batches and two restarts."""
+    out, checkpoint = scratch_dir(spark, "buffers"), scratch_dir(spark, "buffers-checkpoint")
+    feed = given.events_feed(given.table(spark, d, "events"))
+    _in_batches(feed, "buffers", lambda stream: state.start_buffers(stream, out, checkpoint, n=20))
+    return state.read_buffers(spark, out).select("channel", "msg_key", "sentiment")
+
+
 @query("stream_summary", CATALOG["last_n_summary"].sql)
 def stream_summary(spark, d):
     out, checkpoint = scratch_dir(spark, "summary"), scratch_dir(spark, "summary-checkpoint")

@@ -83,8 +83,6 @@ def start_buffers(
     order: Sequence[str] = ("ts", "msg_key"), idle_seconds: float | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Keep the newest `n` rows per group; each batch writes the buffers it changed below its id. A null group is a group."""
-    spark = stream.sparkSession
-    spark.conf.set(STORE, ROCKS)
     keyed = stream.withColumn("_group", F.to_json(F.struct(group), {"ignoreNullFields": "false"}))
     rows = trimmed(keyed, group, order, n)
     schema = StructType([StructField(f.name, f.dataType, True) for f in stream.schema.fields])
@@ -96,7 +94,13 @@ def start_buffers(
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = buffers.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)  # a query takes the settings of its session when it starts
+    try:
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
 def read_buffers(spark: SparkSession, out: str, group: str = "channel") -> DataFrame:

@@ -4,8 +4,6 @@ import datetime as dt
 import random
 import time
 
-import pytest
-
 from chatloom.operators import retain
 from chatloom.sources import live as sources
 from chatloom.streaming import state
@@ -14,13 +12,6 @@ from tests.conftest import rows
 SCHEMA = "channel string, msg_key int, ts timestamp, message string"
 
 
-@pytest.fixture(autouse=True)
-def store(spark):
-    old = spark.conf.get(state.STORE, None)
-    yield
-    spark.conf.set(state.STORE, old) if old else spark.conf.unset(state.STORE)
-
-
 def lot(seed, n):
     rng = random.Random(seed)
     start = dt.datetime(2025, 1, 1)
