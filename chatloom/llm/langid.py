@@ -290,12 +290,11 @@ def with_language(docs: DataFrame, fitted: Fitted, text_col: str = "text", names
     rows = docs.select(F.struct(*others, F.lit(0).alias("_none")).alias("_row"), F.col(text_col).alias("_text"))
     found = materialise(_evidence(rows, fitted.model), "language-evidence")
     listed = found.where("_listed is not null").select("_chunk", F.posexplode("_listed").alias("_place", "item"))
-    listed = materialise(listed, "language-listed")
     distinct = listed.select("item").distinct()
     looked = distinct.join(fitted.word_table, "item", "left")
     looked = materialise(looked, "language-looked")
     known = looked.where("logs is not null").unionByName(unseen_logs(looked.where("logs is null").select("item"), fitted))
-    brought = listed.join(materialise(known, "language-found"), "item").select(F.col("_chunk").alias("_of"), "_place", "logs")
+    brought = listed.join(known, "item").select(F.col("_chunk").alias("_of"), "_place", "logs")
     texts = found.where("_listed is null").drop("_listed")
     schema = T.StructType([texts.schema["_row"], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
