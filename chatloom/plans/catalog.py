@@ -661,10 +661,23 @@ def link_entries(spark, d):
 
 @query("paragraph_entries", f"WITH {_entries_sql(PARAGRAPH_MARKS)} SELECT page_id, entry_pos::BIGINT AS entry_pos, md5(msg_id) AS msg_hash, user_id, content FROM chat")
 def paragraph_entries(spark, d):
-    entries = capture.page_entries(given.table(spark, d, "pages"), marks=PARAGRAPH_MARKS)
+    return _paragraph_rows(capture.page_entries(live_sources.read_pages(spark, f"{d}/pages.parquet"), marks=PARAGRAPH_MARKS))
+
+
+def _paragraph_rows(entries: DataFrame) -> DataFrame:
     return entries.select("page_id", F.col("entry_pos").cast("bigint").alias("entry_pos"), F.md5("msg_id").alias("msg_hash"), "user_id", "content")
 
 
+@query("stream_pages", CATALOG["paragraph_entries"].sql)
+def stream_pages(spark, d):
+    """Captured pages as a stream: the entries of each page as it lands."""
+    out = scratch_dir(spark, "pages")
+    # The bracket makes the path a pattern, so one file and a folder of files both work.
+    pages = live_sources.page_stream(spark, f"{d}/pages.parque[t]")
+    live.start_append(_paragraph_rows(capture.page_entries(pages, marks=PARAGRAPH_MARKS)), out, scratch_dir(spark, "pages-checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("captured_once", f"""WITH {_entries_sql(LINK_MARKS)}
     SELECT msg_id, page_id, entry_pos::BIGINT AS entry_pos, content FROM (
       SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY page_id, entry_pos) AS r FROM chat) WHERE r = 1""")

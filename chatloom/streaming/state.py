@@ -12,10 +12,12 @@ import heapq
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from chatloom.functions import fixed
 from chatloom.streaming.finished import finished
@@ -63,19 +65,30 @@ class NewestRows(StatefulProcessor):
     def close(self) -> None: ...
 
 
+def newest_of(rows: pa.Table, group: str, order: Sequence[str], n: int) -> pa.Table:
+    """The newest `n` rows of each group; a missing value is older than all others."""
+    codes = rows[group].combine_chunks().dictionary_encode(null_encoding="encode").indices
+    found = rows.append_column("_code", codes)
+    keys = [("_code", "ascending"), *((c, "descending") for c in order)]
+    found = found.take(pc.sort_indices(found, sort_keys=keys, null_placement="at_end"))
+    code = found["_code"].to_numpy()
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    return found.drop_columns("_code").filter(pa.array(place < n))
+
+
 def trimmed(stream: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
     """The newest `n` rows per group of each part of a batch; works on a stream, which allows no ranking."""
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for frame in frames:
-            best = frame if best is None else pd.concat([best, frame])
-            # ascending, missing values first: the last n of a group are its newest
-            best = best.sort_values(list(order), na_position="first", kind="stable").groupby(group, dropna=False, sort=False).tail(n)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            best = newest_of(table if best is None else pa.concat_tables([best, table]), group, order, n)
         if best is not None:
-            yield best
+            yield from best.combine_chunks().to_batches()
 
-    return stream.mapInPandas(keep, stream.schema)
+    return stream.mapInArrow(keep, stream.schema)
 
 
 def start_buffers(
@@ -85,10 +98,14 @@ def start_buffers(
     """Keep the newest `n` rows per group; each batch writes the buffers it changed below its id. A null group is a group."""
     keyed = stream.withColumn("_group", F.to_json(F.struct(group), {"ignoreNullFields": "false"}))
     rows = trimmed(keyed, group, order, n)
-    schema = StructType([StructField(f.name, f.dataType, True) for f in stream.schema.fields])
+    # times go through the state as whole microseconds, which no time zone can touch
+    times = [f.name for f in stream.schema.fields if isinstance(f.dataType, TimestampType)]
+    rows = rows.withColumns({c: F.unix_micros(c) for c in times})
+    schema = StructType([StructField(f.name, LongType() if f.name in times else f.dataType, True) for f in stream.schema.fields])
     processor = NewestRows(schema, order, n, None if idle_seconds is None else int(idle_seconds * 1000))
     mode = "None" if idle_seconds is None else "ProcessingTime"
     buffers = rows.groupBy("_group").transformWithState(processor, schema, "Update", mode)
+    buffers = buffers.withColumns({c: F.timestamp_micros(c) for c in times})
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
