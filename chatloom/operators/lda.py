@@ -35,6 +35,7 @@ TOLERANCE = 1e-3
 DECAY = 0.51
 # Words whose first weights are drawn together.
 DRAWN = 4096
+DRAW = 2  # column of a document's draw, behind key and tokens
 
 
 # --- the corpus -------------------------------------------------------------------
@@ -42,7 +43,7 @@ DRAWN = 4096
 
 @dataclass
 class Corpus:
-    """`docs`: (chunk, at, key, places, counts), bucketed by chunk; `listed`: (chunk, place, word_id); `dictionary`: (token, word_id, …)."""
+    """`docs`: (chunk, at, key, draw, places, counts), bucketed by chunk; `listed`: (chunk, place, word_id); `dictionary`: (token, word_id, …)."""
 
     docs: DataFrame
     listed: DataFrame
@@ -56,8 +57,8 @@ class Corpus:
         self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def _cells(batch: pa.RecordBatch, key: int, tokens: int) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Keys, ends, words and counts of the documents with a token: each document's distinct words in alphabetical order."""
+def _cells(batch: pa.RecordBatch, key: int, tokens: int) -> tuple[list[pa.Array], np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Keys and draws, ends, words and counts of the documents with a token: each document's distinct words in alphabetical order."""
     lists = batch.column(tokens)
     flat, parents = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
     given = pc.is_valid(flat).to_numpy(zero_copy_only=False)
@@ -69,7 +70,7 @@ def _cells(batch: pa.RecordBatch, key: int, tokens: int) -> tuple[pa.Array, np.n
     cell, counts = np.unique(cell, return_counts=True)
     doc, word = np.divmod(cell, max(len(order), 1))
     present, sizes = np.unique(doc, return_counts=True)
-    return batch.column(key).take(pa.array(present)), np.cumsum(sizes), encoded.dictionary.take(pa.array(order)), word, counts
+    return [batch.column(i).take(pa.array(present)) for i in (key, DRAW)], np.cumsum(sizes), encoded.dictionary.take(pa.array(order)), word, counts
 
 
 def _parts(batch: pa.RecordBatch, tokens: int) -> Iterator[pa.RecordBatch]:
@@ -104,16 +105,16 @@ def _chunked(key: int, tokens: int, names: list[str]):
                 docs_with += np.bincount(mine, minlength=size)
                 times += np.bincount(mine, counts, size).astype(np.int64)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                n = len(keys)
+                n = len(ends)
                 order_ = pa.array(np.arange(first, first + n, dtype=np.int32))
                 first += n
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, chunk)), order_, keys, pa.ListArray.from_arrays(offsets, pa.array(mine)),
+                    pa.array(np.full(n, chunk)), order_, *keys, pa.ListArray.from_arrays(offsets, pa.array(mine)),
                     pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64())),
                 ], names=names)
             ends = pa.array([0, size], pa.int32())
             yield pa.RecordBatch.from_arrays([
-                pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, kept[0][0].type), pa.nulls(1, pa.list_(pa.int32())),
+                pa.array([chunk]), pa.nulls(1, pa.int32()), *(pa.nulls(1, k.type) for k in kept[0][0]), pa.nulls(1, pa.list_(pa.int32())),
                 pa.ListArray.from_arrays(ends, pa.array(times)), pa.ListArray.from_arrays(ends, listed.dictionary.take(pa.array(order))),
                 pa.ListArray.from_arrays(ends, pa.array(docs_with)),
             ], names=names)
@@ -121,7 +122,7 @@ def _chunked(key: int, tokens: int, names: list[str]):
         for batch in batches:
             for part in _parts(batch, tokens):
                 found = _cells(part, key, tokens)
-                if not len(found[0]):
+                if not len(found[1]):
                     continue
                 kept.append(found)
                 held += len(found[3])
@@ -137,10 +138,10 @@ def _chunked(key: int, tokens: int, names: list[str]):
 def chunked_corpus(df: DataFrame, tokens: str, key: str, limit: int | None = None) -> Corpus:
     """The documents with at least one token. They are read once; null tokens don't count; a null or repeated key is a document."""
     spark = df.sparkSession
-    fields = [("chunk", T.LongType()), ("at", T.IntegerType()), ("key", df.schema[key].dataType), ("places", T.ArrayType(T.IntegerType())), ("counts", T.ArrayType(T.LongType()))]
+    fields = [("chunk", T.LongType()), ("at", T.IntegerType()), ("key", df.schema[key].dataType), ("draw", T.LongType()), ("places", T.ArrayType(T.IntegerType())), ("counts", T.ArrayType(T.LongType()))]
     fields += [("tokens", T.ArrayType(T.StringType())), ("docs_with", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(*f) for f in fields])
-    rows = df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"))
+    rows = df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"), F.xxhash64(key, tokens).alias("draw"))
     found = materialise(rows.mapInArrow(_chunked(0, 1, schema.names), schema), "lda-corpus")
     ended = found.where("tokens is not null")
     listed = ended.select("chunk", F.posexplode(F.arrays_zip("tokens", "counts", "docs_with")).alias("place", "z"))
@@ -148,7 +149,7 @@ def chunked_corpus(df: DataFrame, tokens: str, key: str, limit: int | None = Non
     counted = listed.groupBy("token").agg(F.sum("docs").alias("doc_freq"), F.sum("n").alias("term_freq"))
     known = words.bounded(words.numbered(counted, "token", "word_id"), limit)
     listed = materialise(listed.select("chunk", "place", "token").join(known.select("token", "word_id"), "token").drop("token"), "lda-lists")
-    docs = found.where("tokens is null").select("chunk", "at", "key", "places", "counts")
+    docs = found.where("tokens is null").select("chunk", "at", "key", "draw", "places", "counts")
     n_docs, n_chunks = docs.count(), ended.count()
     buckets = min(max(1, -(-n_chunks // BUCKET_CHUNKS)), 50_000)
     table = f"chatloom_lda_{uuid.uuid4().hex}"
@@ -217,6 +218,13 @@ def _mixed(seen: np.ndarray, theta: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return out
 
 
+def _share_of(draws: np.ndarray, salt: int) -> np.ndarray:
+    """A number from 0 to 1 for each document, another one for each salt."""
+    h = (draws.view(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).astype(float) / 2.0**64
+
+
 def _rounded(x: np.ndarray) -> np.ndarray:
     return np.rint(x * (1 << PRECISION)).astype(np.int64)
 
@@ -288,7 +296,7 @@ def drawn(block: int, topics: int, seed: int) -> np.ndarray:
 def _seen(corpus: Corpus, weights: DataFrame, columns: list[str], totals: np.ndarray, alpha: float, share: float, salt: int) -> DataFrame:
     """For each word its weights and what the documents of this update gave each topic, and a row -1 with the topic shares.
 
-    `share` of the documents take part, drawn by chunk and position.
+    `share` of the documents take part, drawn by a hash of key and tokens.
     """
     needed = corpus.listed.join(weights, "word_id").select(F.col("chunk").alias("of"), "place", "word_id", *columns)
     names = ["word_id", *columns, *(f"s{k}" for k in range(len(columns)))]
@@ -298,8 +306,7 @@ def _seen(corpus: Corpus, weights: DataFrame, columns: list[str], totals: np.nda
         ids, raw, expected_ = _word_weights(right, columns, totals)
         offsets, places, counts = _chunk_of(left)
         if share < 1:
-            chunk = int(left["chunk"][0].as_py())
-            used = np.random.default_rng([salt, *divmod(chunk, 1 << 32)]).random(len(offsets) - 1) < share
+            used = _share_of(left["draw"].to_numpy(), salt) < share
             cells = np.repeat(used, np.diff(offsets))
             offsets, places, counts = np.concatenate([[0], np.cumsum(np.diff(offsets)[used])]), places[cells], counts[cells]
         sums, shares = np.zeros(raw.shape, np.int64), np.zeros(len(columns) + 1, np.int64)
