@@ -2,9 +2,11 @@
 
 A corpus is kept in chunks: runs of documents with their own short list of distinct words, so a document is a list of places in
 that list with counts. The model is a table of one row per word with a weight for each topic. An update joins the chunks' word lists with
-that table, brings the rows to their chunks (whose documents lie in a table bucketed by chunk and don't move), infers the documents
-of a chunk in numpy, and adds up what each word saw by word. Nothing of the size of the dictionary or of the corpus is held by the driver or by
-one task: the driver sees sums over all words, a number for each topic.
+that table (both lie bucketed by word and don't move), brings the rows to their chunks (whose documents lie in a table bucketed by chunk and
+don't move), infers the documents of a chunk in numpy, a block at a time, and adds up what each word saw by word. So an update moves, for each
+chunk and word of it, the weights there and the sums back; chunks are large, as a word that many documents share then travels once for all of them.
+Nothing of the size of the dictionary or of the corpus is held by the driver or by one task: the driver sees sums over all words, a
+number for each topic.
 
 Sums travel as whole numbers of 2 ** -PRECISION, rounded per document and word, so the model is the same for any layout.
 """
@@ -24,8 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from chatloom.operators import dictionary as words
 from chatloom.session import materialise, scratch_dir
 
-# Different (document, word) cells after which a chunk is closed.
-CHUNK_CELLS = 100_000
+# Different (document, word) cells after which a chunk is closed: 12 bytes each in the task that infers it.
+CHUNK_CELLS = 4_000_000
+# Tokens that are counted, and cells that are inferred together.
+BLOCK_CELLS = 100_000
+# Rows of the chunks' word lists that share a bucket.
+BUCKET_ROWS = 100_000
 # Chunks whose documents share a bucket.
 BUCKET_CHUNKS = 1
 PRECISION = 20
@@ -33,6 +39,8 @@ PRECISION = 20
 ROUNDS = 50
 TOLERANCE = 1e-3
 DECAY = 0.51
+# Rows beside those of the words: the documents' topic shares, and in the first column their number.
+SHARES, DOCS = -1, -2
 # Words whose first weights are drawn together.
 DRAWN = 4096
 DRAW = 2  # column of a document's draw, behind key and tokens
@@ -43,18 +51,35 @@ DRAW = 2  # column of a document's draw, behind key and tokens
 
 @dataclass
 class Corpus:
-    """`docs`: (chunk, at, key, draw, places, counts), bucketed by chunk; `listed`: (chunk, place, word_id); `dictionary`: (token, word_id, …)."""
+    """`docs`: (chunk, at, key, draw, places, counts), bucketed by chunk; `listed`: (chunk, place, word_id), in `buckets` by word;
+    `dictionary`: (token, word_id, …)."""
 
     docs: DataFrame
     listed: DataFrame
     dictionary: DataFrame
     n_docs: int
     n_words: int
-    table: str
+    buckets: int
+    tables: list[str]
+
+    def by_word(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """`df` written in the buckets of the word lists, and the folder of its files."""
+        table, path = bucketed(df, "word_id", self.buckets, name)
+        self.tables.append(table)
+        return df.sparkSession.table(table), path
 
     def drop(self) -> None:
-        """Forget the bucketed table's name; its files stay in the shared folder like all written tables."""
-        self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+        """Forget the bucketed tables' names; their files stay in the shared folder like all written tables."""
+        for table in self.tables:
+            self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
+
+
+def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> tuple[str, str]:
+    """Name and folder of a table of `df`, whose rows lie together by the column `by` in as many parts, in `buckets`."""
+    table, path = f"chatloom_lda_{uuid.uuid4().hex}", scratch_dir(df.sparkSession, name)
+    df.write.bucketBy(buckets, by).format("parquet").option("path", path).saveAsTable(table)
+    return table, path
 
 
 def _cells(batch: pa.RecordBatch, key: int, tokens: int) -> tuple[list[pa.Array], np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -74,12 +99,12 @@ def _cells(batch: pa.RecordBatch, key: int, tokens: int) -> tuple[list[pa.Array]
 
 
 def _parts(batch: pa.RecordBatch, tokens: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of documents of at most CHUNK_CELLS tokens, or of one document."""
+    """The batch in runs of documents of at most BLOCK_CELLS tokens, or of one document."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(tokens)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + CHUNK_CELLS, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + min(BLOCK_CELLS, CHUNK_CELLS), "right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -151,11 +176,11 @@ def chunked_corpus(df: DataFrame, tokens: str, key: str, limit: int | None = Non
     listed = materialise(listed.select("chunk", "place", "token").join(known.select("token", "word_id"), "token").drop("token"), "lda-lists")
     docs = found.where("tokens is null").select("chunk", "at", "key", "draw", "places", "counts")
     n_docs, n_chunks = docs.count(), ended.count()
-    buckets = min(max(1, -(-n_chunks // BUCKET_CHUNKS)), 50_000)
-    table = f"chatloom_lda_{uuid.uuid4().hex}"
-    writer = docs.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").format("parquet")
-    writer.option("path", scratch_dir(spark, "lda-docs")).saveAsTable(table)
-    return Corpus(spark.table(table), listed, known, n_docs, known.count(), table)
+    parts = min(max(1, -(-n_chunks // BUCKET_CHUNKS)), 50_000)
+    by_chunk, _ = bucketed(docs.repartition(parts, "chunk"), "chunk", parts, "lda-docs")
+    buckets = min(max(1, -(-listed.count() // BUCKET_ROWS)), 50_000)
+    by_word, _ = bucketed(listed.repartition(buckets, "word_id"), "word_id", buckets, "lda-words")
+    return Corpus(spark.table(by_chunk), spark.table(by_word), known, n_docs, known.count(), buckets, [by_chunk, by_word])
 
 
 # --- inference --------------------------------------------------------------------
@@ -236,11 +261,11 @@ def _chunk_of(left: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return offsets, places.flatten().to_numpy(), counts.flatten().to_numpy()
 
 
-def _word_weights(right: pa.Table, columns: list[str], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, raw and expected weights of a chunk's words in the order of their places."""
+def _word_weights(right: pa.Table, columns: list[str], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids and expected weights of a chunk's words in the order of their places."""
     order = np.argsort(right["place"].to_numpy())
     raw = np.column_stack([right[c].to_numpy() for c in columns])[order]
-    return right["word_id"].to_numpy()[order], raw, expected(raw, totals)
+    return right["word_id"].to_numpy()[order], expected(raw, totals)
 
 
 # --- the model --------------------------------------------------------------------
@@ -293,32 +318,47 @@ def drawn(block: int, topics: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, block]).gamma(100.0, 0.01, (DRAWN, topics))
 
 
+def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of at most BLOCK_CELLS cells, or of one document."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_CELLS, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def _inferred(offsets: np.ndarray, places: np.ndarray, counts: np.ndarray, word_weights: np.ndarray, alpha: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, topic weights and shares of the counts, as `infer` gives them, a block of documents at a time."""
+    for at, to in _blocks(offsets):
+        low, high = offsets[at], offsets[to]
+        yield places[low:high], *infer(offsets[at : to + 1] - low, places[low:high], counts[low:high], word_weights, alpha)
+
+
 def _seen(corpus: Corpus, weights: DataFrame, columns: list[str], totals: np.ndarray, alpha: float, share: float, salt: int) -> DataFrame:
-    """For each word its weights and what the documents of this update gave each topic, and a row -1 with the topic shares.
+    """For each chunk's words what its documents of this update gave each topic, a row SHARES with their topic shares and a row DOCS with their number.
 
     `share` of the documents take part, drawn by a hash of key and tokens.
     """
     needed = corpus.listed.join(weights, "word_id").select(F.col("chunk").alias("of"), "place", "word_id", *columns)
-    names = ["word_id", *columns, *(f"s{k}" for k in range(len(columns)))]
+    names = ["word_id", *(f"s{k}" for k in range(len(columns)))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("at")
-        ids, raw, expected_ = _word_weights(right, columns, totals)
+        ids, expected_ = _word_weights(right, columns, totals)
         offsets, places, counts = _chunk_of(left)
         if share < 1:
             used = _share_of(left["draw"].to_numpy(), salt) < share
             cells = np.repeat(used, np.diff(offsets))
             offsets, places, counts = np.concatenate([[0], np.cumsum(np.diff(offsets)[used])]), places[cells], counts[cells]
-        sums, shares = np.zeros(raw.shape, np.int64), np.zeros(len(columns) + 1, np.int64)
-        if len(offsets) > 1:
-            gamma, taken = infer(offsets, places, counts, expected_, alpha)
-            for k, column in enumerate(_rounded(taken).T):
-                sums[:, k] = np.bincount(places, column, len(ids)).astype(np.int64)
-            shares = _rounded(gamma / gamma.sum(1, keepdims=True)).sum(0)
-        ids, raw, sums = np.append(ids, -1), np.vstack([raw, np.full(raw.shape[1], float(len(offsets) - 1))]), np.vstack([sums, shares[: len(columns)]])
-        return pa.Table.from_arrays([pa.array(ids), *map(pa.array, raw.T), *map(pa.array, sums.T)], names=names)
-
-    schema = "word_id long, " + ", ".join(f"{c} double" for c in columns) + ", " + ", ".join(f"s{k} long" for k in range(len(columns)))
+        sums = np.zeros((len(columns), len(ids) + 2), np.int64)
+        sums[0, -1] = len(offsets) - 1
+        for mine, gamma, taken in _inferred(offsets, places, counts, expected_, alpha):
+            for total, column in zip(sums, _rounded(taken).T):
+                np.add.at(total, mine, column)
+            sums[:, -2] += _rounded(gamma / gamma.sum(1, keepdims=True)).sum(0)
+        return pa.Table.from_arrays([pa.array(np.append(ids, [SHARES, DOCS])), *map(pa.array, sums)], names=names)
+
+    schema = "word_id long, " + ", ".join(f"{s} long" for s in names[1:])
     return corpus.docs.groupBy("chunk").cogroup(needed.groupBy("of")).applyInArrow(run, schema)
 
 
@@ -333,22 +373,28 @@ def fit(
     """
     alpha, eta = (1.0 / topics if x is None else x for x in (alpha, eta))
     columns, seen_columns = [f"w{k}" for k in range(topics)], [f"s{k}" for k in range(topics)]
-    weights = materialise(first_weights(corpus.dictionary, topics, seed), "lda-weights")
+    sums = [F.sum(c).alias(c) for c in seen_columns]
+    written, path = corpus.by_word(first_weights(corpus.dictionary, topics, seed).repartition(corpus.buckets, "word_id"), "lda-weights")
+    moved = [F.col(c) for c in columns]
     whole = [F.sum(F.round(F.col(c) * float(1 << PRECISION)).cast("long")).alias(c) for c in columns]
-    totals = np.array([float(x) for x in weights.agg(*whole).first()]) / (1 << PRECISION)
+    totals = np.array([float(x) for x in written.agg(*whole).first()]) / (1 << PRECISION)
     for t in range(passes if updates is None else updates):
+        weights = written.where(F.col("word_id") >= 0).select("word_id", *moved)
         seen = _seen(corpus, weights, columns, totals, alpha, share, seed + t)
-        seen = seen.groupBy("word_id").agg(F.sum("w0").alias("docs"), *(F.max(c).alias(c) for c in columns), *(F.sum(c).alias(c) for c in seen_columns))
-        seen = materialise(seen, "lda-seen")
-        is_word = F.col("word_id") >= 0
-        sums = seen.agg(F.sum(F.when(~is_word, F.col("docs"))).alias("docs"), *(F.sum(F.when(is_word, F.col(c))).alias(c) for c in seen_columns)).first()
-        rate, scale = (2.0 + t) ** -DECAY, corpus.n_docs / max(sums["docs"], 1) / (1 << PRECISION)
+        # a chunk has a word once, so nothing can be added up before the sums move to the buckets of their words
+        seen = seen.repartition(corpus.buckets, "word_id").groupBy("word_id").agg(*sums)
+        written, path = corpus.by_word(seen.join(weights, "word_id", "left"), "lda-seen")
+        rows = written.groupBy(F.least("word_id", F.lit(0)).alias("kind")).agg(*sums).collect()
+        found = {r["kind"]: np.array([float(r[c]) for c in seen_columns]) for r in rows}
+        rate, scale = (2.0 + t) ** -DECAY, corpus.n_docs / max(int(found[DOCS][0]), 1) / (1 << PRECISION)
         # the new weights are worked out from the written sums wherever they are read
         moved = [(F.col(c) * (1 - rate) + (F.col(s) * scale + eta) * rate).alias(c) for c, s in zip(columns, seen_columns)]
-        weights = seen.where(is_word).select("word_id", *moved)
-        totals = totals * (1 - rate) + rate * (eta * corpus.n_words + scale * np.array([float(sums[c]) for c in seen_columns]))
-    last = _seen(corpus, weights, columns, totals, alpha, 1.0, 0).where("word_id = -1").agg(*(F.sum(c) for c in seen_columns)).first()
-    return TopicModel(weights, totals, corpus.dictionary, alpha), np.array([float(x or 0) for x in last]) / (1 << PRECISION)
+        totals = totals * (1 - rate) + rate * (eta * corpus.n_words + scale * found[0])
+    new = lambda df: df.where(F.col("word_id") >= 0).select("word_id", *moved)
+    last = _seen(corpus, new(written), columns, totals, alpha, 1.0, 0).where(F.col("word_id") == SHARES).agg(*sums).first()
+    # the model outlives the names of the corpus's tables
+    model = TopicModel(new(corpus.docs.sparkSession.read.parquet(path)), totals, corpus.dictionary, alpha)
+    return model, np.array([float(x or 0) for x in last]) / (1 << PRECISION)
 
 
 def topic_shares(corpus: Corpus, model: TopicModel, key: str = "key") -> DataFrame:
@@ -358,8 +404,8 @@ def topic_shares(corpus: Corpus, model: TopicModel, key: str = "key") -> DataFra
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("at")
-        _, _, expected_ = _word_weights(right, columns, totals)
-        gamma, _ = infer(*_chunk_of(left), expected_, alpha)
+        _, expected_ = _word_weights(right, columns, totals)
+        gamma = np.concatenate([g for _, g, _ in _inferred(*_chunk_of(left), expected_, alpha)])
         shares = pa.ListArray.from_arrays(pa.array(np.arange(0, gamma.size + 1, len(columns), dtype=np.int32)), pa.array((gamma / gamma.sum(1, keepdims=True)).ravel()))
         return pa.table({key: left["key"], "shares": shares})
 

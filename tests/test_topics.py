@@ -95,6 +95,28 @@ def test_documents_of_a_bucket_do_not_move_in_an_update(spark):
     corpus.drop()
 
 
+def test_word_lists_and_weights_do_not_move_in_an_update(spark):
+    """Only the weights on their way to the chunks are shuffled, and the sums on their way back hold no weights."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        corpus = lda.chunked_corpus(frame(spark, corpus_rows()).repartition(4), "tokens", "msg_key")
+        weights, _ = corpus.by_word(lda.first_weights(corpus.dictionary, 2, 1).repartition(corpus.buckets, "word_id"), "lda-weights")
+        seen = lda._seen(corpus, weights, ["w0", "w1"], np.array([9.0, 9.0]), 0.5, 1.0, 0)
+        assert seen.columns == ["word_id", "s0", "s1"]
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 3
+        corpus.drop()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_document_longer_than_a_block_is_inferred_alone(monkeypatch):
+    monkeypatch.setattr(lda, "BLOCK_CELLS", 4)
+    assert list(lda._blocks(np.array([0, 2, 4, 11, 12, 13]))) == [(0, 2), (2, 3), (3, 5)]
+    assert list(lda._blocks(np.array([0]))) == []
+
+
 def test_no_word_of_the_corpus_is_needed_on_the_driver(spark):
     """Odd documents: null and empty lists, null tokens, repeated and null keys."""
     data = [(1, ["a", None, "b", "a"]), (1, ["b"]), (None, ["c"]), (2, []), (3, None), (4, [None])]
