@@ -3,21 +3,24 @@
 A window of 110 tokens slides by one, so a word at position p is inside the windows that
 start in [p-109, p]. The number of windows with a word is the length of the union of those
 ranges; the number with two words is `n(a) + n(b) - n(a or b)`. Both come from the hit
-positions of one message, inside its row. What crosses the shuffle is one partial sum per
-word pair and task.
+positions of one message, in numpy for many messages at once. What crosses the shuffle is one
+partial sum per word pair and task.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatloom.functions import fixed
-from chatloom.functions.lookup import literal_lookup
 
 TOTAL = ""  # tokens are never empty, so this name is free for the number of all windows
+BLOCK_TOKENS = 500_000  # of messages that are counted together
 
 
 def window_counts(
@@ -32,52 +35,72 @@ def window_counts(
     pairs that share a topic are counted.
     """
     partners = _partners(topic_words)
-    n_tokens = F.size(tokens)
-    hits = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(t.alias("word"), i.alias("at"))),
-        lambda h: h["word"].isin(sorted(partners)) if partners else F.lit(False),
-    )
-    # A message without tokens has no window; filtering it out would clean every text twice.
-    n_windows = F.when(n_tokens > 0, F.greatest(n_tokens - window + 1, F.lit(1))).otherwise(0)
-    located = docs.select(n_windows.alias("n_windows"), hits.alias("hits"))
-    words = F.array_distinct(F.transform("hits", lambda h: h["word"]))
-    places = F.transform(
-        words,
-        lambda w: F.struct(
-            w.alias("word"),
-            F.transform(F.filter("hits", lambda h: h["word"] == w), lambda h: h["at"]).alias("at"),
-        ),
-    )
-    placed = located.select("n_windows", places.alias("places"))
-    occurrences = F.transform(
-        "places",
-        lambda o: F.struct(o["word"], o["at"], _covered(o["at"], F.col("n_windows"), window).alias("n")),
-    )
-    everything = F.array(
-        F.struct(
-            F.lit(TOTAL).alias("word"),
-            F.array().cast("array<int>").alias("at"),
-            F.col("n_windows").cast("bigint").alias("n"),
-        )
-    )
-    found = placed.select("n_windows", occurrences.alias("found"))
-    first = found.select("n_windows", "found", F.explode_outer(F.concat(everything, "found")).alias("a"))
-    of = literal_lookup({w: sorted(p) for w, p in partners.items()}, "array<string>")
-    second = first.withColumn("_with", of(F.col("a.word"))).select(
-        "n_windows",
-        "a",
-        F.explode_outer(
-            F.concat(F.array("a"), F.filter("found", lambda o: F.coalesce(F.array_contains("_with", o["word"]), F.lit(False))))
-        ).alias("b"),
-    )
-    either = _covered(F.array_sort(F.concat("a.at", "b.at")), F.col("n_windows"), window)
-    n = F.when(F.col("a.word") == F.col("b.word"), F.col("a.n")).otherwise(F.col("a.n") + F.col("b.n") - either)
-    return (
-        second.select(F.col("a.word").alias("word_a"), F.col("b.word").alias("word_b"), n.alias("n"))
-        .filter(F.col("n") > 0)
-        .groupBy("word_a", "word_b")
-        .agg(F.sum("n").cast("bigint").alias("n"))
-    )
+    words = sorted(partners)
+    place = {w: i for i, w in enumerate(words)}
+    pairs = [(place[w], place[other]) for w in words for other in sorted(partners[w])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n_all = pa.array(words, pa.string()), 0
+        alone, both = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+        for batch in batches:
+            for lists in _blocks(batch.column(0)):
+                n_windows, doc, at, word = _hits(lists, known, window)
+                n_all += int(n_windows.sum())
+                _count(n_windows, doc, at, word, window, pairs, alone, both)
+        found = [(TOTAL, TOTAL, n_all), *((w, w, n) for w, n in zip(words, alone.tolist()))]
+        found += [(words[i], words[j], n) for (i, j), n in zip(pairs, both.tolist())]
+        found = [f for f in found if f[2] > 0]
+        columns = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["word_a", "word_b", "n"])
+
+    counted = docs.select(tokens).mapInArrow(run, "word_a string, word_b string, n bigint")
+    return counted.groupBy("word_a", "word_b").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def _blocks(lists: pa.Array) -> Iterator[pa.Array]:
+    """Runs of messages of at most BLOCK_TOKENS tokens, or of one message."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(lists):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_TOKENS, "right")))
+        yield lists.slice(at, to - at)
+        at = to
+
+
+def _hits(lists: pa.Array, known: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of windows of each message, and message, position and word of each hit, in that order.
+
+    A message without tokens has no window.
+    """
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_windows = np.where(sizes > 0, np.maximum(sizes - window + 1, 1), 0)
+    word = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=known, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+    hit = np.flatnonzero(word >= 0)
+    doc = np.searchsorted(np.cumsum(sizes), hit, "right")
+    return n_windows, doc, hit - (np.cumsum(sizes) - sizes)[doc], word[hit]
+
+
+def _count(
+    n_windows: np.ndarray, doc: np.ndarray, at: np.ndarray, word: np.ndarray, window: int, pairs: list[tuple[int, int]],
+    alone: np.ndarray, both: np.ndarray,
+) -> None:
+    """Add the windows with each word to `alone` and those with both words of each pair to `both`."""
+    # hits by word, in their order; and which messages have the word
+    order, ends = np.argsort(word, kind="stable"), np.cumsum(np.bincount(word, minlength=len(alone)))
+    of = np.split(order, ends[:-1]) if len(alone) else []
+    new, has = np.zeros(len(doc), np.int64), np.zeros((len(alone), len(n_windows)), bool)
+    for i, mine in enumerate(of):
+        new[mine] = _covered(doc[mine], at[mine], n_windows, window)
+        alone[i] += new[mine].sum()
+        has[i, doc[mine]] = True
+    for k, (i, j) in enumerate(pairs):
+        shared = has[i] & has[j]
+        if not shared.any():
+            continue
+        a, b = of[i][shared[doc[of[i]]]], of[j][shared[doc[of[j]]]]
+        either = np.sort(np.concatenate([a, b]))
+        both[k] += new[a].sum() + new[b].sum() - _covered(doc[either], at[either], n_windows, window).sum()
 
 
 def _partners(topic_words: Iterable[tuple[int, str]]) -> dict[str, set[str]]:
@@ -92,19 +115,12 @@ def _partners(topic_words: Iterable[tuple[int, str]]) -> dict[str, set[str]]:
     return partners
 
 
-def _covered(at: Column, n_windows: Column, window: int) -> Column:
-    """Number of window starts from which at least one of the sorted positions is visible."""
-
-    def add(state: Column, p: Column) -> Column:
-        low = F.greatest(p - window + 1, state["end"] + 1, F.lit(0))
-        high = F.least(p, n_windows - 1)
-        return F.struct(
-            F.greatest(state["end"], high).alias("end"),
-            (state["total"] + F.greatest(high - low + 1, F.lit(0))).alias("total"),
-        )
-
-    start = F.struct(F.lit(-1).alias("end"), F.lit(0).cast("bigint").alias("total"))
-    return F.aggregate(at, start, add, lambda s: s["total"])
+def _covered(doc: np.ndarray, at: np.ndarray, n_windows: np.ndarray, window: int) -> np.ndarray:
+    """For each of the sorted hits, the number of its message's window starts that see it and no earlier one."""
+    high = np.minimum(at, n_windows[doc] - 1)
+    before = np.full(len(doc), -1)
+    before[1:] = np.where(doc[1:] == doc[:-1], high[:-1], -1)
+    return np.maximum(high - np.maximum(at - window + 1, before + 1).clip(0) + 1, 0)
 
 
 def topic_coherence(

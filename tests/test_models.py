@@ -44,6 +44,19 @@ def test_window_counts_equal_brute_force(spark, size):
         assert got == expect
 
 
+def test_window_counts_of_odd_messages_in_blocks(spark, monkeypatch):
+    """Null and empty lists have no window, null tokens a place; the counts are made outside of the rows' expressions."""
+    monkeypatch.setattr(coherence, "BLOCK_TOKENS", 3)
+    df = spark.createDataFrame([(None,), ([],), ([None, "a"],), (["b", None, "a", "a", "x"],), (["b"],)], "tokens array<string>").coalesce(1)
+    counted = coherence.window_counts(df, [(0, "a"), (0, "b"), (1, "x"), (1, "never")], window=2)
+    assert rows(counted) == [("", "", 6), ("a", "a", 4), ("b", "b", 2), ("x", "x", 1)]
+    wide = coherence.window_counts(df, [(0, "a"), (0, "b")], window=3)
+    assert rows(wide) == [("", "", 5), ("a", "a", 4), ("a", "b", 1), ("b", "b", 2)]
+    assert rows(coherence.window_counts(df, [], window=2)) == [("", "", 6)]
+    assert rows(coherence.window_counts(df.limit(0), [(0, "a")])) == []
+    assert "MapInArrow" in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_coherence(docs, words, size, eps=1e-12):
     windows = list(brute_windows(docs, size))
     p = lambda *ws: sum(all(w in s for w in ws) for s in windows) / len(windows)
