@@ -262,10 +262,12 @@ def _chunk_of(left: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _word_weights(right: pa.Table, columns: list[str], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids and expected weights of a chunk's words in the order of their places."""
-    order = np.argsort(right["place"].to_numpy())
-    raw = np.column_stack([right[c].to_numpy() for c in columns])[order]
-    return right["word_id"].to_numpy()[order], expected(raw, totals)
+    """Word ids and expected weights of a chunk's words in the order of their places, which is that of their numbers."""
+    ids = right["word_id"].to_numpy()
+    order = np.argsort(ids)
+    # a row for each topic, as `infer` reads them: no block of documents copies them
+    by_topic = np.stack([expected(right[c].to_numpy()[order], total) for c, total in zip(columns, totals)])
+    return ids[order], by_topic.T
 
 
 # --- the model --------------------------------------------------------------------
@@ -339,7 +341,7 @@ def _seen(corpus: Corpus, weights: DataFrame, columns: list[str], totals: np.nda
 
     `share` of the documents take part, drawn by a hash of key and tokens.
     """
-    needed = corpus.listed.join(weights, "word_id").select(F.col("chunk").alias("of"), "place", "word_id", *columns)
+    needed = corpus.listed.join(weights, "word_id").select(F.col("chunk").alias("of"), "word_id", *columns)
     names = ["word_id", *(f"s{k}" for k in range(len(columns)))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -400,7 +402,7 @@ def fit(
 def topic_shares(corpus: Corpus, model: TopicModel, key: str = "key") -> DataFrame:
     """`(key, shares)`: the topics' shares of each document of the corpus."""
     columns, totals, alpha = model.columns, model.totals, model.alpha
-    needed = corpus.listed.join(model.weights, "word_id").select(F.col("chunk").alias("of"), "place", "word_id", *columns)
+    needed = corpus.listed.join(model.weights, "word_id").select(F.col("chunk").alias("of"), "word_id", *columns)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("at")
