@@ -559,7 +559,7 @@ def test_model_beats_its_base_on_held_out_texts(spark):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
@@ -568,7 +568,7 @@ def test_every_operator_is_registered():
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "pages", "benchmark"):
+    for t in ("documents", "labels", "conversations", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
