@@ -857,6 +857,8 @@ def model_label_sides(spark, d):
 # --- streams ----------------------------------------------------------------------
 
 BATCHES = 3
+# Queries that drain a capped folder side by side.
+CAPPED_SHARES = 8
 
 
 def _in_batches(rows: DataFrame, name: str, start) -> None:
@@ -996,15 +998,14 @@ def stream_monitor(spark, d):
 @query("stream_capped", f"""SELECT count(*)::BIGINT AS n_rows, count(DISTINCT conv_id * 100000 + turn)::BIGINT AS n_messages, 0::BIGINT AS batches_over_cap,
       ceil(count(*) / {fixed.ITEMS_PER_CYCLE})::BIGINT AS batches FROM conversations""")
 def stream_capped(spark, d):
-    """All turns from files of any size, at most a hundred a cycle."""
+    """All turns from files of any size, at most a hundred a cycle; the cycles run in shares side by side."""
     turns = given.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     landing, out, checkpoint = (scratch_dir(spark, f"capped-{x}") for x in ("landing", "out", "checkpoint"))
     turns.write.json(landing)
-    query_ = live.start_append_batches(capped_stream(spark, landing, turns.schema), out, checkpoint)
-    query_.processAllAvailable()
-    query_.stop()
-    rows = live.read_batches(spark, out)
-    sizes = rows.groupBy("batch").agg(F.count("*").alias("n"))
+    streams = [capped_stream(spark, landing, turns.schema, share=i, shares=CAPPED_SHARES) for i in range(CAPPED_SHARES)]
+    live.drain_shares(streams, out, checkpoint)
+    rows = live.read_shares(spark, out, CAPPED_SHARES)
+    sizes = rows.groupBy("share", "batch").agg(F.count("*").alias("n"))
     counted = sizes.agg(F.count_if(F.col("n") > fixed.ITEMS_PER_CYCLE).alias("batches_over_cap"), F.count("*").alias("batches"))
     whole = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("conv_id", "turn").alias("n_messages"))
     return whole.withColumn("_one", F.lit(1)).join(counted.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -158,6 +158,27 @@ def start_append_batches(stream: DataFrame, out: str, checkpoint: str, every: st
     return start(stream, write, checkpoint, every)
 
 
+def drain_shares(streams: Sequence[DataFrame], out: str, checkpoint: str) -> None:
+    """The streams side by side until each has read what is there: a folder per stream, and in it one per batch."""
+    queries = []
+    try:
+        for i, stream in enumerate(streams):
+            queries.append(start_append_batches(stream, f"{out}/share={i}", f"{checkpoint}/share={i}"))
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+
+
+def read_shares(spark: SparkSession, out: str, shares: int) -> DataFrame:
+    """The rows of all finished batches of all shares, with `share` and `batch`; a share may have had no rows."""
+    folders = [folder for i in range(shares) for folder in finished(spark, f"{out}/share={i}").values()]
+    if not folders:
+        raise ValueError(f"no finished batch in {out}")
+    return spark.read.option("basePath", out).parquet(*folders)
+
+
 def start_routed(events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Typed capture events, one folder per route, one pass per batch."""
 

@@ -171,6 +171,43 @@ def test_a_batch_that_runs_again_has_the_same_lines(tmp_path):
     assert capped.LineReader(str(tmp_path / "none"), 5).read(reader.initialOffset())[1] == reader.initialOffset()
 
 
+def test_shares_have_every_line_once_in_runs_of_the_cap(tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(f"line {i}" for i in range(95)) + "\n")
+    (tmp_path / "b.json").write_text("\n\n".join(f"line {i}" for i in range(95, 133)))
+    seen = []
+    for share in range(3):
+        reader = capped.LineReader(str(tmp_path), 10, share, 3)
+        at = reader.initialOffset()
+        while True:
+            lines, end = reader.read(at)
+            lines = [x for (x,) in lines]
+            if not lines:
+                assert end == at
+                break
+            assert [x for (x,) in reader.readBetweenOffsets(at, end)] == lines
+            seen.append(lines)
+            at = json.loads(json.dumps(end))
+    assert sorted(map(len, seen)) == [3] + [10] * 13
+    assert sorted(x for lines in seen for x in lines) == sorted(f"line {i}" for i in range(133))
+    for lines in seen:
+        first = int(lines[0].split()[1])
+        assert first % 10 == 0 and lines == [f"line {first + i}" for i in range(len(lines))]
+    with pytest.raises(ValueError, match="share"):
+        capped.LineReader(str(tmp_path), 10, 3, 3)
+
+
+def test_shares_go_on_with_lines_that_land_later(spark, tmp_path):
+    landing, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    landing.mkdir()
+    for name, first, last in (("1", 0, 25), ("2", 25, 61)):
+        (landing / f"{name}.json").write_text("".join(json.dumps({"id": i}) + "\n" for i in range(first, last)))
+        live.drain_shares([capped.capped_stream(spark, str(landing), "id int", cap=7, share=i, shares=3) for i in range(3)], out, checkpoint)
+    got = live.read_shares(spark, out, 3)
+    assert sorted(r["id"] for r in got.collect()) == list(range(61))
+    assert max(r["count"] for r in got.groupBy("share", "batch").count().collect()) == 7
+    assert got.select("share").distinct().count() == 3
+
+
 # --- counts in flight -------------------------------------------------------------
 
 
