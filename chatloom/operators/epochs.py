@@ -66,6 +66,8 @@ def part_of(text: Column, batches: int, percent: int = fixed.TEST_PERCENT, calib
     return F.when(place < percent, TEST).when(place < percent + calibration, CALIBRATION).otherwise(batch).cast("int")
 
 
+# What a step reads of a row.
+NUMBERS = ("label_id", "places", "numbers")
 ROWS = "label_id int, places array<int>, numbers array<double>, {keep}part int"
 
 
@@ -132,7 +134,7 @@ def gradient(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> tuple[np
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, total[used].T)], names=names)
 
-    sums = rows.mapInArrow(run, "place long, " + ", ".join(f"g{c} long" for c in range(classes)))
+    sums = rows.select(*NUMBERS).mapInArrow(run, "place long, " + ", ".join(f"g{c} long" for c in range(classes)))
     found = sums.groupBy("place").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
     held.destroy()
     total = np.zeros((len(weights) + 2, classes))
@@ -202,7 +204,7 @@ def descend(
             last = descent.current_rate()
             descent.move((weights, bias), (by_weight / max(n, 1), by_bias / max(n, 1)))
             seen, lost = seen + n, lost + loss
-        hit = with_prediction(test, weights, bias).agg(F.avg((F.col("predicted_id") == F.col("label_id")).cast("double"))).first()[0]
+        hit = with_prediction(test.select(*NUMBERS), weights, bias).agg(F.avg((F.col("predicted_id") == F.col("label_id")).cast("double"))).first()[0]
         rows.append((epoch, float(last), float(lost) / max(seen, 1), float(hit or 0.0)))
         if best is None or rows[-1][3] > rows[best[2] - 1][3]:
             best = weights.copy(), bias.copy(), epoch
@@ -228,7 +230,10 @@ def _prepared(df: DataFrame, text: str, label: str, features: int, batches: int,
     stages = Pipeline(stages=[*training.feature_stages(text, features), unit]).fit(parted.where("part >= 0"))
     path = scratch_dir(df.sparkSession, "epochs-rows")
     keep = f"{text} string, {label} {df.schema[label].dataType.simpleString()}, "
-    number_rows(stages.transform(parted), UNIT, keep=keep).write.partitionBy("part").parquet(path)
+    # the texts of the other parts are not read again
+    said = F.when(F.col("part") == TEST, F.col(text)).alias(text)
+    rows = stages.transform(parted).select(said, label, "label_id", UNIT, "part")
+    number_rows(rows, UNIT, keep=keep).write.partitionBy("part").parquet(path)
     spark = df.sparkSession
 
     def part(number: int) -> DataFrame:
@@ -321,7 +326,7 @@ def train_two_class(
     if len(found) != 2:
         raise ValueError(f"rows of both classes are needed, there are {found}")
     weights, bias, rows, _ = descend([part(b) for b in range(batches)], part(TEST), 2 * features, 2, epochs)
-    margins = materialise(with_prediction(part(CALIBRATION), weights, bias).select("margin", (F.col("label_id") == 1).alias("second")), "two-class-margins")
+    margins = materialise(with_prediction(part(CALIBRATION).select(*NUMBERS), weights, bias).select("margin", (F.col("label_id") == 1).alias("second")), "two-class-margins")
     slope, offset = calibrate(margins)
     # the difference of both logits becomes slope * margin + offset
     stage = as_stage(spark, weights * slope, bias * slope + np.array([-offset / 2, offset / 2]))

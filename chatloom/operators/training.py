@@ -9,11 +9,11 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, NGram, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IDF, IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatloom.functions import fixed
-from chatloom.functions.text import NOT_WORD
+from chatloom.operators.features import HashedWords
 
 # One candidate per training pass, each with a stronger penalty.
 PENALTIES = (0.001, 0.01, 0.1)
@@ -61,11 +61,7 @@ def split_sizes(df: DataFrame, text: str = "text", percent: int = fixed.TEST_PER
 def feature_stages(text: str = "text", features: int = HASH_FEATURES) -> list:
     """Hashed one- and two-word counts with inverse document frequency."""
     return [
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=NOT_WORD, minTokenLength=1),
-        NGram(inputCol="_w", outputCol="_w2", n=2),
-        HashingTF(inputCol="_w", outputCol="_h1", numFeatures=features),
-        HashingTF(inputCol="_w2", outputCol="_h2", numFeatures=features),
-        VectorAssembler(inputCols=["_h1", "_h2"], outputCol="_h"),
+        HashedWords(inputCol=text, outputCol="_h", numFeatures=features),
         IDF(inputCol="_h", outputCol="features", minDocFreq=1),
     ]
 
@@ -86,7 +82,7 @@ def fit_classifier(
     encoded, indexer = encode_labels(df.select(text, label))
     train, test = split_examples(encoded, text)
     prepared = Pipeline(stages=feature_stages(text, features)).fit(train)
-    wanted = (text, label, "label_id", "features")
+    wanted = ("label_id", "features")
     # Three fits read the train side; a lost block is recomputed from its source.
     train_set = prepared.transform(train).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
     test_set = prepared.transform(test).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)

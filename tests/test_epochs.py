@@ -5,9 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.sql import functions as F
 
-from chatloom.operators import epochs, sentiment, training
+from chatloom.functions.text import NOT_WORD
+from chatloom.operators import epochs, features, sentiment, training
 from tests.conftest import rows
 
 WORDS = {"positive": "great lovely", "negative": "awful boring", "neutral": "starts now"}
@@ -41,6 +44,33 @@ def plain_loss(data, weights, bias):
     return total
 
 
+@pytest.mark.parametrize("size", [1 << 16, 1000])
+def test_hashed_words_equal_the_stages_of_spark(spark, monkeypatch, size):
+    """Texts of any letters and lengths, in blocks of a few texts; no row is cut into strings by the JVM."""
+    monkeypatch.setattr(features, "BLOCK_BYTES", 100)
+    rng = random.Random(5)
+    letters = "abcXYZ \t\n._-'0123ÀéİıΣςσß中文字٣½\u00a0\u0301😀"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["", " ", "...", "a", "ΑΣ ΑΣΑ. ΣΑΣ", "x" * 3000, "word " * 500, "end", "begin again"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    plain = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="_w", pattern=NOT_WORD, minTokenLength=1), NGram(inputCol="_w", outputCol="_w2", n=2),
+        HashingTF(inputCol="_w", outputCol="_h1", numFeatures=size), HashingTF(inputCol="_w2", outputCol="_h2", numFeatures=size),
+        VectorAssembler(inputCols=["_h1", "_h2"], outputCol="want"),
+    ]).fit(frame).transform(frame).select("id", "text", "want")
+    got = features.HashedWords(inputCol="text", outputCol="got", numFeatures=size).transform(plain)
+    for r in got.collect():
+        assert r["got"] == r["want"] and r["got"].size == 2 * size, r["text"]
+    stages = training.feature_stages("text", size)
+    assert not any(isinstance(s, (RegexTokenizer, NGram, HashingTF)) for s in stages)
+
+
+def test_steps_read_no_text(spark):
+    read = []
+    frame = number_frame(spark).withColumn("text", F.udf(lambda t: read.append(t) or 1 / 0)("text"))
+    assert epochs.gradient(frame, np.zeros((12, 3)), np.zeros(3))[2] == 30
+
+
 def test_gradients_equal_differences_of_the_loss_for_any_layout(spark):
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(size=(12, 3)), rng.normal(size=3)
