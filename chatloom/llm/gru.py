@@ -7,6 +7,7 @@ The output starts as the class unigram model and the network learns what the sta
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,10 @@ SCORE_TOKENS = 16_384
 LEAST_UPDATES, LEAST_LANES = 150, 4
 RATE = 0.015
 CLIP = 5.0
+# Adam's shares of the old mean and of the old mean square, and what its divisor has at least.
+KEEP_MEAN, KEEP_SQUARE, SMALLEST = 0.9, 0.999, 1e-8
+# Rows of scores and weights worked on at once, so that they stay in the processor's cache.
+ROWS, PIECE = 512, 16_384
 # Scores of the output are bounded so that their exponentials fit.
 LARGEST = 60.0
 
@@ -45,15 +50,20 @@ class Layout:
 
 
 def initial(layout: Layout, seed: int = 1) -> dict[str, np.ndarray]:
+    """The last row of each table of the output is its bias."""
     rng = np.random.default_rng(seed)
     f = np.float32
+
+    def table(bias: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(bias), HIDDEN + 1, bias.shape[1]), f)
+        out[:, -1] = bias
+        return out
+
     return {
         "inputs": rng.normal(0, 0.1, (layout.begin + 1, 3 * HIDDEN)).astype(f),
         "state": (rng.normal(0, 1, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
-        "classes": np.zeros((HIDDEN, len(layout.class_bias)), f),
-        "class_bias": layout.class_bias.astype(f),
-        "words": np.zeros((layout.learnt, HIDDEN, layout.width), f),
-        "word_bias": layout.word_bias.astype(f),
+        "classes": table(layout.class_bias[None]),
+        "words": table(layout.word_bias),
     }
 
 
@@ -61,17 +71,25 @@ def pack(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in sorted(params)])
 
 
-def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The tables that lie in `flat` as `pack` puts them."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: v.astype(np.float32) for k, v in views(flat, like).items()}
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):  # beyond the range the result is 0
-        return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def lanes_of(texts: list[np.ndarray], lanes: int, layout: Layout) -> tuple[np.ndarray, ...]:
@@ -103,96 +121,230 @@ def lanes_of(texts: list[np.ndarray], lanes: int, layout: Layout) -> tuple[np.nd
 
 
 def forward(p: dict, x: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool):
-    """States behind each step of a window; `keep` also returns what the way back needs."""
-    n = HIDDEN
-    gates = p["inputs"][x]
-    out = np.empty((len(x), h.shape[0], n), np.float32)
+    """States behind each step of a window; `keep` also returns what the way back needs.
+
+    Inside, a step's lanes stand side by side, so that each gate lies in one piece.
+    """
+    n, steps, lanes = HIDDEN, *x.shape
+    gates = np.ascontiguousarray(p["inputs"][x].transpose(0, 2, 1))
+    out = np.empty((steps, n, lanes), np.float32)
+    state, h = np.ascontiguousarray(p["state"].T), np.ascontiguousarray(h.T)
     kept = []
-    for t in range(len(x)):
-        if begins[t].any():
-            h = h * ~begins[t][:, None]
-        u = h @ p["state"]
-        zr = sigmoid(gates[t, :, : 2 * n] + u[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gates[t, :, 2 * n :] + r * u[:, 2 * n :])
-        if keep:
-            kept.append((h, z, r, c, u[:, 2 * n :]))
-        h = c + z * (h - c)
-        out[t] = h
-    return out, h, kept
+    with np.errstate(over="ignore"):  # a gate beyond the range is 0
+        for t, begin in enumerate(begins.any(1).tolist()):
+            if begin:
+                h = h * ~begins[t]
+            u = state @ h
+            zr = gates[t, : 2 * n]
+            zr += u[: 2 * n]
+            sigmoid(zr)
+            z, r = zr[:n], zr[n:]
+            c = r * u[2 * n :]
+            c += gates[t, 2 * n :]
+            np.tanh(c, out=c)
+            if keep:
+                kept.append((h, z, r, c, u[2 * n :]))
+            h = h - c
+            h *= z
+            h += c
+            out[t] = h
+    return np.ascontiguousarray(out.transpose(0, 2, 1)), h.T, kept
+
+
+def member_logs(weights: np.ndarray, h: np.ndarray, groups: list[tuple[int, int, int]], hit: np.ndarray, grad=None, dh=None) -> np.ndarray:
+    """log P of each row's member `hit` of its group. groups: each with its first row and the row behind its last one; `h` ends in
+    a column of ones. With `grad` and `dh`, adds the gradients of the weights and of the states."""
+    s = np.empty((len(hit), weights.shape[2]), np.result_type(h, weights))
+    for k, a, b in groups:
+        np.matmul(h[a:b], weights[k], out=s[a:b])
+    logs, ones = np.empty(len(s), s.dtype), np.ones(s.shape[1], s.dtype)
+    for a in range(0, len(s), ROWS):
+        part, own = s[a : a + ROWS], hit[a : a + ROWS]
+        rows = np.arange(len(part))
+        np.minimum(part, LARGEST, out=part)
+        found = part[rows, own]
+        np.exp(part, out=part)
+        total = part @ ones
+        logs[a : a + ROWS] = found - np.log(total)
+        if grad is not None:
+            part *= (1 / total)[:, None]
+            part[rows, own] -= 1
+    if grad is not None:
+        back = np.empty((len(s), HIDDEN), s.dtype)
+        for k, a, b in groups:
+            d = s[a:b]
+            grad[k] += h[a:b].T @ d
+            np.matmul(d, weights[k, :-1].T, out=back[a:b])
+        dh[: len(back)] += back
+    return logs
 
 
 def output_logs(p: dict, layout: Layout, h: np.ndarray, targets: np.ndarray, grad: dict | None = None):
-    """log P of each target given its state; with `grad` also adds the gradients of the output and returns that of the states."""
-    wanted = layout.word_class[targets]
-    scores = h @ p["classes"] + p["class_bias"]
-    np.minimum(scores, LARGEST, out=scores)
-    e = np.exp(scores)
-    total = e.sum(1, keepdims=True)
-    rows = np.arange(len(h))
-    logs = scores[rows, wanted] - np.log(total[:, 0]) + layout.within[targets]
-    dh = None
-    if grad is not None:
-        d = e / total
-        d[rows, wanted] -= 1
-        grad["classes"] += h.T @ d
-        grad["class_bias"] += d.sum(0)
-        dh = d @ p["classes"].T
+    """log P of each target given its state; with `grad` also adds the gradients of the output and returns that of the states.
+
+    Targets are sorted by class: what is done for each score is done for all rows at once, and only the products with a group's
+    own weights are taken group by group.
+    """
+    if not len(targets):
+        return np.zeros(0), np.zeros_like(h)
+    wanted = layout.word_class[targets].astype(np.min_scalar_type(len(layout.class_bias)))
     order = np.argsort(wanted, kind="stable")
-    ends = np.searchsorted(wanted[order], np.arange(layout.learnt + 1))
-    for k in range(layout.learnt):
-        at = order[ends[k] : ends[k + 1]]
-        if not len(at):
-            continue
-        own = h[at]
-        s = own @ p["words"][k] + p["word_bias"][k]
-        np.minimum(s, LARGEST, out=s)
-        e = np.exp(s)
-        total = e.sum(1, keepdims=True)
-        hit = layout.place[targets[at]]
-        logs[at] += s[np.arange(len(at)), hit] - np.log(total[:, 0])
-        if grad is not None:
-            d = e / total
-            d[np.arange(len(at)), hit] -= 1
-            grad["words"][k] += own.T @ d
-            grad["word_bias"][k] += d.sum(0)
-            dh[at] += d @ p["words"][k].T
-    return logs, dh
+    wanted, targets = wanted[order].astype(np.int64), targets[order]
+    states = np.ones((len(h), HIDDEN + 1), h.dtype)
+    states[:, :-1] = h[order]
+    logs = layout.within[targets]
+    dh = np.zeros(h.shape, np.result_type(h, p["classes"])) if grad is not None else None
+    for a in range(0, len(wanted), ROWS):
+        b = min(a + ROWS, len(wanted))
+        logs[a:b] += member_logs(p["classes"], states[a:b], [(0, 0, b - a)], wanted[a:b], grad and grad["classes"], grad and dh[a:b])
+    own = wanted[: np.searchsorted(wanted, layout.learnt)]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    groups = list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(own)]))
+    logs[: len(own)] += member_logs(p["words"], states, groups, layout.place[targets[: len(own)]], grad and grad["words"], dh)
+    at = np.empty_like(order)
+    at[order] = np.arange(len(order))
+    return logs[at], dh[at] if grad is not None else None
 
 
 def backward(p: dict, x: np.ndarray, begins: np.ndarray, kept: list, dh_out: np.ndarray, grad: dict) -> None:
     """Through one window; the gradient ends where it or a text begins."""
-    n = HIDDEN
-    dg = np.empty((len(x), x.shape[1], 3 * n), np.float32)
-    back = np.zeros((x.shape[1], n), np.float32)
-    for t in range(len(x) - 1, -1, -1):
+    n, steps, lanes = HIDDEN, *x.shape
+    dg = np.empty((steps, 3 * n, lanes), np.float32)
+    back = np.zeros((n, lanes), np.float32)
+    dh_out = np.ascontiguousarray(dh_out.transpose(0, 2, 1))
+    begun = begins.any(1).tolist()
+    du = np.empty((3 * n, lanes), np.float32)
+    for t in range(steps - 1, -1, -1):
         h, z, r, c, u = kept[t]
-        d = dh_out[t] + back
-        dc = d * (1 - z) * (1 - c * c)
-        dg[t, :, :n] = d * (h - c) * z * (1 - z)
-        dg[t, :, n : 2 * n] = dc * u * r * (1 - r)
-        dg[t, :, 2 * n :] = dc
-        du = dg[t].copy()
-        du[:, 2 * n :] *= r
-        grad["state"] += h.T @ du
-        back = d * z + du @ p["state"].T
-        if begins[t].any():
-            back *= ~begins[t][:, None]
-    flat, rows = x.ravel(), dg.reshape(-1, 3 * n)
+        d = back
+        d += dh_out[t]
+        own = dg[t]
+        rest = 1 - z
+        dc = np.multiply(c, c, out=own[2 * n :])
+        np.subtract(1, dc, out=dc)
+        dc *= rest
+        dc *= d
+        dz = np.subtract(h, c, out=own[:n])
+        dz *= d
+        dz *= z
+        dz *= rest
+        np.subtract(1, r, out=rest)
+        rest *= r
+        rest *= u
+        np.multiply(dc, rest, out=own[n : 2 * n])
+        du[:] = own
+        du[2 * n :] *= r
+        grad["state"] += h @ du.T
+        back = p["state"] @ du
+        d *= z
+        back += d
+        if begun[t]:
+            back *= ~begins[t]
+    flat, rows = x.ravel().astype(np.min_scalar_type(len(p["inputs"]))), dg.transpose(0, 2, 1).reshape(-1, 3 * n)
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    grad["inputs"][flat[order][first]] += np.add.reduceat(rows[order], first)
+    flat = flat[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    grad["inputs"][flat[first]] += np.add.reduceat(rows[order], first)
+
+
+class Rows:
+    """Adam over a table of which a window touches few rows.
+
+    A row that has no gradient for some updates goes on by its momentum alone; that way is a sum over the updates, which is made
+    up when the row is needed again. (Adam's smallest divisor shrinks on it like the root of the squares.)
+    """
+
+    def __init__(self, table: np.ndarray):
+        self.p = table
+        self.grad, self.mean, self.square = np.zeros_like(table), np.zeros_like(table), np.zeros_like(table)
+        self.at = np.zeros(len(table), np.int64)  # the update up to which a row is made up; 0: it never had a gradient
+        self.touched = np.zeros(len(table), bool)
+        self.way = np.zeros(1)  # by update, how far a momentum of 1 over a root of 1 has gone since
+
+    def need(self, rows: np.ndarray) -> None:
+        """They will be read and get gradients."""
+        new = np.zeros(len(self.p), bool)
+        new[rows] = True
+        self.make_up(np.flatnonzero(new & ~self.touched))
+        self.touched |= new
+
+    def make_up(self, rows: np.ndarray) -> None:
+        now, since = len(self.way) - 1, self.at[rows]
+        late = np.flatnonzero((since < now) & (since > 0))
+        if not len(late):
+            return
+        rows, since = rows[late], since[late]
+        m, v = self.mean[rows], self.square[rows]
+        to = np.sqrt(v)
+        to += SMALLEST
+        np.divide(m, to, out=to)
+        to *= self.way[since].astype(to.dtype)[:, None]
+        self.p[rows] -= to
+        m *= (KEEP_MEAN ** (now - since)).astype(m.dtype)[:, None]
+        v *= (KEEP_SQUARE ** (now - since)).astype(v.dtype)[:, None]
+        self.mean[rows], self.square[rows], self.at[rows] = m, v, now
+
+    def squares(self) -> float:
+        g = self.grad[np.flatnonzero(self.touched)].ravel()
+        return float(g @ g)
+
+    def update(self, scale: float, step: float) -> None:
+        rows = np.flatnonzero(self.touched)
+        self.touched[:] = False
+        g, m, v = self.grad[rows], self.mean[rows], self.square[rows]
+        self.grad[rows] = 0
+        self.p[rows] -= adam(g, m, v, scale, step)
+        self.mean[rows], self.square[rows] = m, v
+        self.way += step * (KEEP_MEAN / math.sqrt(KEEP_SQUARE)) ** np.arange(len(self.way), 0, -1)
+        self.way = np.append(self.way, 0.0)
+        self.at[rows] = len(self.way) - 1
+
+
+class Whole:
+    """Adam over tables that lie in one piece, block by block."""
+
+    def __init__(self, tables: dict[str, np.ndarray]):
+        self.flat = pack(tables)
+        self.grad, self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.room = np.empty(min(PIECE, len(self.flat)), self.flat.dtype)
+
+    def squares(self) -> float:
+        return float(self.grad @ self.grad)
+
+    def update(self, scale: float, step: float) -> None:
+        for a in range(0, len(self.flat), PIECE):
+            part = slice(a, a + PIECE)
+            g = self.grad[part]
+            self.flat[part] -= adam(g, self.mean[part], self.square[part], scale, step, self.room[: len(g)])
+        self.grad[:] = 0
+
+
+def adam(g: np.ndarray, m: np.ndarray, v: np.ndarray, scale: float, step: float, room: np.ndarray | None = None) -> np.ndarray:
+    """The way of one update; all three are changed."""
+    g *= scale
+    m *= KEEP_MEAN
+    v *= KEEP_SQUARE
+    m += np.multiply(g, 1 - KEEP_MEAN, out=room)
+    g *= g
+    g *= 1 - KEEP_SQUARE
+    v += g
+    np.sqrt(v, out=g)
+    g += SMALLEST
+    np.divide(m, g, out=g)
+    g *= step
+    return g
 
 
 class Trainer:
     """Adam over the windows of texts; `weight` counts the targets that gave a gradient."""
 
     def __init__(self, params: dict[str, np.ndarray], layout: Layout, rate: float = RATE):
-        self.p = {k: v.copy() for k, v in params.items()}
         self.layout, self.rate, self.weight, self.updates = layout, rate, 0, 0
-        self.held, self.grad = 0, {}
-        self.mean = {k: np.zeros_like(v) for k, v in params.items()}
-        self.square = {k: np.zeros_like(v) for k, v in params.items()}
+        self.held = 0
+        rest = {k: v for k, v in params.items() if k != "inputs"}
+        self.inputs, self.rest = Rows(params["inputs"].copy()), Whole(rest)
+        self.p = {"inputs": self.inputs.p} | views(self.rest.flat, rest)
+        self.grad = {"inputs": self.inputs.grad} | views(self.rest.grad, rest)
 
     def learn(self, texts: list[np.ndarray]) -> None:
         if not texts:
@@ -203,43 +355,38 @@ class Trainer:
         for a in range(0, len(inputs), WINDOW):
             part = slice(a, a + WINDOW), slice(0, int((used > a).sum()))  # lanes that go on
             x, b = inputs[part], begins[part]
+            self.inputs.need(x)
             out, h, kept = forward(self.p, x, b, h[part[1]], True)
             self._gather(x, b, targets[part], out, kept)
             if self.held >= WINDOW * inputs.shape[1] // 2:  # a few long texts that go on alone share an update
                 self._update()
         self._update()
+        self.inputs.make_up(np.arange(len(self.inputs.p)))
 
     def _gather(self, x, begins, targets, out, kept) -> None:
         real = targets >= 0
-        if not real.any():
-            return
-        if not self.held:
-            self.grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grad = self.grad
-        _, dh = output_logs(self.p, self.layout, out[real], targets[real], grad)
         n = int(real.sum())
+        if not n:
+            return
+        _, dh = output_logs(self.p, self.layout, out[real], targets[real], self.grad)
         dh_out = np.zeros_like(out)
         dh_out[real] = dh
-        backward(self.p, x, begins, kept, dh_out, grad)
+        backward(self.p, x, begins, kept, dh_out, self.grad)
         self.held += n
 
     def _update(self) -> None:
-        n, grad = self.held, self.grad
+        n = self.held
         if not n:
             return
         self.held = 0
         self.weight += n
         self.updates += 1
-        norm = np.sqrt(sum(float((g / n).ravel() @ (g / n).ravel()) for g in grad.values()))
+        norm = math.sqrt(self.inputs.squares() + self.rest.squares()) / n
         scale = min(1.0, CLIP / max(norm, 1e-12)) / n
         warm = min(1.0, self.updates / 20)
-        step = warm * self.rate * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates)
-        for k, g in grad.items():
-            g *= scale
-            m, v = self.mean[k], self.square[k]
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            self.p[k] -= step * m / (np.sqrt(v) + 1e-8)
+        step = warm * self.rate * math.sqrt(1 - KEEP_SQUARE**self.updates) / (1 - KEEP_MEAN**self.updates)
+        self.inputs.update(scale, step)
+        self.rest.update(scale, step)
 
 
 def score(params: dict, layout: Layout, texts: list[np.ndarray]) -> np.ndarray:

@@ -334,3 +334,61 @@ def test_a_long_text_takes_lanes_in_proportion():
         assert (targets[at : at + len(t), lane] == t).all() and begins[at, lane]
     even = [rng.integers(0, 41, 50) for _ in range(2_000)]
     assert gru.lanes_of(even, gru.SCORE_LANES, layout)[0].shape[1] == gru.SCORE_LANES
+
+
+# --- work of the language model's training ------------------------------------------------
+
+
+def test_rows_that_rest_cost_nothing_and_end_like_plain_adam(monkeypatch):
+    from chatloom.llm import gru
+
+    rng = np.random.default_rng(7)
+    start = rng.normal(0, 0.1, (40, 6))
+    rows, plain = gru.Rows(start.copy()), start.copy()
+    mean, square = np.zeros_like(plain), np.zeros_like(plain)
+    sizes, adam = [], gru.adam
+    monkeypatch.setattr(gru, "adam", lambda g, *rest: sizes.append(g.size) or adam(g, *rest))
+    for t in range(1, 200):
+        step = 0.015 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        used = np.unique(rng.integers(0, 8 if t % 9 else 38, 3))  # some rows rest for long, two for ever
+        g = np.zeros_like(plain)
+        g[used] = rng.normal(0, 1, (len(used), 6))
+        rows.need(used)
+        assert np.allclose(rows.p[used], plain[used], atol=1e-6)
+        rows.grad[used] = g[used]
+        rows.update(0.5, step)
+        g *= 0.5
+        mean += 0.1 * (g - mean)
+        square += 0.001 * (g * g - square)
+        plain -= step * mean / (np.sqrt(square) + 1e-8)
+    rows.make_up(np.arange(40))
+    assert np.allclose(rows.p, plain, atol=1e-6) and (rows.p[38:] == start[38:]).all()
+    assert not rows.grad.any() and max(sizes) <= 3 * 6
+
+
+def test_output_in_groups_matches_target_by_target():
+    from chatloom.llm import gru, lm
+
+    rng = np.random.default_rng(8)
+    counts = np.sort(rng.integers(1, 500, 1500).astype(float))[::-1]
+    layout = lm.lay_out([b"%d" % i for i in range(1500)], counts, rng.integers(0, lm.TOPICS + 1, 1500), int(counts.sum()) + 300)
+    p = {k: v + rng.normal(0, 0.2, v.shape) for k, v in gru.initial(layout).items()}
+    h, targets = rng.uniform(-1, 1, (1300, gru.HIDDEN)), rng.integers(0, 1501, 1300)
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    logs, dh = gru.output_logs(p, layout, h, targets, grad)
+    want = {k: np.zeros_like(v) for k, v in p.items()}
+    for i, t in enumerate(targets):
+        state, log, back = np.append(h[i], 1), layout.within[t], np.zeros(gru.HIDDEN)
+        steps = [("classes", 0, layout.word_class[t])]
+        if layout.place[t] >= 0:
+            steps.append(("words", layout.word_class[t], layout.place[t]))
+        for name, group, hit in steps:
+            e = np.exp(state @ p[name][group])
+            log += np.log(e[hit] / e.sum())
+            d = e / e.sum()
+            d[hit] -= 1
+            want[name][group] += np.outer(state, d)
+            back += p[name][group, :-1] @ d
+        assert abs(log - logs[i]) < 1e-9 and np.allclose(back, dh[i])
+    assert all(np.allclose(grad[k], want[k]) for k in p)
+    assert len(gru.output_logs(p, layout, h[:0], targets[:0], grad)[0]) == 0
