@@ -2,13 +2,15 @@
 
 A corpus is kept in chunks: runs of documents with their own short list of distinct words, so a document is a list of places in
 that list with counts. The model is a table of one row per word with a weight for each topic. An update joins the chunks' word lists with
-that table (both lie bucketed by word and don't move), brings the rows to their chunks (whose documents lie in a table bucketed by chunk and
-don't move), infers the documents of a chunk in numpy, a block at a time, and adds up what each word saw by word. So an update moves, for each
+that table (both lie bucketed by word and don't move), brings the weights to their chunks (whose documents lie in a table bucketed by chunk and
+don't move), infers the documents of a chunk in numpy, and adds up what each word saw by bucket. So an update moves, for each
 chunk and word of it, the weights there and the sums back; chunks are large, as a word that many documents share then travels once for all of them.
-Nothing of the size of the dictionary or of the corpus is held by the driver or by one task: the driver sees sums over all words, a
-number for each topic.
+What moves is packed: a row holds the words that a chunk and a bucket share, their numbers as compressed bytes, so Spark handles a row for
+hundreds of words and not one for each. Nothing of the size of the dictionary or of the corpus is held by the driver or by one task: the
+driver sees sums over all words, a number for each topic.
 
-Sums travel as whole numbers of 2 ** -PRECISION, rounded per document and word, so the model is the same for any layout.
+Sums travel as whole numbers of 2 ** -PRECISION, rounded per document and word, so the model is the same for any layout. The words' expected
+weights travel with 24 bits, sixteen times finer than that; the model itself is kept in full.
 """
 
 from __future__ import annotations
@@ -21,26 +23,31 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chatloom.operators import dictionary as words
 from chatloom.session import materialise, scratch_dir
 
-# Different (document, word) cells after which a chunk is closed: 12 bytes each in the task that infers it.
+# Different (document, word) cells after which a chunk is closed: 8 bytes each in the task that infers it.
 CHUNK_CELLS = 4_000_000
 # Tokens that are counted, and cells that are inferred together.
 BLOCK_CELLS = 100_000
 # Rows of the chunks' word lists that share a bucket.
-BUCKET_ROWS = 100_000
-# Chunks whose documents share a bucket.
-BUCKET_CHUNKS = 1
+BUCKET_ROWS = 200_000
+# Buckets for each chunk: chunks are dealt by hash, and few should meet in a task.
+CHUNK_BUCKETS = 4
+# Words on their way that a task packs or adds up together.
+PACKED = 1_000_000
+# Widths of documents that are inferred together, for each doubling.
+WIDTHS = 4
 PRECISION = 20
 # Rounds of inference for a document at most, and the mean change of its weights that ends them.
 ROUNDS = 50
 TOLERANCE = 1e-3
 DECAY = 0.51
-# Rows beside those of the words: the documents' topic shares, and in the first column their number.
-SHARES, DOCS = -1, -2
+# Rows beside those of the words: the documents' topic shares, and what the words of a bucket saw in all.
+SHARES, TOTAL = -1, -2
 # Words whose first weights are drawn together.
 DRAWN = 4096
 DRAW = 2  # column of a document's draw, behind key and tokens
@@ -51,8 +58,8 @@ DRAW = 2  # column of a document's draw, behind key and tokens
 
 @dataclass
 class Corpus:
-    """`docs`: (chunk, at, key, draw, places, counts), bucketed by chunk; `listed`: (chunk, place, word_id), in `buckets` by word;
-    `dictionary`: (token, word_id, …)."""
+    """`docs`: (chunk, at, key, draw, sizes, places, counts), a row for a block of documents, bucketed by chunk; `listed`: (word_id, chunks), in
+    `buckets` by word; `dictionary`: (token, word_id, …). A chunk's places count its words in the order of their numbers."""
 
     docs: DataFrame
     listed: DataFrame
@@ -82,6 +89,31 @@ def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> tuple[str, str]
     return table, path
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the first bytes of all, then the second ones, compressed."""
+    x = np.ascontiguousarray(x)
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(packed, n * size, codec="zstd"), np.uint8)
+    return flat.reshape(size, n).T.flatten().view(dtype)
+
+
+def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each number less the one before it; those at `starts` stay."""
+    out = np.diff(x, prepend=x.dtype.type(0))
+    out[starts] = x[starts]
+    return out
+
+
+def _summed_steps(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of runs of `sizes` whose `_steps` are given."""
+    out, starts = np.cumsum(steps, dtype=np.int64), np.cumsum(sizes) - sizes
+    return out - np.repeat(out[starts] - steps[starts], sizes)
+
+
 def _cells(batch: pa.RecordBatch, key: int, tokens: int) -> tuple[list[pa.Array], np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Keys and draws, ends, words and counts of the documents with a token: each document's distinct words in alphabetical order."""
     lists = batch.column(tokens)
@@ -109,8 +141,20 @@ def _parts(batch: pa.RecordBatch, tokens: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def _chunked(key: int, tokens: int, names: list[str]):
-    """Rows of documents as they come, and at the end of each chunk a row with its words."""
+def _chunked(key: int, tokens: int, schema: pa.Schema):
+    """Blocks of documents as they come, and at the end of each chunk a row for each of its words."""
+
+    def row(**given: object) -> pa.RecordBatch:
+        n = max(len(x) for x in given.values())
+        return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def block(chunk: int, at: int, keys: list[pa.Array], sizes: np.ndarray, places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        whole = pa.array([0, len(sizes)], pa.int32())
+        return row(
+            chunk=pa.array([chunk]), at=pa.array([at], pa.int32()), n_docs=pa.array([len(sizes)], pa.int32()), cells=pa.array([len(places)], pa.int32()),
+            key=pa.ListArray.from_arrays(whole, keys[0]), draw=pa.ListArray.from_arrays(whole, keys[1]), sizes=pa.array([_packed(sizes.astype(np.int32))]),
+            places=pa.array([_packed(_steps(places, np.cumsum(sizes) - sizes))]), counts=pa.array([_packed(counts.astype(np.int32))]),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, kept = TaskContext.get().partitionId() << 32, 0, []
@@ -123,26 +167,17 @@ def _chunked(key: int, tokens: int, names: list[str]):
             place = place[listed.indices.to_numpy()]
             size = len(order)
             docs_with, times, low = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
-            first = 0
-            for keys, ends, w, at, counts in kept:
+            for i, (keys, ends, w, at, counts) in enumerate(kept):
                 mine = place[low : low + len(w)][at]
                 low += len(w)
-                docs_with += np.bincount(mine, minlength=size)
-                times += np.bincount(mine, counts, size).astype(np.int64)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                n = len(ends)
-                order_ = pa.array(np.arange(first, first + n, dtype=np.int32))
-                first += n
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, chunk)), order_, *keys, pa.ListArray.from_arrays(offsets, pa.array(mine)),
-                    pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64())),
-                ], names=names)
-            ends = pa.array([0, size], pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([chunk]), pa.nulls(1, pa.int32()), *(pa.nulls(1, k.type) for k in kept[0][0]), pa.nulls(1, pa.list_(pa.int32())),
-                pa.ListArray.from_arrays(ends, pa.array(times)), pa.ListArray.from_arrays(ends, listed.dictionary.take(pa.array(order))),
-                pa.ListArray.from_arrays(ends, pa.array(docs_with)),
-            ], names=names)
+                np.add.at(docs_with, mine, 1)
+                np.add.at(times, mine, counts)
+                yield block(chunk, i, keys, np.diff(ends, prepend=0), mine, counts)
+            named = listed.dictionary.take(pa.array(order))
+            for low in range(0, size, BLOCK_CELLS):
+                mine = slice(low, low + BLOCK_CELLS)
+                n = len(named[mine])
+                yield row(chunk=pa.array(np.full(n, chunk)), at=pa.array(np.arange(low, low + n, dtype=np.int32)), token=named[mine], times=pa.array(times[mine]), docs_with=pa.array(docs_with[mine]))
 
         for batch in batches:
             for part in _parts(batch, tokens):
@@ -160,27 +195,57 @@ def _chunked(key: int, tokens: int, names: list[str]):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (token, chunk, documents, times) in the order of their tokens as a row for each token, with its chunks."""
+    names = ["token", "doc_freq", "term_freq", "chunks"]
+
+    def folded(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        token, chunk, docs, times = (c.combine_chunks() for c in rows.columns)
+        sums = [pa.array(np.add.reduceat(c.to_numpy(), starts)) for c in (docs, times)]
+        chunks = pa.ListArray.from_arrays(pa.array(np.append(starts, len(token)).astype(np.int32)), chunk)
+        return pa.RecordBatch.from_arrays([token.take(pa.array(starts)), *sums, chunks], names=names)
+
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not held.num_rows or held["token"][0].as_py() == held["token"][-1].as_py():
+            continue
+        starts = _starts(held["token"].combine_chunks())
+        yield folded(held[: starts[-1]], starts[:-1])
+        held = held[starts[-1] :].combine_chunks()  # more rows of its last token may follow
+    if held is not None and held.num_rows:
+        yield folded(held, np.zeros(1, np.int64))
+
+
+def _starts(x: pa.Array) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)))
+
+
+def _bucket(word: Column, buckets: int) -> Column:
+    """The bucket of a word in a table that is bucketed by its number."""
+    return F.pmod(F.hash(word), F.lit(buckets))
+
+
 def chunked_corpus(df: DataFrame, tokens: str, key: str, limit: int | None = None) -> Corpus:
     """The documents with at least one token. They are read once; null tokens don't count; a null or repeated key is a document."""
     spark = df.sparkSession
-    fields = [("chunk", T.LongType()), ("at", T.IntegerType()), ("key", df.schema[key].dataType), ("draw", T.LongType()), ("places", T.ArrayType(T.IntegerType())), ("counts", T.ArrayType(T.LongType()))]
-    fields += [("tokens", T.ArrayType(T.StringType())), ("docs_with", T.ArrayType(T.LongType()))]
+    fields = [("chunk", T.LongType()), ("at", T.IntegerType()), ("n_docs", T.IntegerType()), ("cells", T.IntegerType()), ("key", T.ArrayType(df.schema[key].dataType)), ("draw", T.ArrayType(T.LongType()))]
+    fields += [(c, T.BinaryType()) for c in ("sizes", "places", "counts")] + [("token", T.StringType()), ("times", T.LongType()), ("docs_with", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
     rows = df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"), F.xxhash64(key, tokens).alias("draw"))
-    found = materialise(rows.mapInArrow(_chunked(0, 1, schema.names), schema), "lda-corpus")
-    ended = found.where("tokens is not null")
-    listed = ended.select("chunk", F.posexplode(F.arrays_zip("tokens", "counts", "docs_with")).alias("place", "z"))
-    listed = listed.select("chunk", "place", F.col("z.tokens").alias("token"), F.col("z.counts").alias("n"), F.col("z.docs_with").alias("docs"))
-    counted = listed.groupBy("token").agg(F.sum("docs").alias("doc_freq"), F.sum("n").alias("term_freq"))
-    known = words.bounded(words.numbered(counted, "token", "word_id"), limit)
-    listed = materialise(listed.select("chunk", "place", "token").join(known.select("token", "word_id"), "token").drop("token"), "lda-lists")
-    docs = found.where("tokens is null").select("chunk", "at", "key", "draw", "places", "counts")
-    n_docs, n_chunks = docs.count(), ended.count()
-    parts = min(max(1, -(-n_chunks // BUCKET_CHUNKS)), 50_000)
+    found = materialise(rows.mapInArrow(_chunked(0, 1, to_arrow_schema(schema)), schema), "lda-corpus")
+    listed = found.where("token is not null").select("token", "chunk", "docs_with", "times")
+    counted = listed.repartition("token").sortWithinPartitions("token").mapInArrow(_counted, "token string, doc_freq long, term_freq long, chunks array<long>")
+    known = words.bounded(words.numbered(materialise(counted, "lda-lists"), "token", "word_id"), limit)
+    # each chunk has a first word
+    n_docs, n_chunks, n_listed = found.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count_if(F.col("token").isNotNull() & (F.col("at") == 0)), F.count("token")).first()
+    docs = found.where("token is null").select("chunk", "at", "n_docs", "cells", "key", "draw", "sizes", "places", "counts")
+    parts = min(max(1, n_chunks * CHUNK_BUCKETS), 50_000)
     by_chunk, _ = bucketed(docs.repartition(parts, "chunk"), "chunk", parts, "lda-docs")
-    buckets = min(max(1, -(-listed.count() // BUCKET_ROWS)), 50_000)
-    by_word, _ = bucketed(listed.repartition(buckets, "word_id"), "word_id", buckets, "lda-words")
-    return Corpus(spark.table(by_chunk), spark.table(by_word), known, n_docs, known.count(), buckets, [by_chunk, by_word])
+    buckets = min(max(1, -(-n_listed // BUCKET_ROWS)), 50_000)
+    by_word, _ = bucketed(known.select("word_id", "chunks").repartition(buckets, "word_id"), "word_id", buckets, "lda-words")
+    return Corpus(spark.table(by_chunk), spark.table(by_word), known.drop("chunks"), n_docs, known.count(), buckets, [by_chunk, by_word])
 
 
 # --- inference --------------------------------------------------------------------
@@ -188,15 +253,13 @@ def chunked_corpus(df: DataFrame, tokens: str, key: str, limit: int | None = Non
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """Derivative of the logarithm of the gamma function, for positive numbers: six steps of the recurrence, then its series."""
-    x = np.array(x, float)
-    out = np.zeros_like(x)
-    for _ in range(6):
-        small = x < 6
-        out[small] -= 1 / x[small]
-        x[small] += 1
+    x = np.asarray(x, float)
+    pair = x * (x + 5)  # 1 / x + 1 / (x + 5), then the two pairs between them
+    steps = (2 * x + 5) * (1 / pair + 1 / (pair + 4) + 1 / (pair + 6))
+    x = x + 6
     square = 1 / (x * x)
     series = square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square * (1 / 240 - square / 132))))
-    return out + np.log(x) - 0.5 / x - series
+    return np.log(x) - 0.5 / x - series - steps
 
 
 def expected(weights: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -204,43 +267,37 @@ def expected(weights: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.exp(digamma(weights) - digamma(totals))
 
 
-def infer(offsets: np.ndarray, places: np.ndarray, counts: np.ndarray, word_weights: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def infer(seen: np.ndarray, times: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Topic weights of each document, and for each of its words the share of its count that each topic takes.
 
-    `word_weights` has the expected weights of the chunk's words, a row each. A document ends when its weights change by less
-    than TOLERANCE in the mean, whatever the other documents do.
+    `seen` has the expected weights of each document's words, (documents, topics, words), and `times` their counts, (documents, words); a count of 0
+    fills up. A document ends when its weights change by less than TOLERANCE in the mean, whatever the other documents do.
     """
-    sizes, topics = np.diff(offsets), word_weights.shape[1]
-    by_topic = np.ascontiguousarray(word_weights.T)
-    first = alpha + np.add.reduceat(counts.astype(float), offsets[:-1]) / topics
-    gamma = np.tile(first, (topics, 1))  # a row for each topic, as all that follows
-    active, left, starts, going = np.arange(len(sizes)), sizes, offsets[:-1], np.ones(len(sizes), bool)
-    seen, times = by_topic[:, places], counts.astype(float)
+    topics = seen.shape[1]
+    gamma = np.repeat(alpha + times.sum(1, keepdims=True) / topics, topics, axis=1)
+    active, going, mine, counts, now, ones = np.arange(len(seen)), np.ones(len(seen), bool), seen, times, gamma.copy(), np.ones(topics)
     for _ in range(ROUNDS):
-        now = gamma[:, active]
-        theta = expected(now, now.sum(0))
-        share = times / np.maximum(_mixed(seen, theta, left), 1e-100)
-        new = np.stack([alpha + t * np.add.reduceat(w * share, starts) for t, w in zip(theta, seen)])
-        gamma[:, active[going]] = new[:, going]
-        going &= np.abs(new - now).mean(0) >= TOLERANCE
+        # a document's weights add up to the same in every round, so the digamma of their sum divides out
+        theta = np.exp(digamma(now))
+        new = alpha + theta * np.matmul(mine, _split(mine, theta, counts)[:, :, None])[:, :, 0]
+        still = going & (np.abs(new - now) @ ones >= TOLERANCE * topics)
+        ended = going & ~still
+        gamma[active[ended]] = new[ended]
+        now, going = new, still
         if not going.any():
             break
         if going.mean() < 0.8:  # drop the documents that have ended
-            stays = np.repeat(going, left)
-            active, left, seen, times = active[going], left[going], seen[:, stays], times[stays]
-            starts, going = np.cumsum(left) - left, np.ones(len(active), bool)
-    theta = expected(gamma, gamma.sum(0))
-    seen = by_topic[:, places]
-    share = counts / np.maximum(_mixed(seen, theta, sizes), 1e-100)
-    return gamma.T, np.stack([w * np.repeat(t, sizes) * share for t, w in zip(theta, seen)]).T
-
-
-def _mixed(seen: np.ndarray, theta: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The weight of each cell's word in its document: over all topics, of the document's share times the word's."""
-    out = seen[0] * np.repeat(theta[0], sizes)
-    for t, w in zip(theta[1:], seen[1:]):
-        out += w * np.repeat(t, sizes)
-    return out
+            active, mine, counts, now = active[going], mine[going], counts[going], now[going]
+            going = np.ones(len(active), bool)
+    gamma[active[going]] = now[going]
+    theta = np.exp(digamma(gamma))
+    return gamma, seen * theta[:, :, None] * _split(seen, theta, times)[:, None, :]
+
+
+def _split(seen: np.ndarray, theta: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The count of each word by its weight in its document: over all topics, the sum of the document's share times the word's."""
+    mixed = np.matmul(theta[:, None, :], seen)[:, 0]
+    return np.divide(times, np.maximum(mixed, 1e-100, out=mixed), out=mixed)
 
 
 def _share_of(draws: np.ndarray, salt: int) -> np.ndarray:
@@ -255,19 +312,65 @@ def _rounded(x: np.ndarray) -> np.ndarray:
 
 
 def _chunk_of(left: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets, places and counts of a chunk's documents, which are put in their own order first."""
-    places, counts = left["places"].combine_chunks(), left["counts"].combine_chunks()
-    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(places).to_numpy())])
-    return offsets, places.flatten().to_numpy(), counts.flatten().to_numpy()
+    """Sizes, places and counts of a chunk's documents, blocks in their order."""
+    sizes, places, counts = [], [], []
+    for n, cells, s, p, c in zip(*(left[x].to_pylist() for x in ("n_docs", "cells", "sizes", "places", "counts"))):
+        sizes.append(_unpacked(s, n, np.int32))
+        places.append(_summed_steps(_unpacked(p, cells, np.int32), sizes[-1]).astype(np.int32))
+        counts.append(_unpacked(c, cells, np.int32))
+    return tuple(map(np.concatenate, (sizes, places, counts)))
+
+
+def _sent(columns: list[str], totals: np.ndarray):
+    """Rows of (bucket, word, chunks, weights) as rows of a chunk's words in a bucket: their numbers and packed expected weights."""
+    names = ["of", "word_id", *columns]
+
+    def packed(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        of, word = rows["chunks"].combine_chunks().flatten().to_numpy(), pc.list_parent_indices(rows["chunks"]).to_numpy()
+        bucket = rows["bucket"].to_numpy()[word]
+        order = np.lexsort((bucket, of))
+        of, bucket, word = of[order], bucket[order], word[order]
+        starts = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])))
+        ends = np.append(starts[1:], len(of))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)).astype(np.int32)), pa.array(rows["word_id"].to_numpy()[word]))
+        weights = [expected(rows[c].to_numpy(), total).astype(np.float32)[word] for c, total in zip(columns, totals)]
+        blobs = [pa.array([_packed(w[a:b]) for a, b in zip(starts, ends)], pa.binary()) for w in weights]
+        return pa.RecordBatch.from_arrays([pa.array(of[starts]), lists, *blobs], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = 0, []
+        for batch in batches:
+            kept.append(batch)
+            held += len(batch.column("chunks").flatten())
+            if held >= PACKED:
+                yield packed(kept)
+                held, kept = 0, []
+        if held:
+            yield packed(kept)
+
+    return run
 
 
-def _word_weights(right: pa.Table, columns: list[str], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids and expected weights of a chunk's words in the order of their places, which is that of their numbers."""
-    ids = right["word_id"].to_numpy()
+def _needed(corpus: Corpus, weights: DataFrame, columns: list[str], totals: np.ndarray) -> DataFrame:
+    """`(of, word_id, columns…)`: the words of each chunk with their packed expected weights."""
+    rows = corpus.listed.join(weights.hint("shuffle_hash"), "word_id")
+    rows = rows.select(_bucket(F.col("word_id"), corpus.buckets).alias("bucket"), "word_id", "chunks", *columns)
+    return rows.mapInArrow(_sent(columns, totals), "of long, word_id array<long>, " + ", ".join(f"{c} binary" for c in columns))
+
+
+def _word_weights(right: pa.Table, columns: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Word ids as they were sent, the place of each, and the expected weights of all by topic in the order of their places, which is that of their numbers."""
+    lists = right["word_id"].combine_chunks()
+    ids, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
     order = np.argsort(ids)
-    # a row for each topic, as `infer` reads them: no block of documents copies them
-    by_topic = np.stack([expected(right[c].to_numpy()[order], total) for c, total in zip(columns, totals)])
-    return ids[order], by_topic.T
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    by_topic = np.empty((len(columns), len(ids)))
+    for k, c in enumerate(columns):
+        by_topic[k] = np.concatenate([_unpacked(b, n, np.float32) for b, n in zip(right[c].to_pylist(), sizes)])[order]
+    ends = np.cumsum(sizes)[:-1]
+    return np.split(ids, ends), place, by_topic
 
 
 # --- the model --------------------------------------------------------------------
@@ -288,16 +391,15 @@ class TopicModel:
 
     def top_words(self, n: int) -> DataFrame:
         """`(topic, rank, word, weight)`: the `n` heaviest words of each topic by their share of it; equal ones by name."""
-        named = self.weights.join(self.dictionary.select("word_id", F.col("token").alias("word")), "word_id")
-        listed = F.array(*(F.struct(F.lit(k).alias("topic"), (F.col(c) / float(t)).alias("weight")) for k, (c, t) in enumerate(zip(self.columns, self.totals))))
-        # word by word the rows of a topic are cut to n in every task, before they meet
+        # topic by topic the words are cut to n in every task, before they meet; their numbers are in the order of their names
         best = None
-        for k in range(len(self.totals)):
-            rows = named.select(listed[k]["topic"].alias("topic"), "word", listed[k]["weight"].alias("weight"))
-            rows = rows.orderBy(F.col("weight").desc(), "word").limit(n)
+        for k, (c, t) in enumerate(zip(self.columns, self.totals)):
+            rows = self.weights.select(F.lit(k).alias("topic"), "word_id", (F.col(c) / float(t)).alias("weight"))
+            rows = rows.orderBy(F.col("weight").desc(), "word_id").limit(n)
             best = rows if best is None else best.unionAll(rows)
+        named = self.dictionary.select("word_id", F.col("token").alias("word")).join(F.broadcast(best), "word_id")
         held = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("_w"), "word", "weight")))
-        return best.groupBy("topic").agg(held.alias("l")).select("topic", F.posexplode("l").alias("rank", "z")).select("topic", "rank", "z.word", "z.weight")
+        return named.groupBy("topic").agg(held.alias("l")).select("topic", F.posexplode("l").alias("rank", "z")).select("topic", "rank", "z.word", "z.weight")
 
 
 def first_weights(dictionary: DataFrame, topics: int, seed: int) -> DataFrame:
@@ -329,39 +431,157 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _inferred(offsets: np.ndarray, places: np.ndarray, counts: np.ndarray, word_weights: np.ndarray, alpha: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places, topic weights and shares of the counts, as `infer` gives them, a block of documents at a time."""
-    for at, to in _blocks(offsets):
-        low, high = offsets[at], offsets[to]
-        yield places[low:high], *infer(offsets[at : to + 1] - low, places[low:high], counts[low:high], word_weights, alpha)
+def _inferred(sizes: np.ndarray, places: np.ndarray, counts: np.ndarray, by_topic: np.ndarray, alpha: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of documents, their topic weights, places of their words and shares of the words' counts by topic, for documents of a width at a time.
+
+    Documents are filled up to the next width, which follows from their own size, so their results don't depend on the others.
+    """
+    ends = np.cumsum(sizes)
+    widths = np.ceil(2.0 ** (np.ceil(np.log2(np.maximum(sizes, 1)) * WIDTHS) / WIDTHS)).astype(np.int64)
+    order = np.argsort(widths, kind="stable")
+    of, starts = np.unique(widths[order], return_index=True)
+    for width, docs in zip(of, np.split(order, starts[1:])):
+        for at, to in _blocks(np.arange(len(docs) + 1) * width):
+            mine = docs[at:to]
+            filled = np.arange(width) < sizes[mine, None]
+            cells = np.minimum((ends - sizes)[mine, None] + np.arange(width), ends[mine, None] - 1)
+            times, words_ = np.where(filled, counts[cells], 0.0), places[cells]
+            seen = np.empty((len(mine), len(by_topic), width))
+            for k, w in enumerate(by_topic):
+                seen[:, k] = w[words_]
+            gamma, taken = infer(seen, times, alpha)
+            yield mine, gamma, words_[filled], np.stack([taken[:, k][filled] for k in range(len(by_topic))])
 
 
 def _seen(corpus: Corpus, weights: DataFrame, columns: list[str], totals: np.ndarray, alpha: float, share: float, salt: int) -> DataFrame:
-    """For each chunk's words what its documents of this update gave each topic, a row SHARES with their topic shares and a row DOCS with their number.
+    """For each chunk's words what its documents of this update gave each topic, and a row SHARES with their topic shares.
 
-    `share` of the documents take part, drawn by a hash of key and tokens.
+    A row has the words of a chunk in a bucket and their packed sums. `share` of the documents take part, drawn by a hash of key and tokens.
     """
-    needed = corpus.listed.join(weights, "word_id").select(F.col("chunk").alias("of"), "word_id", *columns)
     names = ["word_id", *(f"s{k}" for k in range(len(columns)))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("at")
-        ids, expected_ = _word_weights(right, columns, totals)
-        offsets, places, counts = _chunk_of(left)
+        ids, place, by_topic = _word_weights(right, columns)
+        sizes, places, counts = _chunk_of(left)
         if share < 1:
-            used = _share_of(left["draw"].to_numpy(), salt) < share
-            cells = np.repeat(used, np.diff(offsets))
-            offsets, places, counts = np.concatenate([[0], np.cumsum(np.diff(offsets)[used])]), places[cells], counts[cells]
-        sums = np.zeros((len(columns), len(ids) + 2), np.int64)
-        sums[0, -1] = len(offsets) - 1
-        for mine, gamma, taken in _inferred(offsets, places, counts, expected_, alpha):
-            for total, column in zip(sums, _rounded(taken).T):
-                np.add.at(total, mine, column)
-            sums[:, -2] += _rounded(gamma / gamma.sum(1, keepdims=True)).sum(0)
-        return pa.Table.from_arrays([pa.array(np.append(ids, [SHARES, DOCS])), *map(pa.array, sums)], names=names)
-
-    schema = "word_id long, " + ", ".join(f"{s} long" for s in names[1:])
-    return corpus.docs.groupBy("chunk").cogroup(needed.groupBy("of")).applyInArrow(run, schema)
+            used = _share_of(pc.list_flatten(left["draw"]).to_numpy(), salt) < share
+            cells = np.repeat(used, sizes)
+            sizes, places, counts = sizes[used], places[cells], counts[cells]
+        sums = np.zeros((len(columns), len(place) + 1), np.int64)
+        for _, gamma, mine, taken in _inferred(sizes, places, counts, by_topic, alpha):
+            for total, column in zip(sums, taken):
+                np.add.at(total, mine, _rounded(column))
+            sums[:, -1] += _rounded(gamma / gamma.sum(1, keepdims=True)).sum(0)
+        lists = [*ids, np.array([SHARES])]
+        ends = np.cumsum([len(x) for x in lists])
+        sums = sums[:, np.append(place, -1)]
+        blobs = [pa.array([_whole(x) for x in np.split(s, ends[:-1])], pa.binary()) for s in sums]
+        return pa.Table.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate(lists))), *blobs], names=names)
+
+    schema = "word_id array<long>, " + ", ".join(f"{s} binary" for s in names[1:])
+    return corpus.docs.groupBy("chunk").cogroup(_needed(corpus, weights, columns, totals).groupBy("of")).applyInArrow(run, schema)
+
+
+def _whole(x: np.ndarray) -> bytes:
+    """Whole numbers from 0, packed in as many bytes as the largest needs: 4 or 8."""
+    return (b"4" if x.max() < 1 << 32 else b"8") + _packed(x.astype(np.uint32) if x.max() < 1 << 32 else x)
+
+
+def _whole_of(packed: bytes, n: int) -> np.ndarray:
+    return _unpacked(packed[1:], n, np.uint32 if packed[:1] == b"4" else np.int64).astype(np.int64)
+
+
+def _merged(ids: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each number once, and what was given for it."""
+    if not ids:
+        return np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
+    ids, sums = np.concatenate(ids), np.concatenate(sums, 1)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[starts], np.add.reduceat(sums[:, order], starts, axis=1)
+
+
+def _packed_weights(columns: list[str]):
+    """Rows of (bucket, word, weights) as rows of a bucket's words: their numbers and packed weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, ids, *weights = (c.to_numpy() for c in batch.columns)
+            order = np.argsort(bucket, kind="stable")
+            of, starts = np.unique(bucket[order], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids[order]))
+            blobs = [pa.array([_packed(x) for x in np.split(w[order], starts[1:])], pa.binary()) for w in weights]
+            yield pa.RecordBatch.from_arrays([pa.array(of), lists, *blobs], names=["bucket", "word_id", *columns])
+
+    return run
+
+
+def _taking_part(corpus: Corpus, share: float, salt: int) -> int:
+    """The number of documents of an update."""
+    if share >= 1:
+        return corpus.n_docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int((_share_of(batch.column(0).flatten().to_numpy(), salt) < share).sum())])], names=["n"])
+
+    return corpus.docs.select("draw").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _moved(corpus: Corpus, seen: DataFrame, weights: DataFrame, columns: list[str], rate: float, scale: float, eta: float) -> DataFrame:
+    """`(word_id, weights…, sums…)`: each word's weights moved by `rate` towards what all chunks saw of it; rows SHARES and TOTAL with sums.
+
+    The sums come to the words' buckets, and so do the weights. The new ones are worked out in numpy: as columns with these numbers
+    in them they would be new code to compile in every update.
+    """
+    n, sums = len(columns), [f"s{k}" for k in range(len(columns))]
+    names = ["word_id", *columns, *sums]
+    bucket = _bucket(F.col("word_id"), corpus.buckets).alias("bucket")
+    held = weights.select(bucket, "word_id", *columns).mapInArrow(_packed_weights(columns), "bucket int, word_id array<long>, " + ", ".join(f"{c} binary" for c in columns))
+    rows = seen.withColumn("bucket", _bucket(F.col("word_id")[0], corpus.buckets)).unionByName(held, allowMissingColumns=True)
+    rows = rows.select("bucket", "word_id", *sums, *columns).repartitionById(corpus.buckets, F.col("bucket"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, known, weights_, size = [], [], [], [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+            flat = lists.flatten().to_numpy()
+            for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+                if batch.column(2)[i].is_valid:
+                    ids.append(flat[a:b])
+                    found.append(np.stack([_whole_of(batch.column(2 + k)[i].as_py(), b - a) for k in range(n)]))
+                    size += b - a
+                else:
+                    known.append(flat[a:b])
+                    weights_.append(np.stack([_unpacked(batch.column(2 + n + k)[i].as_py(), b - a, np.float64) for k in range(n)]))
+            if size >= PACKED:
+                (ids, found), size = ([x] for x in _merged(ids, found)), 0
+        ids, found = _merged(ids, found)
+        if not len(ids):
+            return
+        if ids[0] < 0:
+            yield kind(SHARES, found[:, 0])
+            ids, found = ids[1:], found[:, 1:]
+        if not len(ids):
+            return
+        yield kind(TOTAL, found.sum(1))
+        known = np.concatenate(known)
+        order = np.argsort(known)
+        assert np.array_equal(known[order], ids)  # every word is seen by a chunk and has weights
+        new = np.concatenate(weights_, 1)[:, order] * (1 - rate) + (found * scale + eta) * rate
+        for a in range(0, len(ids), BLOCK_CELLS):
+            mine = slice(a, a + BLOCK_CELLS)
+            nothing = pa.nulls(len(ids[mine]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[mine]), *(pa.array(w[mine]) for w in new), *[nothing] * n], names=names)
+
+    def kind(number: int, of: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.nulls(1, pa.float64())] * n, *(pa.array([x]) for x in of)], names=names)
+
+    schema = "word_id long, " + ", ".join([*(f"{c} double" for c in columns), *(f"{s} long" for s in sums)])
+    return rows.mapInArrow(run, schema)
 
 
 def fit(
@@ -375,41 +595,37 @@ def fit(
     """
     alpha, eta = (1.0 / topics if x is None else x for x in (alpha, eta))
     columns, seen_columns = [f"w{k}" for k in range(topics)], [f"s{k}" for k in range(topics)]
-    sums = [F.sum(c).alias(c) for c in seen_columns]
-    written, path = corpus.by_word(first_weights(corpus.dictionary, topics, seed).repartition(corpus.buckets, "word_id"), "lda-weights")
-    moved = [F.col(c) for c in columns]
+    of_words = lambda df: df.where(F.col("word_id") >= 0).select("word_id", *columns)
+    weights, path = corpus.by_word(first_weights(corpus.dictionary, topics, seed).repartition(corpus.buckets, "word_id"), "lda-weights")
     whole = [F.sum(F.round(F.col(c) * float(1 << PRECISION)).cast("long")).alias(c) for c in columns]
-    totals = np.array([float(x) for x in written.agg(*whole).first()]) / (1 << PRECISION)
+    totals = np.array([float(x) for x in weights.agg(*whole).first()]) / (1 << PRECISION)
     for t in range(passes if updates is None else updates):
-        weights = written.where(F.col("word_id") >= 0).select("word_id", *moved)
-        seen = _seen(corpus, weights, columns, totals, alpha, share, seed + t)
+        rate, scale = (2.0 + t) ** -DECAY, corpus.n_docs / max(_taking_part(corpus, share, seed + t), 1) / (1 << PRECISION)
         # a chunk has a word once, so nothing can be added up before the sums move to the buckets of their words
-        seen = seen.repartition(corpus.buckets, "word_id").groupBy("word_id").agg(*sums)
-        written, path = corpus.by_word(seen.join(weights, "word_id", "left"), "lda-seen")
-        rows = written.groupBy(F.least("word_id", F.lit(0)).alias("kind")).agg(*sums).collect()
-        found = {r["kind"]: np.array([float(r[c]) for c in seen_columns]) for r in rows}
-        rate, scale = (2.0 + t) ** -DECAY, corpus.n_docs / max(int(found[DOCS][0]), 1) / (1 << PRECISION)
-        # the new weights are worked out from the written sums wherever they are read
-        moved = [(F.col(c) * (1 - rate) + (F.col(s) * scale + eta) * rate).alias(c) for c, s in zip(columns, seen_columns)]
-        totals = totals * (1 - rate) + rate * (eta * corpus.n_words + scale * found[0])
-    new = lambda df: df.where(F.col("word_id") >= 0).select("word_id", *moved)
-    last = _seen(corpus, new(written), columns, totals, alpha, 1.0, 0).where(F.col("word_id") == SHARES).agg(*sums).first()
+        seen = _seen(corpus, of_words(weights), columns, totals, alpha, share, seed + t)
+        weights, path = corpus.by_word(_moved(corpus, seen, of_words(weights), columns, rate, scale, eta), "lda-weights")
+        found = weights.where(F.col("word_id") == TOTAL).agg(*(F.sum(c) for c in seen_columns)).first()
+        totals = totals * (1 - rate) + rate * (eta * corpus.n_words + scale * np.array([float(x) for x in found]))
+    last = _seen(corpus, of_words(weights), columns, totals, alpha, 1.0, 0).where(F.col("word_id")[0] == SHARES).select(*seen_columns).collect()
+    mass = np.sum([[_whole_of(bytes(x), 1)[0] for x in r] for r in last], axis=0) / (1 << PRECISION)
     # the model outlives the names of the corpus's tables
-    model = TopicModel(new(corpus.docs.sparkSession.read.parquet(path)), totals, corpus.dictionary, alpha)
-    return model, np.array([float(x or 0) for x in last]) / (1 << PRECISION)
+    return TopicModel(of_words(corpus.docs.sparkSession.read.parquet(path)), totals, corpus.dictionary, alpha), mass
 
 
 def topic_shares(corpus: Corpus, model: TopicModel, key: str = "key") -> DataFrame:
     """`(key, shares)`: the topics' shares of each document of the corpus."""
     columns, totals, alpha = model.columns, model.totals, model.alpha
-    needed = corpus.listed.join(model.weights, "word_id").select(F.col("chunk").alias("of"), "word_id", *columns)
+    needed = _needed(corpus, model.weights, columns, totals)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("at")
-        _, expected_ = _word_weights(right, columns, totals)
-        gamma = np.concatenate([g for _, g, _ in _inferred(*_chunk_of(left), expected_, alpha)])
+        _, _, by_topic = _word_weights(right, columns)
+        sizes, places, counts = _chunk_of(left)
+        gamma = np.empty((len(sizes), len(columns)))
+        for mine, found, _, _ in _inferred(sizes, places, counts, by_topic, alpha):
+            gamma[mine] = found
         shares = pa.ListArray.from_arrays(pa.array(np.arange(0, gamma.size + 1, len(columns), dtype=np.int32)), pa.array((gamma / gamma.sum(1, keepdims=True)).ravel()))
-        return pa.table({key: left["key"], "shares": shares})
+        return pa.table({key: pc.list_flatten(left["key"]), "shares": shares})
 
-    schema = T.StructType([T.StructField(key, corpus.docs.schema["key"].dataType), T.StructField("shares", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField(key, corpus.docs.schema["key"].dataType.elementType), T.StructField("shares", T.ArrayType(T.DoubleType()))])
     return corpus.docs.groupBy("chunk").cogroup(needed.groupBy("of")).applyInArrow(run, schema)

@@ -306,14 +306,14 @@ def topic_coherence(spark, d):
 @query("topics_lda")
 def topics_lda(spark, d):
     result = topics.model_topics(
-        given.documents_tokens(spark, d), key="doc_id", num_topics=4, with_coherence=False
+        given.documents_tokens(spark, d, in_batches=True), key="doc_id", num_topics=4, with_coherence=False
     )
     return topics.topic_table(result.topics)
 
 
 @query("topics_lda_coherence")
 def topics_lda_coherence(spark, d):
-    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4)
+    result = topics.model_topics(given.documents_tokens(spark, d, in_batches=True), key="doc_id", num_topics=4)
     return result.coherence
 
 
@@ -321,7 +321,8 @@ def topics_lda_coherence(spark, d):
     FROM documents LIMIT 1""")
 def topics_lda_shape(spark, d):
     """Every topic has its words in descending weight, all of them from the dictionary."""
-    tokens = given.documents_tokens(spark, d)
+    # read by the model and by the check of its words
+    tokens = materialise(given.documents_tokens(spark, d, in_batches=True).select("doc_id", "tokens"), "document-tokens")
     result = topics.model_topics(tokens, key="doc_id", num_topics=4, with_coherence=False)
     before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
     known = cleaning.vocabulary(tokens).select(F.col("token").alias("word"), F.lit(True).alias("known"))
@@ -343,7 +344,7 @@ def topic_coherence_total(spark, d):
 @query("topics_lda_cloud")
 def topics_lda_cloud(spark, d):
     """Cloud weights of the topic model's own words."""
-    result = topics.model_topics(given.documents_tokens(spark, d), key="doc_id", num_topics=4, num_words=40, with_coherence=False)
+    result = topics.model_topics(given.documents_tokens(spark, d, in_batches=True), key="doc_id", num_topics=4, num_words=40, with_coherence=False)
     return topics.cloud_weights(result.topics)
 
 

@@ -41,8 +41,8 @@ def documents_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("source").alias("username"), "lang", F.col("text").alias("message"))
 
 
-def documents_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_tokens(spread(documents_chat(spark, sf_dir)), key="doc_id")
+def documents_tokens(spark: SparkSession, sf_dir: str, in_batches: bool = False) -> DataFrame:
+    return with_tokens(spread(documents_chat(spark, sf_dir)), key="doc_id", in_batches=in_batches)
 
 
 def documents_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
